@@ -3,12 +3,12 @@
 Token-combination prefixes. A document's tokens are its distinct shingles in
 hash order, which is the same order everywhere. Two documents that reach the
 threshold share a token among their first n - ceil(t n) + 1; with the prefix
-extended by K tokens they share K + 1. Tokens are indexed singly where they are
-rare. A token is frequent where its items lie in so many components that
-pairing them would cost more than ``RARE`` pairs an item; such a token is
-indexed only in combination with a second one, and only for documents whose
-prefix holds more frequent tokens than the extension covers. Candidates are
-verified on whole shingle sets.
+extended by K tokens they share K + 1. A token is frequent where its items lie
+in so many components that pairing them would cost more than ``RARE`` pairs an
+item; all others are rare and indexed singly. Up to K - 1 frequent tokens in a
+prefix need no index. Documents with more get a prefix in a new order, rare
+tokens first, whose remaining frequent tokens are indexed in pairs. Candidates
+are verified on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -31,11 +31,22 @@ RARE = 32
 MOST_BROADCAST = 1_000_000
 
 
+#: How many tokens the prefix of n shingles is extended by, in SQL and for arrays.
+_EXTENSION = "(2 + n * 3 div 100)"
+
+
 def extension(n: np.ndarray) -> np.ndarray:
-    """How many tokens the prefix of n shingles is extended by."""
     return 2 + n * 3 // 100
 
 
+def _nodes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each row's set."""
+    n = np.diff(at)
+    node = np.zeros(len(n), textops.U)
+    np.add.at(node, np.repeat(np.arange(len(n)), n), textops.mix(values ^ textops.U(0x5851F42D4C957F2D)))
+    return textops.mix(node + n.astype(textops.U)).view(np.int64)
+
+
 def _sketch(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,15 +56,12 @@ def _sketch(width: int, percent: int):
                 values, at = textops.distinct_by_row(*textops.shingles(hashes, first, width))
                 n = np.diff(at)
                 row = np.repeat(np.arange(len(n)), n)
-                node = np.zeros(len(n), textops.U)
-                np.add.at(node, row, textops.mix(values ^ textops.U(0x5851F42D4C957F2D)))
-                node = textops.mix(node + n.astype(textops.U))
                 length = np.minimum(n, n - -(-percent * n // 100) + 1 + extension(n))
                 keep = (np.arange(len(values)) - at[:-1][row]) < length[row]
                 cut = np.zeros(len(at), np.int64)
                 np.cumsum(length, out=cut[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(part)), pa.array(n), pa.array(node.view(np.int64)), textops.list_column(values[keep], cut)],
+                    [batch.column(0).slice(start, len(part)), pa.array(n), pa.array(_nodes(values, at)), textops.list_column(values[keep], cut)],
                     names=["doc_id", "n_shingles", "node", "prefix"],
                 )
 
@@ -66,11 +74,7 @@ def _sets(width: int):
             for _, part in textops.pieces(batch.column(0)):
                 hashes, _, _, first = textops.words(part)
                 values, at = textops.distinct_by_row(*textops.shingles(hashes, first, width))
-                n = np.diff(at)
-                node = np.zeros(len(n), textops.U)
-                np.add.at(node, np.repeat(np.arange(len(n)), n), textops.mix(values ^ textops.U(0x5851F42D4C957F2D)))
-                node = textops.mix(node + n.astype(textops.U))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), textops.list_column(values, at)], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, at)), textops.list_column(values, at)], names=["node", "shingles"])
 
     return run
 
@@ -91,12 +95,12 @@ class _Join:
             name="nodes",
         )
 
-    def plausible(self, pairs: DataFrame, extra: str | None = None) -> DataFrame:
-        """Pairs whose sizes and common prefix tokens leave room for the threshold; ``extra`` adds uncounted common tokens."""
+    def plausible(self, pairs: DataFrame, uncounted: str = "0") -> DataFrame:
+        """Pairs whose sizes and common prefix tokens leave room for the threshold; ``uncounted`` common tokens may come on top."""
         p = self.percent
         a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("n_prefix")).alias("ra"))
         b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("n_prefix")).alias("rb"))
-        common = F.col("n_common") + (F.col(extra) if extra else F.lit(0))
+        common = F.col("n_common") + F.expr(uncounted)
         return (
             pairs.join(a, "a")
             .join(b, "b")
@@ -109,11 +113,7 @@ class _Join:
         """pairs(a, b, na, nb) with ``linked``: whether their whole shingle sets reach the threshold. Written."""
         pairs = written(pairs, name="candidates")
         wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), name="wanted")
-        ids = wanted.join(self.nodes, "node").select("doc_id").where("doc_id IS NOT NULL").distinct()
-        if wanted.count() <= MOST_BROADCAST:
-            ids = F.broadcast(ids)
-        texts = self.docs.join(ids, "doc_id", "left_semi").unionByName(self.docs.where("doc_id IS NULL")).select("text")
-        sets = texts.mapInArrow(_sets(self.width), "node long, shingles array<long>").dropDuplicates(["node"])
+        sets = self.whole_sets(wanted)
         found = (
             pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -122,43 +122,93 @@ class _Join:
         linked = 100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))
         return written(found.select("a", "b", linked.alias("linked")), name="verified")
 
+    def postings(self) -> DataFrame:
+        """(key, id) of every extended prefix; copies of a text repeat its rows."""
+        return self.base.select(F.explode("prefix").alias("key"), F.col("node").alias("id"))
+
+    def whole_sets(self, nodes: DataFrame) -> DataFrame:
+        """nodes(node) -> (node, shingles), read from the texts again."""
+        ids = nodes.join(self.nodes, "node").select("doc_id").where("doc_id IS NOT NULL").distinct()
+        texts = self.docs.join(_small(ids, MOST_BROADCAST), "doc_id", "left_semi").unionByName(self.docs.where("doc_id IS NULL"))
+        sets = texts.select("text").mapInArrow(_sets(self.width), "node long, shingles array<long>")
+        return sets.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+
+    def crowded(self, postings: DataFrame) -> DataFrame:
+        """Ids whose prefix holds as many of these tokens as it is extended by, or more."""
+        sizes = self.nodes.select(F.col("node").alias("id"), "n")
+        return postings.distinct().groupBy("id").agg(F.count("*").alias("held")).join(sizes, "id").where(f"held > 1 + {_EXTENSION}").select("id")
+
     def components(self) -> DataFrame:
-        postings = self.base.select(F.explode("prefix").alias("key"), F.col("node").alias("id"))
-        held = shared_postings(postings)
+        held = shared_postings(self.postings())
         tried = self.verified(self.plausible(hub_pairs(held)))
-        components = connected_components(tried.where("linked").select("a", "b"))
+        components = written(connected_components(tried.where("linked").select("a", "b")), name="components")
         held = written(labelled(held, components), name="labelled")
         keys = written(split_keys(held), name="keys")
-        more = self._rare_pairs(held, keys).unionByName(self._frequent_pairs(held, keys)).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        frequent = keys.where(F.col("n_cross") > RARE * F.col("n")).select("key", "n")
+        pairs = self._pairs(held, components, frequent)
+        more = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         again = self.verified(more)
         return connected_components(tried.where("linked").select("a", "b").unionByName(again.where("linked").select("a", "b")))
 
-    def _rare_pairs(self, held: DataFrame, keys: DataFrame) -> DataFrame:
-        rare = keys.where(F.col("n_cross") <= RARE * F.col("n")).select("key")
-        frequent = keys.where(F.col("n_cross") > RARE * F.col("n")).select("key")
-        n_frequent = held.join(frequent, "key", "left_semi").groupBy("id").agg(F.count("*").alias("n_frequent"))
-        pairs = cross_pairs(held.join(rare, "key", "left_semi")).join(n_frequent.select(F.col("id").alias("a"), "n_frequent"), "a", "left")
-        return self.plausible(pairs.withColumn("n_frequent", F.coalesce("n_frequent", F.lit(0))), extra="n_frequent")
-
-    def _frequent_pairs(self, held: DataFrame, keys: DataFrame) -> DataFrame:
-        """Pairs that share two frequent tokens, of documents with more frequent tokens than the extension covers."""
-        frequent = keys.where(F.col("n_cross") > RARE * F.col("n")).select("key")
-        tokens = (
-            held.join(frequent, "key", "left_semi")
-            .groupBy("id", "component")
-            .agg(F.sort_array(F.collect_list("key")).alias("tokens"))
-            .join(self.nodes.select(F.col("node").alias("id"), "n"), "id")
-            .where(F.size("tokens") > 2 + F.floor(F.col("n") * 3 * self.percent / 10000))
+    def _pairs(self, held: DataFrame, components: DataFrame, frequent: DataFrame) -> DataFrame:
+        """Plausible pairs across components, by single rare tokens and by pairs of frequent ones.
+
+        Documents crowded with frequent tokens are put in a new order: rare
+        tokens first, then frequent ones by rising count. For all others that
+        order's prefix is what is left of their extended prefix.
+        """
+        first = written(self.crowded(held.join(frequent, "key", "left_semi").select("key", "id")), name="crowded")
+        if first.isEmpty():
+            return self.plausible(cross_pairs(held))
+        sets = written(self.whole_sets(first.select(F.col("id").alias("node"))), name="sets")
+        tokens = labelled(sets.select(F.explode("shingles").alias("key"), F.col("node").alias("id")), components)
+        heavy = split_keys(tokens).where(F.col("n_cross") > RARE * F.col("n")).select("key", "n")
+        frequent = written(frequent.unionByName(heavy).groupBy("key").agg(F.max("n").alias("rank")), name="frequent")
+        among = _small(frequent.select("key"), MOST_BROADCAST)
+        second = written(self.crowded(self.postings().join(among, "key", "left_semi")).join(first, "id", "left_anti"), name="crowded")
+        if not second.isEmpty():
+            sets = sets.unionByName(written(self.whole_sets(second.select(F.col("id").alias("node"))), name="sets"))
+        crowded = first.unionByName(second)
+        n_prefix = self.nodes.select(F.col("node").alias("id"), F.expr(f"n - CAST(ceil(n * {self.percent} / 100D) AS LONG) + 2").cast("int").alias("length"))
+        ordered = (
+            sets.select(F.explode("shingles").alias("key"), F.col("node").alias("id"))
+            .join(frequent, "key", "left")
+            .groupBy("id")
+            .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "key"))).alias("tokens"))
+            .join(n_prefix, "id")
+            .select("id", F.expr("slice(tokens, 1, length)").alias("tokens"))
         )
+        ordered = written(ordered, name="ordered")
+        singles = ordered.select(F.explode(F.expr("transform(filter(tokens, t -> t.rank = 0), t -> t.key)")).alias("key"), "id")
+        wanted = _small(written(singles.select("key").distinct(), name="wanted"), 4 * MOST_BROADCAST)
+        others = self.postings().join(wanted, "key", "left_semi").distinct().join(crowded, "id", "left_anti")
+        index = written(labelled(singles.unionByName(others), components), name="index")
+        near = cross_pairs(index.join(split_keys(index).select("key"), "key", "left_semi"))
+        combined = ordered.select("id", F.expr("transform(filter(tokens, t -> t.rank > 0), t -> t.key)").alias("tokens"))
         combined = (
-            tokens.select("id", "component", "tokens", F.posexplode("tokens").alias("at", "first"))
-            .select("id", "component", "first", F.explode(F.expr("slice(tokens, at + 2, size(tokens))")).alias("second"))
-            .select(F.xxhash64("first", "second").alias("key"), "id", "component")
+            combined.select("id", "tokens", F.posexplode("tokens").alias("at", "first"))
+            .select("id", "first", F.explode(F.expr("slice(tokens, at + 2, size(tokens))")).alias("second"))
+            .select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("key"), "id")
+        )
+        combined = labelled(combined, components)
+        both = cross_pairs(combined.join(split_keys(combined).select("key"), "key", "left_semi"))
+        calm = held.join(crowded, "id", "left_anti").join(frequent, "key", "left_anti")
+        n_more = ordered.select("id", F.size(F.expr("filter(tokens, t -> t.rank > 0)")).alias("more"))
+        near = near.join(n_more.select(F.col("id").alias("a"), F.col("more").alias("ma")), "a", "left").join(
+            n_more.select(F.col("id").alias("b"), F.col("more").alias("mb")), "b", "left"
+        )
+        near = near.select("a", "b", (F.col("n_common") + F.coalesce(F.greatest("ma", "mb"), F.lit(0))).alias("n_common"))
+        any_count = F.lit(1 << 40).alias("n_common")
+        return (
+            self.plausible(cross_pairs(calm), uncounted=_EXTENSION.replace("n *", "least(na, nb) *"))
+            .unionByName(self.plausible(near, uncounted=_EXTENSION.replace("n *", "greatest(na, nb) *")))
+            .unionByName(self.plausible(both.select("a", "b", any_count)))
         )
-        split = split_keys(combined).select("key")
-        pairs = cross_pairs(combined.join(split, "key", "left_semi"))
-        # a pair shares any number of frequent tokens here, so only the sizes prune
-        return self.plausible(pairs.withColumn("n_common", F.lit(1 << 40)))
+
+
+def _small(keys: DataFrame, most: int) -> DataFrame:
+    """``keys`` (one 64-bit column) marked for broadcast if it has ``most`` rows or fewer; else joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
