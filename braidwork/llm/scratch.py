@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ def written(df: DataFrame, *, name: str = "part") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
+    gc.collect()
+    jvm.System.gc()  # Spark deletes the shuffle files of a finished job once the driver's objects for it are gone
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
