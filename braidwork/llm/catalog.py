@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import ngram_join
+from braidwork.llm import license_scan, ngram_join, personal_data, quality_rules
+from braidwork.llm.scratch import written
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,20 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_documents(spark, sf_dir), width=4, percent=85)
 
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.detect(_documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = quality_rules.document_features(_documents(spark, sf_dir))
+    slim = ["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rules_failed"]
+    return quality_rules.judged(written(features.select(*slim), name="features")).drop("source", "rules_failed")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_license_scan, op8_personal_data, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
