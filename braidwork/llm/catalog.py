@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from braidwork.llm import license_scan, ngram_join, personal_data, quality_rules
+from braidwork.llm import language_id, license_scan, ngram_join, personal_data, quality_rules, toxic_spans
 from braidwork.llm.scratch import written
 
 
@@ -12,6 +13,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, mod n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language_id.train(docs.where(_remainder(4) != 2))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return language_id.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_documents(spark, sf_dir), width=4, percent=85)
 
@@ -30,6 +43,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(written(features.select(*slim), name="features")).drop("source", "rules_failed")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_license_scan, op8_personal_data, op9_quality_rules)}
+def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(_remainder(5) != 0)
+    chain = toxic_spans.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return toxic_spans.score(docs, chain).select("doc_id", held_out, "score", "predicted", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_license_scan, op8_personal_data, op9_quality_rules, op10_toxic_spans)}
 
 ORACLES: dict[str, str] = {}
