@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import language_id, license_scan, ngram_join, personal_data, quality_rules, toxic_spans
+from braidwork.llm import decontaminate, language_id, license_scan, ngram_join, personal_data, quality_rules, toxic_spans, url_filter
 from braidwork.llm.scratch import written
 
 
@@ -33,6 +33,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.BASE_RULES, "verdict string, host string, path string")
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.detect(_documents(spark, sf_dir))
 
@@ -51,6 +60,18 @@ def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_spans.score(docs, chain).select("doc_id", held_out, "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_license_scan, op8_personal_data, op9_quality_rules, op10_toxic_spans)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_license_scan, op5_decontaminate, op6_url_filter, op8_personal_data, op9_quality_rules, op10_toxic_spans)}
+
+ORACLES = {
+    "op6_url_filter": r"""
+        WITH parts AS (
+          SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        split AS (
+          SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+        rules(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        best AS (
+          SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+          FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best""",
+}
