@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import decontaminate, language_id, license_scan, ngram_join, personal_data, quality_rules, toxic_spans, url_filter
+from braidwork.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, personal_data, quality_rules, toxic_spans, url_filter
 from braidwork.llm.scratch import written
 
 
@@ -33,6 +33,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_table(_documents(spark, sf_dir)).drop("row_key")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -42,6 +46,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.detect(_documents(spark, sf_dir))
 
@@ -60,7 +68,7 @@ def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_spans.score(docs, chain).select("doc_id", held_out, "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_license_scan, op5_decontaminate, op6_url_filter, op8_personal_data, op9_quality_rules, op10_toxic_spans)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_license_scan, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_mixing, op8_personal_data, op9_quality_rules, op10_toxic_spans)}
 
 ORACLES = {
     "op6_url_filter": r"""
