@@ -43,11 +43,17 @@ def _code_points(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
 
 
+_POINT_KEYS = textops.mix(np.arange(1, (1 << 16) + 1, dtype=_U))
+
+
 def _hash_points(points: np.ndarray) -> np.ndarray:
     """Prefix sums over characters, for span_hashes."""
     out = np.zeros(len(points) + 1, dtype=_U)
-    keyed = textops.mix(points.astype(_U) + _U(1))
-    np.cumsum(keyed * textops._powers(textops._MULTIPLIER, len(points)), out=out[1:])
+    keyed = _POINT_KEYS[np.minimum(points, 0xFFFF)]
+    wide = np.flatnonzero(points >= 0xFFFF)
+    keyed[wide] = textops.mix(points[wide].astype(_U) + _U(1))
+    keyed *= textops._powers(textops._MULTIPLIER, len(points))
+    np.cumsum(keyed, out=out[1:])
     return out
 
 
@@ -86,9 +92,16 @@ def _shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     n = np.where(length > SHINGLE, length - SHINGLE + 1, (length > 0).astype(np.int64))
     at = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=at[1:])
-    line = np.repeat(np.arange(len(n)), n)
-    begin = starts[line] + np.arange(at[-1]) - at[:-1][line]
-    return textops.span_hashes(sums, begin, np.minimum(begin + SHINGLE, ends[line])), at
+    every = sums[SHINGLE:] - sums[:-SHINGLE]  # each place at once, then those inside a line
+    every *= textops._powers(textops._INVERSE, len(every))
+    step = np.ones(int(at[-1]), dtype=np.int64)
+    some = np.flatnonzero(n)
+    step[at[some]] = starts[some] - np.concatenate([[0], starts[some[:-1]] + n[some[:-1]] - 1])
+    begin = np.cumsum(step)
+    values = every[np.minimum(begin, max(len(every) - 1, 0))] if len(every) else np.zeros(len(begin), _U)
+    short = np.flatnonzero((length > 0) & (length < SHINGLE))
+    values[at[short]] = (sums[ends[short]] - sums[starts[short]]) * textops._powers(textops._INVERSE, len(sums))[starts[short]] + length[short].astype(_U)
+    return textops.mix(values), at
 
 
 def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +118,7 @@ def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
         line = np.repeat(np.arange(len(picked)), n[picked])
         if binned:
             signs = np.full(len(picked) * k, np.iinfo(np.uint64).max, dtype=_U)
-            np.minimum.at(signs, line * k + (((v >> _U(32)) * _U(k)) >> _U(32)).astype(np.int64), textops.mix(v))
+            np.minimum.at(signs, line * k + (((v >> _U(32)) * _U(k)) >> _U(32)).astype(np.int64), v * _U(0x9FB21C651E98DF25))
             signs = signs.reshape(-1, k)
             empty = signs == np.iinfo(np.uint64).max
             for step in range(1, k):  # an empty bin takes the next filled one's value, marked by the distance
