@@ -7,8 +7,9 @@ extended by K tokens they share K + 1. A token is frequent where its items lie
 in so many components that pairing them would cost more than ``RARE`` pairs an
 item; all others are rare and indexed singly. Up to K - 1 frequent tokens in a
 prefix need no index. Documents with more get a prefix in a new order, rare
-tokens first, whose remaining frequent tokens are indexed in pairs. Candidates
-are verified on whole shingle sets.
+tokens first, extended by C: two of them share C + 1 of its tokens, so, with the
+tokens dealt into C classes, two tokens of one class. Remaining frequent tokens
+are indexed in pairs within a class. Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ MOST_BROADCAST = 1_000_000
 _EXTENSION = "(2 + n * 3 div 100)"
 
 
+#: Into how many classes the tokens of a document of n shingles fall for pairing: a power of two near n / 16.
+_CLASSES = "CAST(pow(2, greatest(0, floor(log2(({n}) / 16D)))) AS INT)"
+
+
 def extension(n: np.ndarray) -> np.ndarray:
     return 2 + n * 3 // 100
 
@@ -169,14 +174,14 @@ class _Join:
         if not second.isEmpty():
             sets = sets.unionByName(written(self.whole_sets(second.select(F.col("id").alias("node"))), name="sets"))
         crowded = first.unionByName(second)
-        n_prefix = self.nodes.select(F.col("node").alias("id"), F.expr(f"n - CAST(ceil(n * {self.percent} / 100D) AS LONG) + 2").cast("int").alias("length"))
+        n_prefix = self.nodes.select(F.col("node").alias("id"), "n", F.expr(f"CAST(n - ceil(n * {self.percent} / 100D) + 1 AS INT)").alias("shortest"))
         ordered = (
             sets.select(F.explode("shingles").alias("key"), F.col("node").alias("id"))
             .join(frequent, "key", "left")
             .groupBy("id")
             .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "key"))).alias("tokens"))
             .join(n_prefix, "id")
-            .select("id", F.expr("slice(tokens, 1, length)").alias("tokens"))
+            .select("id", "n", "shortest", F.expr(f"slice(tokens, 1, shortest + {_CLASSES.format(n=f'n * 100D / {self.percent}')})").alias("tokens"))
         )
         ordered = written(ordered, name="ordered")
         singles = ordered.select(F.explode(F.expr("transform(filter(tokens, t -> t.rank = 0), t -> t.key)")).alias("key"), "id")
@@ -184,11 +189,13 @@ class _Join:
         others = self.postings().join(wanted, "key", "left_semi").distinct().join(crowded, "id", "left_anti")
         index = written(labelled(singles.unionByName(others), components), name="index")
         near = cross_pairs(index.join(split_keys(index).select("key"), "key", "left_semi"))
-        combined = ordered.select("id", F.expr("transform(filter(tokens, t -> t.rank > 0), t -> t.key)").alias("tokens"))
+        levels = F.array_distinct(F.array(F.expr(_CLASSES.format(n=f"n * {self.percent} / 100D")), F.expr(_CLASSES.format(n=f"n * 100D / {self.percent}"))))
         combined = (
-            combined.select("id", "tokens", F.posexplode("tokens").alias("at", "first"))
-            .select("id", "first", F.explode(F.expr("slice(tokens, at + 2, size(tokens))")).alias("second"))
-            .select(F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("key"), "id")
+            ordered.select("id", "tokens", "shortest", F.explode(levels).alias("c"))
+            .select("id", "c", F.expr("transform(filter(slice(tokens, 1, shortest + c), t -> t.rank > 0), t -> t.key)").alias("tokens"))
+            .select("id", "c", "tokens", F.posexplode("tokens").alias("at", "first"))
+            .select("id", "c", "first", F.explode(F.expr("filter(slice(tokens, at + 2, size(tokens)), t -> pmod(t, c) = pmod(first, c))")).alias("second"))
+            .select(F.xxhash64("c", F.least("first", "second"), F.greatest("first", "second")).alias("key"), "id")
         )
         combined = labelled(combined, components)
         both = cross_pairs(combined.join(split_keys(combined).select("key"), "key", "left_semi"))
