@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from braidwork.functions import keys
 from braidwork.operators import loops
 from braidwork.operators import relational as R
+from braidwork.sources import scripts
+from braidwork.streaming import incremental
 
 QUERIES = {}
 ORACLES = {}
@@ -358,3 +360,32 @@ def edge_lift(spark, table):
     """Edges of the lowest level counted on the level above."""
     parts = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_partkey").alias("parts"))
     return table("orders").where("o_orderstatus = 'F'").select("o_orderkey").join(parts, "o_orderkey")
+
+
+@_query(
+    """SELECT stem, tier, path FROM (
+         SELECT p_brand AS stem, p_size % 4 AS tier, CAST(p_partkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 4, CAST(p_partkey AS VARCHAR)) AS r FROM part) WHERE r = 1"""
+)
+def preferred_copy(spark, table):
+    return scripts.preferred(table("part").select(F.col("p_brand").alias("stem"), (F.col("p_size") % 4).alias("tier"), F.col("p_partkey").cast("string").alias("path")))
+
+
+@_query(
+    r"""SELECT doc_id, generate_subscripts(a, 1) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS a FROM documents WHERE text IS NOT NULL)"""
+)
+def physical_lines(spark, table):
+    return scripts.physical_lines(table("documents"), key="doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@_query("SELECT date_trunc('hour', ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_counts(spark, table):
+    return incremental.windowed_counts(table("events"), at="ts", kind="event_type")
+
+
+@_query(
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
+            n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM m)
+       SELECT user_id, min(ts) AS start_at, max(ts) + INTERVAL 30 MINUTE AS end_at, count(*) AS n FROM n GROUP BY user_id, no"""
+)
+def event_sessions(spark, table):
+    return incremental.sessions(table("events"), key="user_id", at="ts")
