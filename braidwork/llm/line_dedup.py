@@ -173,6 +173,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([text[a:b] for a, b in zip(starts[first], ends[first], strict=True)], pa.string())], names=["id", "line"])
 
 
+def _row_shift(n: int) -> np.uint64:
+    """Bits that are left of a 64-bit key beside the number of one of n rows."""
+    return _U(64 - max(1, int(n).bit_length()))
+
+
+def _row_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys of row number and shingle hash: a piece of a megabyte leaves 47 bits of the hash or more, one line 63."""
+    shift = _row_shift(len(at) - 1)
+    row = np.repeat(np.arange(len(at) - 1, dtype=_U), np.diff(at))
+    keys = np.sort((row << shift) | (values >> (_U(64) - shift)))
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, part in textops.pieces(batch.column(2)):
@@ -182,12 +195,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 leads = np.zeros(len(raw) + 1, np.int64)
                 np.cumsum((raw & 0xC0) != 0x80, out=leads[1:])
                 at = leads[at]
-                sides.append(textops.distinct_by_row(*_shingles(_hash_points(_code_points(raw)), at[:-1], at[1:])))
-            (x, ax), (y, ay) = sides
-            row = np.concatenate([np.repeat(np.arange(len(part)), np.diff(a)) for a in (ax, ay)])
-            both = np.concatenate([x, y])[np.argsort(row, kind="stable")]
-            union = np.diff(textops.distinct_by_row(both, np.concatenate([[0], np.cumsum(np.diff(ax) + np.diff(ay))]))[1])
-            common = np.diff(ax) + np.diff(ay) - union
+                sides.append(_row_keys(*_shingles(_hash_points(_code_points(raw)), at[:-1], at[1:])))
+            x, y = sides
+            both = np.sort(np.concatenate([x, y]))
+            shift = _row_shift(len(part))
+            common = np.bincount((both[1:][both[1:] == both[:-1]] >> shift).astype(np.int64), minlength=len(part))
+            union = np.bincount((both >> shift).astype(np.int64), minlength=len(part)) - common
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(start, len(part)), batch.column(1).slice(start, len(part)), pa.array(100 * common >= PERCENT * union)], names=["a", "b", "linked"]
             )
