@@ -5,7 +5,7 @@ hash order, which is the same order everywhere. Two documents that reach the
 threshold share a token among their first n - ceil(t n) + 1; with the prefix
 extended by K tokens they share K + 1. A token is frequent where its items lie
 in so many components that pairing them would cost more than ``RARE`` pairs an
-item; all others are rare and indexed singly. Up to K - 1 frequent tokens in a
+item; all others are rare and indexed singly. Up to K frequent tokens in a
 prefix need no index. Documents with more get a prefix in a new order, rare
 tokens first, extended by C: two of them share C + 1 of its tokens, so, with the
 tokens dealt into C classes, two tokens of one class. Remaining frequent tokens
@@ -139,9 +139,9 @@ class _Join:
         return sets.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
 
     def crowded(self, postings: DataFrame) -> DataFrame:
-        """Ids whose prefix holds as many of these tokens as it is extended by, or more."""
+        """Ids whose prefix holds more of these tokens than it is extended by."""
         sizes = self.nodes.select(F.col("node").alias("id"), "n")
-        return postings.distinct().groupBy("id").agg(F.count("*").alias("held")).join(sizes, "id").where(f"held > 1 + {_EXTENSION}").select("id")
+        return postings.distinct().groupBy("id").agg(F.count("*").alias("held")).join(sizes, "id").where(f"held > {_EXTENSION}").select("id")
 
     def components(self) -> DataFrame:
         held = shared_postings(self.postings())
@@ -159,7 +159,7 @@ class _Join:
         """Plausible pairs across components, by single rare tokens and by pairs of frequent ones.
 
         Documents crowded with frequent tokens are put in a new order: rare
-        tokens first, then frequent ones by rising count. For all others that
+        tokens first in hash order (unsigned), then frequent ones by rising count. For all others that
         order's prefix is what is left of their extended prefix.
         """
         first = written(self.crowded(held.join(frequent, "key", "left_semi").select("key", "id")), name="crowded")
@@ -179,7 +179,7 @@ class _Join:
             sets.select(F.explode("shingles").alias("key"), F.col("node").alias("id"))
             .join(frequent, "key", "left")
             .groupBy("id")
-            .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "key"))).alias("tokens"))
+            .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), (F.col("key") < 0).alias("upper"), "key"))).alias("tokens"))
             .join(n_prefix, "id")
             .select("id", "n", "shortest", F.expr(f"slice(tokens, 1, shortest + {_CLASSES.format(n=f'n * 100D / {self.percent}')})").alias("tokens"))
         )

@@ -47,3 +47,10 @@ def test_edges(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b c d e f"), (None, "q r"), (7, None)]
     found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(found, key=str) == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 1, None), (7, 0, 7)], key=str)
+
+
+def test_short_texts_of_frequent_tokens(spark):
+    base = " ".join(f"b{i}" for i in range(9))
+    rows = [(i, f"{base} own{i}") for i in range(200)] + [(200, base)]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict.fromkeys(range(201), 0)
