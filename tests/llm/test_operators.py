@@ -81,6 +81,21 @@ def test_templates(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def _kinds(item, texts):
+    index = decontaminate.Index([1], pa.array([item]))
+    return {f[0]: f[2] for f in index.leaks(pa.array(texts))}
+
+
+def test_templates_with_inserted_words_and_separators():
+    item = [f"word{i}" for i in range(39)]
+    texts = [item[:19] + ["more"] + item[19:], item[:19] + item[20:], item[:19] + ["so"] * 12 + item[19:], item[:19] + ["so"] * 60 + item[19:], item[:16] + ["other"] * 20]
+    assert _kinds(" ".join(item), [" ".join(x) for x in texts]) == {0: "exact", 1: "exact", 2: "exact"}
+    shape = "the baker sold {} loaves on the first market day and then {} more loaves on the next so how many did the baker sell in all"
+    numbers = [shape.format("1,050", "2.5"), shape.format("7.", "2 "), shape.format("950", "5"), "9." + shape.format("1", "2")]
+    assert _kinds(shape.format("950", "5"), numbers) == {0: "template", 1: "template", 2: "exact", 3: "template"}
+    assert len(decontaminate.templates(pa.array(["1,", "2", ",3.5,", "4.x 1,000,000.25"])).own) == 1 + 1 + 1 + 3
+
+
 def test_urls(spark):
     urls = ["https://www.a.example.org/en/12?x", "http://EXAMPLE.org/es/", "x://example.org", "http://com/fr/1#a", "http://notexample.org/es/", "http://a.com/de/", "no scheme", None, "://", "http://h.net/fr/", "http://x.com/fr/\nq", "a://b.org/c://d.com/de/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (None, urls[1])], "page_id long, url string")
