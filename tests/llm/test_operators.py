@@ -96,6 +96,16 @@ def test_templates_with_inserted_words_and_separators():
     assert len(decontaminate.templates(pa.array(["1,", "2", ",3.5,", "4.x 1,000,000.25"])).own) == 1 + 1 + 1 + 3
 
 
+def test_templates_with_one_changed_slot():
+    words = [f"word{i}" for i in range(59)]
+    words[10], words[40] = "Alice", "Alice"
+    copy = list(words)
+    copy[40] = "Erin"
+    short = "each day Alice reads a page before Alice sleeps"
+    assert set(_kinds(" ".join(words), [" ".join(copy)])) == {0}
+    assert set(_kinds(short, [short.replace("Alice sleeps", "Erin sleeps")])) == {0}
+
+
 def test_urls(spark):
     urls = ["https://www.a.example.org/en/12?x", "http://EXAMPLE.org/es/", "x://example.org", "http://com/fr/1#a", "http://notexample.org/es/", "http://a.com/de/", "no scheme", None, "://", "http://h.net/fr/", "http://x.com/fr/\nq", "a://b.org/c://d.com/de/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (None, urls[1])], "page_id long, url string")
