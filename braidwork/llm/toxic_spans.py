@@ -260,20 +260,29 @@ def train(labelled: DataFrame, *, sample: int = SAMPLE) -> Chain | None:
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in sequences["tags"].to_pylist()])]).astype(np.int64)
     chain = fit_chain(signs, ids, tags, bounds)
     held = chosen.where(quarter).select("toxic", "text").mapInArrow(_measured(spark.sparkContext.broadcast(chain)), "toxic int, most double, total double").toArrow()
-    chain.curve = _logistic(held["most"].to_numpy(), np.log1p(held["total"].to_numpy()), held["toxic"].to_numpy().astype(float), sizes)
+    chain.curve = _logistic(held["most"].to_numpy(), np.log1p(held["total"].to_numpy()), held["toxic"].to_numpy(), {r.toxic: r.share for r in share.collect()})
     return chain
 
 
-def _logistic(most: np.ndarray, total: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> tuple[float, float, float]:
-    x = np.stack([np.ones(len(y)), most, total], axis=1)
+def _logistic(most: np.ndarray, total: np.ndarray, toxic: np.ndarray, shares: dict[int, float]) -> tuple[float, float, float]:
+    """The curve by held-back rows, each with the weight of the labelled rows it stands for: 1 / its class's share in the sample."""
+    x = np.stack([np.ones(len(toxic)), most, total], axis=1)
+    y, w = toxic.astype(float), np.array([1 / shares[t] for t in toxic.tolist()])
     theta = np.array([-3.0, 3.0, 1.0])
     if not len(y) or y.min() == y.max():
         return tuple(map(float, theta))
+
+    def loss(theta: np.ndarray) -> float:
+        return float(w @ (np.logaddexp(0, x @ theta) - y * (x @ theta)) + 0.025 * theta @ theta)
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ theta))
-        gradient = x.T @ (y - p) - 0.05 * theta
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        theta = theta + np.linalg.solve(hessian, gradient)
+        gradient = x.T @ (w * (y - p)) - 0.05 * theta
+        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
+        step, before = np.linalg.solve(hessian, gradient), loss(theta)
+        while loss(theta + step) > before and np.abs(step).max() > 1e-9:  # large weights: a whole step may go too far
+            step = step / 2
+        theta = theta + step
     return tuple(map(float, theta))
 
 

@@ -238,3 +238,20 @@ def test_toxic(spark):
     assert all(found[i].predicted == y for i, _, y in rows[300:])
     assert found[500].predicted == found[501].predicted == 0 and found[502].spans.startswith("5:")
     assert toxic_spans.train(spark.createDataFrame([], "doc_id long, text string, toxic int")) is None
+
+
+def test_toxic_scores_follow_the_base_rate_of_all_labels(spark):
+    """2 % toxic, all with a word that 4 % of the clean ones hold too: it makes a document toxic in a third of the cases."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(6000):
+        bad = i % 100 < 2
+        words = rng.choices([f"w{k}" for k in range(40)], k=7)
+        if bad or rng.random() < 0.04:
+            words[rng.randrange(7)] = "grunz"
+        rows.append((i, " ".join(words), int(bad)))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    docs = spark.createDataFrame([(0, "w1 w2 grunz w3")], "doc_id long, text string")
+    for sample in (6000, 1000):
+        row = toxic_spans.score(docs, toxic_spans.train(labelled, sample=sample)).first()
+        assert row.predicted == 0 and 0.1 < row.score < 0.5
