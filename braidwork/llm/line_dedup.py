@@ -29,8 +29,11 @@ PERCENT = 80
 #: Bands and rows of a band: lines at the threshold share a band in 99.7 % of cases.
 BANDS, ROWS = 8, 3
 
-#: Lines of fewer characters are kept everywhere: headings, list marks and the like repeat by nature.
-LEAST_CHARS = 20
+#: Characters of a line that is signed and compared: every line that is not blank.
+LEAST_CHARS = 1
+
+#: Repeated lines of fewer characters stay in the documents, list marks and the like; in the line table they are as all others.
+KEPT_CHARS = 3
 
 #: Shingles from which a line is signed by bins of one hash.
 MANY = 96
@@ -217,7 +220,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ..) -> row_key, doc_id, line_no, rep_doc_id, rep_line_no, kept, a row a line of LEAST_CHARS or more.
+    """docs(doc_id, text, ..) -> row_key, doc_id, line_no, rep_doc_id, rep_line_no, kept, a row a line that is not blank.
 
     Lines are ``\\n``-split, numbered from 0. rep_* name the first line, by
     doc_id (null last) and number, of the component of fuzzy equality; that line
@@ -247,13 +250,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that ``line_table`` drops; a document that loses all its text goes.
+    """``docs`` without the lines that ``line_table`` drops, but for those under KEPT_CHARS; a document that loses all its text goes.
 
     Other columns stay as they are, but for n_chars, which follows the text where it is a column.
     """
     dropped = written(line_table(docs).where("NOT kept").groupBy("row_key").agg(F.collect_set("line_no").alias("_dropped")), name="dropped")
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(dropped, F.col("_key") == F.col("row_key"), "left")
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i.cast("long"))), "\n")
+    brief = lambda x: F.length(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")) < KEPT_CHARS
+    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i.cast("long")) | brief(x)), "\n")
     cut = keyed.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(text))
     cut = cut.where(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:

@@ -60,6 +60,14 @@ def test_lines_removed_from_documents(spark):
     assert line_dedup.line_table(_frame(spark, [])).count() == 0
 
 
+def test_short_lines_have_rows_and_are_dropped(spark):
+    rows = [(1, "Yes, sir.\n- \n\nno", "s"), (2, " yes, SIR.\n-\nown line", "s"), (3, "no\nYes, sir!", "s")]
+    found = {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no, r.kept) for r in line_dedup.line_table(_frame(spark, rows)).collect()}
+    first = {(2, 0): (1, 0, False), (2, 1): (1, 1, False), (3, 0): (1, 3, False)}
+    assert found == {k: first.get(k, (*k, True)) for k in ((1, 0), (1, 1), (1, 3), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1))}
+    assert sorted((r.doc_id, r.text) for r in line_dedup.without_repeats(_frame(spark, rows)).collect()) == [(1, rows[0][1]), (2, "-\nown line"), (3, "no\nYes, sir!")]
+
+
 def test_templates(spark):
     bench = spark.createDataFrame(
         [(1, "Yesterday Alice walked 5 miles and then Bob walked 7 miles so how far did Alice walk after 5 days of walking in the rain"), (2, "tiny item"), (3, None), (4, "")],
