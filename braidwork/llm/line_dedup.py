@@ -20,14 +20,14 @@ from braidwork.llm import textops
 from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, shared_postings, split_keys
 from braidwork.llm.scratch import written
 
-#: Characters of a shingle; lines with fewer are their own set.
-SHINGLE = 9
+#: Characters of a shingle; lines with fewer are their own set. One changed character leaves lines of 39 or more above PERCENT.
+SHINGLE = 4
 
 #: Percent of Jaccard similarity from which two lines count as one.
 PERCENT = 80
 
 #: Bands and rows of a band: lines at the threshold share a band in 99.7 % of cases.
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 20, 6
 
 #: Characters of a line that is signed and compared: every line that is not blank.
 LEAST_CHARS = 1
@@ -36,10 +36,10 @@ LEAST_CHARS = 1
 KEPT_CHARS = 3
 
 #: Shingles from which a line is signed by bins of one hash.
-MANY = 96
+MANY = 480
 
 _U = np.uint64
-_SEEDS = textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_SEEDS = textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
 def _code_points(raw: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
                 empty &= ~filled
         else:
             firsts = np.concatenate([[0], np.cumsum(n[picked])[:-1]])
-            signs = np.stack([np.minimum.reduceat(textops.mix(v ^ s), firsts) for s in _SEEDS], axis=1)
+            signs = np.stack([np.minimum.reduceat(v * s, firsts) for s in _SEEDS], axis=1)
         keys = np.zeros((len(picked), BANDS), dtype=_U)
         for r in range(ROWS):
             keys = textops.mix(keys * _U(31) + signs[:, r::ROWS])
