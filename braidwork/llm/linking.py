@@ -2,73 +2,91 @@
 
 Near-duplicate operators need the connected components of "similar" pairs, not
 the pairs themselves. A key shared by m items gives m - 1 hub pairs; only items
-that these leave in different components are ever paired again, so a large
+that these leave in different components meet again, and then only those pass
+the join whose sizes and sketches leave room for the threshold. So a large
 group of copies costs a number of rows in proportion to its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.scratch import drop, written
 
+#: Rows of a key that one task compares against another's rows; larger keys are dealt to several tasks.
+SALT_ROWS = 4096
+
 
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """postings(key, id) -> (key, id, hub) of keys with two ids or more; hub is the key's smallest id. Written."""
-    hubs = postings.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    return written(postings.join(hubs, "key").distinct(), name="postings")
+    """postings(key, id) -> (key, id, hub) of keys with two ids or more. Written.
+
+    hub is the id with most rows of the key, ties by the larger id: a common
+    original rather than one of its variants. Ids, copies put together, are
+    dealt by key once and both steps read that.
+    """
+    rows = postings.select("key", "id").repartition("key").groupBy("key", "id").agg(F.count("*").alias("w"))
+    hubs = rows.groupBy("key").agg(F.max(F.struct("w", "id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.id").alias("hub"))
+    return written(rows.join(hubs, "key").select("key", "id", "hub"), name="postings", release=True)
 
 
 def hub_pairs(held: DataFrame) -> DataFrame:
     """(a, b, n_common): each item with the hub of its keys, and the number of keys that tie them."""
-    return held.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n_common"))
+    return held.where("id <> hub").groupBy(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).agg(F.count("*").alias("n_common"))
 
 
 def labelled(held: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, id, component): items that no link reaches are their own component."""
-    return held.select("key", "id").join(components, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-
-
-def cross_pairs(held: DataFrame) -> DataFrame:
-    """(a, b, n_common) of items in different components that share a key; held(key, id, component).
-
-    Pairs of groups come first, then their members, so pairs inside a component are never made.
-    """
-    groups = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    left, right = groups.select("key", F.col("component").alias("ca")), groups.select("key", F.col("component").alias("cb"))
-    members = held.select("key", "component", "id")
-    return (
-        left.join(right, "key")
-        .where("ca < cb")
-        .join(members.select("key", F.col("component").alias("ca"), F.col("id").alias("x")), ["key", "ca"])
-        .join(members.select("key", F.col("component").alias("cb"), F.col("id").alias("y")), ["key", "cb"])
-        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .agg(F.count("*").alias("n_common"))
-    )
+    """``held`` with component; items that no link reaches are their own."""
+    return held.join(components.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def split_keys(held: DataFrame) -> DataFrame:
-    """Keys whose items lie in several components: (key, n, n_cross), n_cross being the pairs across components."""
+    """Keys whose items lie in several components: (key, n, n_cross, major), n_cross being the pairs across components, major the largest one."""
     groups = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+    n = F.col("n").cast("double")
     return (
         groups.groupBy("key")
-        .agg(F.count("*").alias("n_components"), F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+        .agg(F.count("*").alias("n_components"), F.sum("n").alias("n"), F.sum(n * n).alias("squares"), F.max(F.struct("n", "component")).alias("top"))
         .where("n_components > 1")
-        .select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("n_cross"))
+        .select("key", "n", ((n * n - F.col("squares")) / 2).alias("n_cross"), F.col("top.component").alias("major"))
     )
 
 
+def cross_pairs(held: DataFrame, keys: DataFrame, possible) -> DataFrame:
+    """(a, b) of items in different components that share one of ``keys`` (of ``split_keys``), where ``possible`` holds.
+
+    held(key, id, component, ..); possible(x, y) is a condition over functions
+    that name a column of either side. Rows of the largest component of a key
+    meet only rows of others, and the condition is part of the join.
+    """
+    marked = written(held.join(keys.select("key", "major", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "key"), name="marked")
+    columns = [c for c in marked.columns if c not in ("salts", "major")]
+    minor = marked.where("component <> major").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    every = marked.withColumn("lead", F.col("component") == F.col("major")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    left = minor.select("salt", *[F.col(c).alias(f"x_{c}") for c in columns])
+    right = every.select("lead", F.col("salt").alias("y_salt"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    meets = (F.col("x_key") == F.col("y_key")) & (F.col("salt") == F.col("y_salt")) & (F.col("x_component") != F.col("y_component")) & (F.col("lead") | (F.col("x_id") < F.col("y_id")))
+    found = left.join(right, meets & possible(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
+    return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
+def least_difference(x, y, names: list[str]) -> Column:
+    """At least so many elements stand in one of two sets alone, by their sketches in the columns ``names``."""
+    return sum((F.bit_count(x(s).bitwiseXOR(y(s))) for s in names[1:]), F.bit_count(x(names[0]).bitwiseXOR(y(names[0]))))
+
+
 def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """links(a, b) -> (id, component) of every id in a link; component is the smallest id it reaches.
 
     Alternating large-star and small-star rounds: each moves edges onto smaller
     ids, until every id points at its component. Each round is a written table;
-    only its row count and checksum reach the driver.
+    only whether it has settled reaches the driver.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name="edges")
-    before = _checksum(edges)
     for _ in range(most_rounds):
+        if _settled(edges):
+            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -76,14 +94,11 @@ def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFram
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), name="edges")
         drop(edges)
-        edges, after = following, _checksum(following)
-        if after == before:
-            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
-        before = after
+        edges = following
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: one way down from each id, and none from a star's centre."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty()

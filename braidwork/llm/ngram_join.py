@@ -1,28 +1,39 @@
 """Near-duplicate documents by Jaccard similarity of word shingles, exactly.
 
 Token-combination prefixes. A document's tokens are its distinct shingles in
-hash order, which is the same order everywhere. Two documents that reach the
-threshold share a token among their first n - ceil(t n) + 1; with the prefix
+hash order, which is the same order everywhere. Two documents of at least the
+threshold share a token among their first n - ceil(t n) + 1; with both prefixes
 extended by K tokens they share K + 1. A token is frequent where its items lie
 in so many components that pairing them would cost more than ``RARE`` pairs an
-item; all others are rare and indexed singly. Up to K frequent tokens in a
-prefix need no index. Documents with more get a prefix in a new order, rare
-tokens first, extended by C: two of them share C + 1 of its tokens, so, with the
-tokens dealt into C classes, two tokens of one class. Remaining frequent tokens
-are indexed in pairs within a class. Candidates are verified on whole sets.
+item; all others are rare. A document is crowded if its prefix holds more
+frequent tokens than K of the smallest partner it may have: any pair with one
+that is not crowded shares a rare token, and rare tokens are indexed singly.
+
+Crowded documents are indexed once more among themselves, in an order of rare
+tokens first. Either a rare token of their prefixes is shared, or both hold fewer
+rare tokens than a prefix has, and share none of them. Then all that they share
+are frequent tokens, and these differ in at most H - r - r' places: H is what
+the threshold allows for their sizes, r and r' are their numbers of rare tokens.
+Dealt by hash into more classes than that, the frequent tokens of some classes
+are the same in both: each class's tokens together are one combination, indexed
+as one key. There are as many classes to spare as lets one such class hold
+tokens, but for documents with more empty classes, which index those too.
+Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import textops
-from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, shared_postings, split_keys
+from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, shared_postings, split_keys
 from braidwork.llm.scratch import written
 
 #: Cross-component pairs per item up to which a token is indexed singly.
@@ -31,16 +42,17 @@ RARE = 5
 #: Candidate documents up to which their ids are broadcast to the scan of the texts (8 bytes each).
 MOST_BROADCAST = 1_000_000
 
+#: Steps in which the numbers of rare tokens of a pair are told apart.
+STEPS = 8
 
-#: How many tokens the prefix of n shingles is extended by, in SQL and for arrays.
-_EXTENSION = "(2 + n * 3 div 100)"
-
-
-#: Into how many classes the tokens of a document of n shingles fall for pairing: a power of two near n / 16.
-_CLASSES = "CAST(pow(2, greatest(0, floor(log2(({n}) / 16D)))) AS INT)"
+#: Words of 64 bits of a document's sketch, and of the part of it that goes with its keys.
+_WORDS, _FOLDED = 8, 2
+_SKETCH = [f"s{i}" for i in range(_WORDS)]
+_FOLD = [f"f{i}" for i in range(_FOLDED)]
 
 
 def extension(n: np.ndarray) -> np.ndarray:
+    """How many tokens the prefix of n shingles is extended by."""
     return 2 + n * 3 // 100
 
 
@@ -79,7 +91,56 @@ def _sets(width: int):
             for _, part in textops.pieces(batch.column(0)):
                 hashes, _, _, first = textops.words(part)
                 values, at = textops.distinct_by_row(*textops.shingles(hashes, first, width))
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, at)), textops.list_column(values, at)], names=["node", "shingles"])
+                sketch = textops.sketches(values, at, _WORDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_nodes(values, at)), pa.array(np.diff(at)), textops.list_column(values, at), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(_WORDS)]],
+                    names=["id", "n", "shingles", *_SKETCH],
+                )
+
+    return run
+
+
+def _combinations(percent: int):
+    """(id, n, r, heavy, sketch..) -> (key, id, n, r, folded sketch..): each class of a document's frequent tokens as one key.
+
+    Sizes are told apart in levels a factor of 1 / threshold wide, so a pair
+    has a level in common: its larger one's. Numbers of rare tokens are told
+    apart in ``STEPS``; a document has keys for each step its partner may be in.
+    """
+    ratio = 100 / percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, r, lists = (batch.column(k) for k in range(4))
+            sizes, rare = n.to_numpy(), r.to_numpy()
+            values, at = lists.flatten().to_numpy().view(textops.U), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+            classed, spread = textops.mix(values + textops.U(77)) >> textops.U(32), textops.mix(values ^ textops.U(0x2545F4914F6CDD1D))
+            keys, rows = [], []
+            for k in range(len(sizes)):
+                level = math.floor(math.log(sizes[k]) / math.log(ratio) + 1e-9)
+                of, own = classed[at[k] : at[k + 1]], spread[at[k] : at[k + 1]]
+                for lv in (level, level + 1):
+                    most = math.ceil(ratio ** (lv + 1) + 1e-6)  # no document of the level is larger
+                    allowed = 2 * most * (100 - percent) // (100 + percent)
+                    mine = int(rare[k]) * STEPS // (allowed + 1)
+                    for theirs in range(STEPS):
+                        left = allowed - -(-mine * (allowed + 1) // STEPS) - -(-theirs * (allowed + 1) // STEPS)
+                        if left < 0:
+                            break
+                        spare = 1 + left // 8
+                        n_classes = left + 1 + spare  # of which one more than ``spare`` are the same in both
+                        classes = (of * textops.U(n_classes) >> textops.U(32)).astype(np.int64)
+                        sums = np.zeros(n_classes, textops.U)
+                        np.add.at(sums, classes, own)
+                        some = np.flatnonzero(np.bincount(classes, minlength=n_classes))
+                        if n_classes - len(some) > spare:
+                            some = np.arange(n_classes)
+                        tag = textops.U(((lv * STEPS + min(mine, theirs)) * STEPS + max(mine, theirs)) << 32)
+                        keys.append(textops.mix(textops.mix(sums[some]) + tag + some.astype(textops.U)))
+                        rows.append(np.full(len(some), k))
+            row = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            key = pa.array((np.concatenate(keys) if keys else np.zeros(0, textops.U)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([key, ids.take(row), n.take(row), r.take(row), *[batch.column(4 + f).take(row) for f in range(_FOLDED)]], names=["key", "id", "n", "r", *_FOLD])
 
     return run
 
@@ -100,121 +161,104 @@ class _Join:
             name="nodes",
         )
 
-    def plausible(self, pairs: DataFrame, uncounted: str = "0") -> DataFrame:
-        """Pairs whose sizes and common prefix tokens leave room for the threshold; ``uncounted`` common tokens may come on top."""
+    def whole_sets(self, nodes: DataFrame) -> DataFrame:
+        """nodes(id) -> (id, n, shingles, sketch..), read from the texts again. Written."""
+        ids = nodes.join(self.nodes.select(F.col("node").alias("id"), "doc_id"), "id").select("doc_id").where("doc_id IS NOT NULL").distinct()
+        texts = self.docs.join(_small(ids, MOST_BROADCAST), "doc_id", "left_semi").unionByName(self.docs.where("doc_id IS NULL"))
+        sets = texts.select("text").mapInArrow(_sets(self.width), "id long, n long, shingles array<long>, " + ", ".join(f"{s} long" for s in _SKETCH))
+        return written(sets.join(_small(nodes, MOST_BROADCAST), "id", "left_semi").dropDuplicates(["id"]), name="sets", release=True)
+
+    def possible(self, names: list[str], *, rare: bool = False):
+        """Whether sizes and sketches (and numbers of rare tokens, where none is shared) leave room for the threshold."""
         p = self.percent
-        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("n_prefix")).alias("ra"))
-        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("n_prefix")).alias("rb"))
-        common = F.col("n_common") + F.expr(uncounted)
-        return (
-            pairs.join(a, "a")
-            .join(b, "b")
-            .where(100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-            .where((100 + p) * (common + F.greatest("ra", "rb")) >= p * (F.col("na") + F.col("nb")))
-            .select("a", "b", "na", "nb")
-        )
+
+        def condition(x, y):
+            n = x("n") + y("n")
+            allowed = n * (100 - p)  # times 100 + p: how many elements may stand in one set alone
+            near = (100 * x("n") >= p * y("n")) & (100 * y("n") >= p * x("n")) & ((100 + p) * least_difference(x, y, names) <= allowed)
+            return near & ((100 + p) * (x("r") + y("r")) <= allowed) if rare else near
+
+        return condition
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, na, nb) with ``linked``: whether their whole shingle sets reach the threshold. Written."""
-        pairs = written(pairs, name="candidates")
-        wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), name="wanted")
-        sets = self.whole_sets(wanted)
+        """(a, b) of the pairs(a, b) whose whole shingle sets reach the threshold. Written."""
+        slim = self.sets.select("id", "n", *_SKETCH)
+        side = lambda k: slim.select(*[F.col(c).alias(f"{k}_{c}") for c in slim.columns])
+        near = self.possible(_SKETCH)(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+        near = written(pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), (F.col("b") == F.col("b_id")) & near).select("a", "b"), name="candidates")
         found = (
-            pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            .select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
+            near.join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+            .join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+            .select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
         )
-        linked = 100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))
-        return written(found.select("a", "b", linked.alias("linked")), name="verified")
+        return written(found.where(100 * F.col("common") >= self.percent * (F.col("n") - F.col("common"))).select("a", "b"), name="verified", release=True)
 
-    def postings(self) -> DataFrame:
-        """(key, id) of every extended prefix; copies of a text repeat its rows."""
-        return self.base.select(F.explode("prefix").alias("key"), F.col("node").alias("id"))
-
-    def whole_sets(self, nodes: DataFrame) -> DataFrame:
-        """nodes(node) -> (node, shingles), read from the texts again."""
-        ids = nodes.join(self.nodes, "node").select("doc_id").where("doc_id IS NOT NULL").distinct()
-        texts = self.docs.join(_small(ids, MOST_BROADCAST), "doc_id", "left_semi").unionByName(self.docs.where("doc_id IS NULL"))
-        sets = texts.select("text").mapInArrow(_sets(self.width), "node long, shingles array<long>")
-        return sets.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Hub pairs whose sizes and common prefix tokens leave room for the threshold. Others may still meet by further keys."""
+        p = self.percent
+        side = lambda k: self.nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("n_prefix")).alias(f"r{k}"))
+        return (
+            pairs.join(side("a"), "a")
+            .join(side("b"), "b")
+            .where(100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+            .where((100 + p) * (F.col("n_common") + F.greatest("ra", "rb")) >= p * (F.col("na") + F.col("nb")))
+            .select("a", "b")
+        )
 
-    def crowded(self, postings: DataFrame) -> DataFrame:
-        """Ids whose prefix holds more of these tokens than it is extended by."""
+    def crowded(self, held: DataFrame, frequent: DataFrame) -> DataFrame:
+        """Ids whose prefix holds more frequent tokens than that of their smallest possible partner is extended by."""
         sizes = self.nodes.select(F.col("node").alias("id"), "n")
-        return postings.distinct().groupBy("id").agg(F.count("*").alias("held")).join(sizes, "id").where(f"held > {_EXTENSION}").select("id")
+        n_held = held.join(frequent, "key", "left_semi").groupBy("id").agg(F.count("*").alias("n_held"))
+        certain = f"least(2 + (n * {self.percent} div 100) * 3 div 100, (n * {self.percent} + 99) div 100 - 1)"  # a whole set of few tokens has no extension
+        return n_held.join(sizes, "id").where(f"n_held > {certain}").select("id")
 
     def components(self) -> DataFrame:
-        held = shared_postings(self.postings())
-        tried = self.verified(self.plausible(hub_pairs(held)))
-        components = written(connected_components(tried.where("linked").select("a", "b")), name="components")
-        held = written(labelled(held, components), name="labelled")
+        held = shared_postings(self.base.select(F.explode("prefix").alias("key"), F.col("node").alias("id")))
+        self.sets = self.whole_sets(written(held.select("id").distinct(), name="shared"))
+        links = self.verified(self.plausible(hub_pairs(held)))
+        components = written(connected_components(links), name="components")
+        held = written(labelled(held.select("key", "id"), components), name="labelled")
         keys = written(split_keys(held), name="keys")
-        frequent = keys.where(F.col("n_cross") > RARE * F.col("n")).select("key", "n")
-        pairs = self._pairs(held, components, frequent)
-        more = pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        again = self.verified(more)
-        return connected_components(tried.where("linked").select("a", "b").unionByName(again.where("linked").select("a", "b")))
-
-    def _pairs(self, held: DataFrame, components: DataFrame, frequent: DataFrame) -> DataFrame:
-        """Plausible pairs across components, by single rare tokens and by pairs of frequent ones.
-
-        Documents crowded with frequent tokens are put in a new order: rare
-        tokens first in hash order (unsigned), then frequent ones by rising count. For all others that
-        order's prefix is what is left of their extended prefix.
-        """
-        first = written(self.crowded(held.join(frequent, "key", "left_semi").select("key", "id")), name="crowded")
-        if first.isEmpty():
-            return self.plausible(cross_pairs(held))
-        sets = written(self.whole_sets(first.select(F.col("id").alias("node"))), name="sets")
-        tokens = labelled(sets.select(F.explode("shingles").alias("key"), F.col("node").alias("id")), components)
-        heavy = split_keys(tokens).where(F.col("n_cross") > RARE * F.col("n")).select("key", "n")
-        frequent = written(frequent.unionByName(heavy).groupBy("key").agg(F.max("n").alias("rank")), name="frequent")
-        among = _small(frequent.select("key"), MOST_BROADCAST)
-        second = written(self.crowded(self.postings().join(among, "key", "left_semi")).join(first, "id", "left_anti"), name="crowded")
-        if not second.isEmpty():
-            sets = sets.unionByName(written(self.whole_sets(second.select(F.col("id").alias("node"))), name="sets"))
-        crowded = first.unionByName(second)
-        n_prefix = self.nodes.select(F.col("node").alias("id"), "n", F.expr(f"CAST(n - ceil(n * {self.percent} / 100D) + 1 AS INT)").alias("shortest"))
-        ordered = (
-            sets.select(F.explode("shingles").alias("key"), F.col("node").alias("id"))
-            .join(frequent, "key", "left")
-            .groupBy("id")
-            .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), (F.col("key") < 0).alias("upper"), "key"))).alias("tokens"))
-            .join(n_prefix, "id")
-            .select("id", "n", "shortest", F.expr(f"slice(tokens, 1, shortest + {_CLASSES.format(n=f'n * 100D / {self.percent}')})").alias("tokens"))
-        )
-        ordered = written(ordered, name="ordered")
-        singles = ordered.select(F.explode(F.expr("transform(filter(tokens, t -> t.rank = 0), t -> t.key)")).alias("key"), "id")
-        wanted = _small(written(singles.select("key").distinct(), name="wanted"), 4 * MOST_BROADCAST)
-        others = self.postings().join(wanted, "key", "left_semi").distinct().join(crowded, "id", "left_anti")
-        index = written(labelled(singles.unionByName(others), components), name="index")
-        near = cross_pairs(index.join(split_keys(index).select("key"), "key", "left_semi"))
-        levels = F.array_distinct(F.array(F.expr(_CLASSES.format(n=f"n * {self.percent} / 100D")), F.expr(_CLASSES.format(n=f"n * 100D / {self.percent}"))))
-        combined = (
-            ordered.select("id", "tokens", "shortest", F.explode(levels).alias("c"))
-            .select("id", "c", F.expr("transform(filter(slice(tokens, 1, shortest + c), t -> t.rank > 0), t -> t.key)").alias("tokens"))
-            .select("id", "c", "tokens", F.posexplode("tokens").alias("at", "first"))
-            .select("id", "c", "first", F.explode(F.expr("filter(slice(tokens, at + 2, size(tokens)), t -> pmod(t, c) = pmod(first, c))")).alias("second"))
-            .select(F.xxhash64("c", F.least("first", "second"), F.greatest("first", "second")).alias("key"), "id")
-        )
-        combined = labelled(combined, components)
-        both = cross_pairs(combined.join(split_keys(combined).select("key"), "key", "left_semi"))
-        calm = held.join(crowded, "id", "left_anti").join(frequent, "key", "left_anti")
-        n_more = ordered.select("id", F.size(F.expr("filter(tokens, t -> t.rank > 0)")).alias("more"))
-        near = near.join(n_more.select(F.col("id").alias("a"), F.col("more").alias("ma")), "a", "left").join(
-            n_more.select(F.col("id").alias("b"), F.col("more").alias("mb")), "b", "left"
-        )
-        near = near.select("a", "b", (F.col("n_common") + F.coalesce(F.greatest("ma", "mb"), F.lit(0))).alias("n_common"))
-        any_count = F.lit(1 << 40).alias("n_common")
-        return (
-            self.plausible(cross_pairs(calm), uncounted=_EXTENSION.replace("n *", "least(na, nb) *"))
-            .unionByName(self.plausible(near, uncounted=_EXTENSION.replace("n *", "greatest(na, nb) *")))
-            .unionByName(self.plausible(both.select("a", "b", any_count)))
+        many = F.col("n_cross") > RARE * F.col("n")
+        crowded = written(self.crowded(held, keys.where(many)), name="crowded")
+        by_rare = held.join(self.sets.select("id", "n", *_SKETCH), "id").join(keys.where(~many).select("key"), "key", "left_semi")
+        pairs = [cross_pairs(by_rare, keys.where(~many), self.possible(_SKETCH))]
+        if crowded.isEmpty():
+            return connected_components(links.unionByName(self.verified(pairs[0])))
+        indexed = self.indexed(crowded, components)
+        few = written(indexed.select("id", "n", *_SKETCH, F.explode(F.expr("slice(rare, 1, m + 1)")).alias("key")), name="singles")
+        few = labelled(few, components)
+        pairs.append(cross_pairs(few, written(split_keys(few), name="keys"), self.possible(_SKETCH)))
+        full = indexed.where("r <= m")
+        hubs = full.select(F.explode("heavy").alias("key"), "id", "r")
+        hubs = hubs.join(hubs.groupBy("key").agg(F.min(F.struct("r", "id")).alias("first")).select("key", F.col("first.id").alias("hub")), "key")
+        pairs.append(hub_pairs(labelled(hubs, components).where("id <> hub")).select("a", "b"))
+        links = links.unionByName(self.verified(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()))
+        components = written(connected_components(links), name="components")
+        fold = [F.col(f"s{i}").bitwiseXOR(F.col(f"s{i + 2}")).bitwiseXOR(F.col(f"s{i + 4}")).bitwiseXOR(F.col(f"s{i + 6}")).alias(f"f{i}") for i in range(_FOLDED)]
+        combined = full.select("id", "n", F.col("r").cast("long").alias("r"), "heavy", *fold).mapInArrow(
+            _combinations(self.percent), "key long, id long, n long, r long, " + ", ".join(f"{f} long" for f in _FOLD)
         )
+        combined = written(labelled(combined, components), name="combined", release=True)
+        more = cross_pairs(combined, written(split_keys(combined), name="keys"), self.possible(_FOLD, rare=True))
+        return connected_components(links.unionByName(self.verified(more)))
+
+    def indexed(self, crowded: DataFrame, components: DataFrame) -> DataFrame:
+        """Crowded ids with their tokens, rare and frequent apart: (id, n, m, r, rare, heavy, sketch..). Written.
+
+        Frequent is what is so among the crowded; m is how many tokens a document may hold that a partner lacks.
+        """
+        sets = self.sets.join(crowded, "id", "left_semi")
+        tokens = written(labelled(sets.select(F.explode("shingles").alias("key"), "id"), components), name="tokens")
+        heavy = split_keys(tokens).where(F.col("n_cross") > RARE * F.col("n")).select("key", F.lit(True).alias("frequent"))
+        apart = tokens.select("key", "id").join(_small(written(heavy, name="heavy"), MOST_BROADCAST), "key", "left")
+        apart = apart.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("frequent").isNull(), F.col("key")))).alias("rare"), F.collect_list(F.when(F.col("frequent"), F.col("key"))).alias("heavy"))
+        m = F.expr(f"CAST(n - (n * {self.percent} + 99) div 100 AS INT)")
+        return written(apart.join(sets.select("id", "n", *_SKETCH), "id").withColumn("m", m).withColumn("r", F.size("rare")), name="indexed", release=True)
 
 
 def _small(keys: DataFrame, most: int) -> DataFrame:
-    """``keys`` (one 64-bit column) marked for broadcast if it has ``most`` rows or fewer; else joined by shuffle."""
+    """``keys`` marked for broadcast if it has ``most`` rows or fewer; else joined by shuffle."""
     return F.broadcast(keys) if keys.count() <= most else keys
 
 

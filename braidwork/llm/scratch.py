@@ -14,17 +14,19 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
-def written(df: DataFrame, *, name: str = "part") -> DataFrame:
+def written(df: DataFrame, *, name: str = "part", release: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing.
 
-    The table goes when the driver's JVM ends.
+    The table goes when the driver's JVM ends. ``release`` is for steps with large
+    shuffles: Spark deletes their files once the driver's objects for them are gone.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark._jvm
-    gc.collect()
-    jvm.System.gc()  # Spark deletes the shuffle files of a finished job once the driver's objects for it are gone
+    if release:
+        gc.collect()
+        jvm.System.gc()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -136,6 +136,20 @@ def distinct_by_row(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return values, np.searchsorted(row, np.arange(len(at)))
 
 
+def sketches(values: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """(rows, words) of 64 bits: a row's distinct hashes dealt to bits, each the parity of its number.
+
+    Two sets differ in at least as many elements as their sketches in bits.
+    """
+    out = np.zeros((len(at) - 1, words), U)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        bit, word = U(1) << (values & U(63)), ((values >> U(6)) % U(words)).astype(np.int64)
+        for w in range(words):
+            out[some, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, U(0)), at[some])
+    return out
+
+
 def list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """Rows of 64-bit values as an Arrow list column."""
     return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(values.view(np.int64), pa.int64())).cast(pa.list_(pa.int64()))

@@ -54,3 +54,40 @@ def test_short_texts_of_frequent_tokens(spark):
     rows = [(i, f"{base} own{i}") for i in range(200)] + [(200, base)]
     found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
     assert {r.doc_id: r.component_id for r in found} == dict.fromkeys(range(201), 0)
+
+
+def test_calm_documents_with_frequent_prefixes(spark):
+    """Two texts at exactly the threshold whose common prefix tokens are all frequent, beside documents that share a passage."""
+    rng = random.Random(12)
+    words = [f"a{i}" for i in range(23)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[3:]))]
+    for i in range(20):
+        at = rng.randrange(0, 18)
+        rows.append((2 + i, " ".join([f"u{i}x{k}" for k in range(8)] + words[at : at + 6] + [f"v{i}x{k}" for k in range(8)])))
+    passage = [f"p{k}" for k in range(8)]
+    rows += [(30 + i, " ".join(passage + [f"q{i}x{k}" for k in range(rng.randrange(3, 12))])) for i in range(40)]
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near_duplicates(rows, 4, 85)
+
+
+def test_variants_about_the_threshold(spark):
+    """Texts cut out of and inserted into a few originals, so that most pairs lie just above or below the threshold, with few tokens of their own."""
+    rng = random.Random(13)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(rng.randrange(30, 70))]
+        inserts = [[f"f{family}i{j}x{k}" for k in range(3)] for j in range(5)]
+        for _ in range(60):
+            out = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.choice([5, 12, 20, 26])
+                out[at : at + rng.randrange(0, 3)] = rng.choice(inserts)
+            rows.append((len(rows), " ".join(out[rng.randrange(0, 4) : len(out) - rng.randrange(0, 4)])))
+    kept, ngram_join.RARE = ngram_join.RARE, 1
+    try:
+        found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
+    finally:
+        ngram_join.RARE = kept
+    expected = brute.near_duplicates(rows, 4, 85)
+    assert len({c for _, c in expected.values()}) > 10
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
