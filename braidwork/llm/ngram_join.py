@@ -77,9 +77,10 @@ def _sketch(width: int, percent: int):
                 keep = (np.arange(len(values)) - at[:-1][row]) < length[row]
                 cut = np.zeros(len(at), np.int64)
                 np.cumsum(length, out=cut[1:])
+                sketch = textops.sketches(values, at, _WORDS).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(part)), pa.array(n), pa.array(_nodes(values, at)), textops.list_column(values[keep], cut)],
-                    names=["doc_id", "n_shingles", "node", "prefix"],
+                    [batch.column(0).slice(start, len(part)), pa.array(n), pa.array(_nodes(values, at)), textops.list_column(values[keep], cut), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(_WORDS)]],
+                    names=["doc_id", "n_shingles", "node", "prefix", *_SKETCH],
                 )
 
     return run
@@ -91,11 +92,7 @@ def _sets(width: int):
             for _, part in textops.pieces(batch.column(0)):
                 hashes, _, _, first = textops.words(part)
                 values, at = textops.distinct_by_row(*textops.shingles(hashes, first, width))
-                sketch = textops.sketches(values, at, _WORDS).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_nodes(values, at)), pa.array(np.diff(at)), textops.list_column(values, at), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(_WORDS)]],
-                    names=["id", "n", "shingles", *_SKETCH],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, at)), textops.list_column(values, at)], names=["id", "shingles"])
 
     return run
 
@@ -152,21 +149,21 @@ class _Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.width, self.percent = width, percent
         self.base = written(
-            self.docs.mapInArrow(_sketch(width, percent), "doc_id long, n_shingles long, node long, prefix array<long>"), name="sketch"
+            self.docs.mapInArrow(_sketch(width, percent), "doc_id long, n_shingles long, node long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)), name="sketch"
         )
         self.nodes = written(
             self.base.where("n_shingles > 0")
-            .groupBy("node")
-            .agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.first(F.size("prefix").cast("long")).alias("n_prefix")),
+            .groupBy(F.col("node").alias("id"))
+            .agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.first(F.size("prefix").cast("long")).alias("n_prefix"), *[F.first(s).alias(s) for s in _SKETCH]),
             name="nodes",
         )
 
     def whole_sets(self, nodes: DataFrame) -> DataFrame:
-        """nodes(id) -> (id, n, shingles, sketch..), read from the texts again. Written."""
-        ids = nodes.join(self.nodes.select(F.col("node").alias("id"), "doc_id"), "id").select("doc_id").where("doc_id IS NOT NULL").distinct()
+        """nodes(id) -> (id, shingles), read from the texts again. Written."""
+        ids = written(nodes.join(self.nodes.select("id", "doc_id"), "id").select("doc_id").where("doc_id IS NOT NULL").distinct(), name="ids")
         texts = self.docs.join(_small(ids, MOST_BROADCAST), "doc_id", "left_semi").unionByName(self.docs.where("doc_id IS NULL"))
-        sets = texts.select("text").mapInArrow(_sets(self.width), "id long, n long, shingles array<long>, " + ", ".join(f"{s} long" for s in _SKETCH))
-        return written(sets.join(_small(nodes, MOST_BROADCAST), "id", "left_semi").dropDuplicates(["id"]), name="sets", release=True)
+        sets = texts.select("text").mapInArrow(_sets(self.width), "id long, shingles array<long>")
+        return written(sets.join(nodes, "id", "left_semi").dropDuplicates(["id"]), name="sets", release=True)
 
     def possible(self, names: list[str], *, rare: bool = False):
         """Whether sizes and sketches (and numbers of rare tokens, where none is shared) leave room for the threshold."""
@@ -182,13 +179,14 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs(a, b) whose whole shingle sets reach the threshold. Written."""
-        slim = self.sets.select("id", "n", *_SKETCH)
+        slim = self.nodes.select("id", "n", *_SKETCH)
         side = lambda k: slim.select(*[F.col(c).alias(f"{k}_{c}") for c in slim.columns])
         near = self.possible(_SKETCH)(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
         near = written(pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), (F.col("b") == F.col("b_id")) & near).select("a", "b"), name="candidates")
+        sets = self.whole_sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         found = (
-            near.join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+            near.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+            .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
         )
         return written(found.where(100 * F.col("common") >= self.percent * (F.col("n") - F.col("common"))).select("a", "b"), name="verified", release=True)
@@ -196,7 +194,7 @@ class _Join:
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Hub pairs whose sizes and common prefix tokens leave room for the threshold. Others may still meet by further keys."""
         p = self.percent
-        side = lambda k: self.nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("n_prefix")).alias(f"r{k}"))
+        side = lambda k: self.nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("n_prefix")).alias(f"r{k}"))
         return (
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
@@ -207,21 +205,20 @@ class _Join:
 
     def crowded(self, held: DataFrame, frequent: DataFrame) -> DataFrame:
         """Ids whose prefix holds more frequent tokens than that of their smallest possible partner is extended by."""
-        sizes = self.nodes.select(F.col("node").alias("id"), "n")
+        sizes = self.nodes.select("id", "n")
         n_held = held.join(frequent, "key", "left_semi").groupBy("id").agg(F.count("*").alias("n_held"))
         certain = f"least(2 + (n * {self.percent} div 100) * 3 div 100, (n * {self.percent} + 99) div 100 - 1)"  # a whole set of few tokens has no extension
         return n_held.join(sizes, "id").where(f"n_held > {certain}").select("id")
 
     def components(self) -> DataFrame:
         held = shared_postings(self.base.select(F.explode("prefix").alias("key"), F.col("node").alias("id")))
-        self.sets = self.whole_sets(written(held.select("id").distinct(), name="shared"))
         links = self.verified(self.plausible(hub_pairs(held)))
         components = written(connected_components(links), name="components")
         held = written(labelled(held.select("key", "id"), components), name="labelled")
         keys = written(split_keys(held), name="keys")
         many = F.col("n_cross") > RARE * F.col("n")
         crowded = written(self.crowded(held, keys.where(many)), name="crowded")
-        by_rare = held.join(self.sets.select("id", "n", *_SKETCH), "id").join(keys.where(~many).select("key"), "key", "left_semi")
+        by_rare = held.join(keys.where(~many).select("key"), "key", "left_semi").join(self.nodes.select("id", "n", *_SKETCH), "id")
         pairs = [cross_pairs(by_rare, keys.where(~many), self.possible(_SKETCH))]
         if crowded.isEmpty():
             return connected_components(links.unionByName(self.verified(pairs[0])))
@@ -248,13 +245,13 @@ class _Join:
 
         Frequent is what is so among the crowded; m is how many tokens a document may hold that a partner lacks.
         """
-        sets = self.sets.join(crowded, "id", "left_semi")
+        sets = self.whole_sets(crowded)
         tokens = written(labelled(sets.select(F.explode("shingles").alias("key"), "id"), components), name="tokens")
         heavy = split_keys(tokens).where(F.col("n_cross") > RARE * F.col("n")).select("key", F.lit(True).alias("frequent"))
         apart = tokens.select("key", "id").join(_small(written(heavy, name="heavy"), MOST_BROADCAST), "key", "left")
         apart = apart.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("frequent").isNull(), F.col("key")))).alias("rare"), F.collect_list(F.when(F.col("frequent"), F.col("key"))).alias("heavy"))
         m = F.expr(f"CAST(n - (n * {self.percent} + 99) div 100 AS INT)")
-        return written(apart.join(sets.select("id", "n", *_SKETCH), "id").withColumn("m", m).withColumn("r", F.size("rare")), name="indexed", release=True)
+        return written(apart.join(self.nodes.select("id", "n", *_SKETCH), "id").withColumn("m", m).withColumn("r", F.size("rare")), name="indexed", release=True)
 
 
 def _small(keys: DataFrame, most: int) -> DataFrame:
@@ -275,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     join = _Join(docs, width, percent)
     components = join.components().select(F.col("id").alias("node"), "component")
     full = join.base.select("doc_id", "n_shingles", "node")
-    named = join.nodes.select("node", "doc_id").join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = join.nodes.select(F.col("id").alias("node"), "doc_id").join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component_id")
     return full.join(by_node, "node", "left").select(
