@@ -1,9 +1,12 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find.
 
 A line is compared in lower case without outer blanks. Its set is its distinct
-``SHINGLE``-character substrings. Lines of many shingles are signed by one hash
-dealt into bins, short ones by a hash function a bin; lines near the border are
-signed both ways. Lines that share a band are verified on their whole sets.
+``SHINGLE``-character substrings; two lines count as one from ``PERCENT`` percent
+of Jaccard similarity. Signatures are taken over wider shingles where a line is
+long: lines of one language share many short shingles and few wide ones, so few
+pairs that are not alike share a band. A line of many shingles is signed by few
+hashes dealt into bins, one of few shingles by a hash a value. Lines that share a
+band are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import textops
-from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, shared_postings, split_keys
-from braidwork.llm.scratch import written
+from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys
+from braidwork.llm.scratch import drop, written
 
 #: Characters of a shingle; lines with fewer are their own set. One changed character leaves lines of 39 or more above PERCENT.
 SHINGLE = 4
@@ -26,20 +29,35 @@ SHINGLE = 4
 #: Percent of Jaccard similarity from which two lines count as one.
 PERCENT = 80
 
-#: Bands and rows of a band: lines at the threshold share a band in 99.7 % of cases.
-BANDS, ROWS = 20, 6
+#: Characters of the shingles by which a long line is signed.
+WIDE = 8
 
-#: Characters of a line that is signed and compared: every line that is not blank.
-LEAST_CHARS = 1
+#: Bands of a signature; rows of a band for short lines, and for long ones, whose wide shingles agree less.
+BANDS, ROWS, WIDE_ROWS = 20, 6, 4
+
+#: Characters from which a line is signed as a long one, and up to which as a short one.
+LONG, SHORT = 48, 64
+
+#: Long lines by number of wide shingles: from how many on, and into how many bins a hash is dealt.
+LEVELS = ((0, 1), (128, 16), (640, 80))
 
 #: Repeated lines of fewer characters stay in the documents, list marks and the like; in the line table they are as all others.
 KEPT_CHARS = 3
 
-#: Shingles from which a line is signed by bins of one hash.
-MANY = 480
+#: Lines up to which their ids are broadcast to the scan of the texts (8 bytes each).
+MOST_BROADCAST = 2_000_000
+
+#: Ids of lines that a task remembers, so as to sign each once.
+REMEMBERED = 1_000_000
+
+_WORDS = 8
+_SKETCH = [f"s{i}" for i in range(_WORDS)]
+_BITS = 1024
+_NONE = np.iinfo(np.uint64).max
 
 _U = np.uint64
 _SEEDS = textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+_HALVES = (slice(0, BANDS // 2), slice(BANDS // 2, BANDS))
 
 
 def _code_points(raw: np.ndarray) -> np.ndarray:
@@ -89,91 +107,147 @@ def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return _hash_points(points), row, number, starts, ends
 
 
-def _shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each line (repeats included), and where each line's begin."""
     length = ends - starts
-    n = np.where(length > SHINGLE, length - SHINGLE + 1, (length > 0).astype(np.int64))
+    n = np.where(length > width, length - width + 1, (length > 0).astype(np.int64))
     at = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=at[1:])
-    every = sums[SHINGLE:] - sums[:-SHINGLE]  # each place at once, then those inside a line
+    every = sums[width:] - sums[:-width]  # each place at once, then those inside a line
     every *= textops._powers(textops._INVERSE, len(every))
     step = np.ones(int(at[-1]), dtype=np.int64)
     some = np.flatnonzero(n)
     step[at[some]] = starts[some] - np.concatenate([[0], starts[some[:-1]] + n[some[:-1]] - 1])
     begin = np.cumsum(step)
     values = every[np.minimum(begin, max(len(every) - 1, 0))] if len(every) else np.zeros(len(begin), _U)
-    short = np.flatnonzero((length > 0) & (length < SHINGLE))
+    short = np.flatnonzero((length > 0) & (length < width))
     values[at[short]] = (sums[ends[short]] - sums[starts[short]]) * textops._powers(textops._INVERSE, len(sums))[starts[short]] + length[short].astype(_U)
     return textops.mix(values), at
 
 
-def _signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and the line each belongs to."""
-    n, k = np.diff(at), BANDS * ROWS
-    out_keys, out_lines = [], []
-    low, high = MANY * PERCENT // 100, MANY * 100 // PERCENT + 1
-    for binned, chosen in ((True, n >= low), (False, (n > 0) & (n < high))):
-        picked = np.flatnonzero(chosen)
-        if not len(picked):
+def _distinct(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """About how many distinct shingles each line has, counted by the bits they fall on."""
+    n, filled = np.diff(at), []
+    for start in range(0, len(n), 1 << 14):
+        some = n[start : start + (1 << 14)]
+        bits = np.zeros(len(some) * _BITS, np.uint8)
+        own = values[at[start] : at[start + len(some)]] & _U(_BITS - 1)
+        bits[np.repeat(np.arange(len(some)) * _BITS, some) + own.view(np.int64)] = 1
+        filled.append(bits.reshape(-1, _BITS).sum(axis=1, dtype=np.int64))
+    return -_BITS * np.log1p(-np.minimum(np.concatenate(filled), _BITS - 1) / _BITS)
+
+
+def _signed(values: np.ndarray, at: np.ndarray, rows: int, bins: int, tag: int) -> np.ndarray:
+    """(lines, BANDS) keys: as many hashes as it takes, each dealt into ``bins`` smallest values."""
+    n, k = np.diff(at), BANDS * rows
+    signs = []
+    if bins > 1:
+        base = np.repeat(np.arange(len(n), dtype=np.int64) * bins, n)
+    for seed in _SEEDS[: -(-k // bins)]:
+        hashed = values * seed
+        if bins == 1:
+            signs.append(np.minimum.reduceat(hashed, at[:-1])[:, None])
             continue
-        keep = np.repeat(chosen, n)
-        v = values[keep]
-        line = np.repeat(np.arange(len(picked)), n[picked])
-        if binned:
-            signs = np.full(len(picked) * k, np.iinfo(np.uint64).max, dtype=_U)
-            np.minimum.at(signs, line * k + (((v >> _U(32)) * _U(k)) >> _U(32)).astype(np.int64), v * _U(0x9FB21C651E98DF25))
-            signs = signs.reshape(-1, k)
-            empty = signs == np.iinfo(np.uint64).max
-            for step in range(1, k):  # an empty bin takes the next filled one's value, marked by the distance
-                if not empty.any():
-                    break
-                ahead = np.roll(signs, -step, axis=1)
-                filled = empty & ~np.roll(empty, -step, axis=1)
-                signs[filled] = textops.mix(ahead[filled] + _U(step))
-                empty &= ~filled
-        else:
-            firsts = np.concatenate([[0], np.cumsum(n[picked])[:-1]])
-            signs = np.stack([np.minimum.reduceat(v * s, firsts) for s in _SEEDS], axis=1)
-        keys = np.zeros((len(picked), BANDS), dtype=_U)
-        for r in range(ROWS):
-            keys = textops.mix(keys * _U(31) + signs[:, r::ROWS])
-        keys = textops.mix(keys + (np.arange(BANDS, dtype=_U) + _U(BANDS * binned)))
-        out_keys.append(keys.ravel())
-        out_lines.append(np.repeat(picked, BANDS))
-    if not out_keys:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    keys, lines = np.concatenate(out_keys), np.concatenate(out_lines)
-    order = np.argsort(lines, kind="stable")
-    return keys[order], lines[order]
+        least = np.full(len(n) * bins, _NONE, dtype=_U)
+        np.minimum.at(least, base + (((hashed >> _U(32)) * _U(bins)) >> _U(32)).view(np.int64), hashed)
+        least = least.reshape(-1, bins)
+        empty = least == _NONE
+        for step in range(1, bins):  # an empty bin takes the next filled one's value, marked by the distance
+            if not empty.any():
+                break
+            ahead = np.roll(least, -step, axis=1)
+            filled = empty & ~np.roll(empty, -step, axis=1)
+            least[filled] = textops.mix(ahead[filled] + _U(step))
+            empty &= ~filled
+        signs.append(least)
+    signs = np.concatenate(signs, axis=1)[:, :k]
+    keys = np.zeros((len(n), BANDS), dtype=_U)
+    for r in range(rows):
+        keys = textops.mix(keys * _U(31) + signs[:, r::rows])
+    return textops.mix(keys + (np.arange(BANDS, dtype=_U) + _U(BANDS * tag)))
+
+
+def _picked(values: np.ndarray, at: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some lines alone, and where each one's begin."""
+    n = np.diff(at)[lines]
+    out = np.zeros(len(lines) + 1, np.int64)
+    np.cumsum(n, out=out[1:])
+    return values[np.repeat(at[:-1][lines] - out[:-1], n) + np.arange(out[-1])], out
+
+
+def _signatures(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(lines, keys) for each way of signing; a line near a border is signed in both ways."""
+    length = ends - starts
+    found = []
+    wide = np.flatnonzero(length >= LONG)
+    short = length < SHORT
+    if len(wide):
+        values, at = _shingles(sums, starts[wide], ends[wide], WIDE)
+        about = _distinct(values, at)
+        short[wide[about < SHORT]] = True  # long, but of few shingles over and over
+        for k, (least, bins) in enumerate(LEVELS):
+            most = LEVELS[k + 1][0] if k + 1 < len(LEVELS) else np.inf
+            chosen = np.flatnonzero((about >= 0.78 * least) & (about < most / 0.78))
+            if len(chosen):
+                found.append((wide[chosen], _signed(*_picked(values, at, chosen), WIDE_ROWS, bins, k + 1)))
+    short = np.flatnonzero(short)
+    if len(short):
+        found.append((short, _signed(*_shingles(sums, starts[short], ends[short]), ROWS, 1, 0)))
+    return found
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(0, np.int64)
     for batch in batches:
         for start, part in textops.pieces(batch.column(2)):
             sums, row, number, starts, ends = lines_of(part)
-            long = ends - starts >= LEAST_CHARS
-            row, number, starts, ends = row[long], number[long], starts[long], ends[long]
+            some = ends > starts
+            row, number, starts, ends = row[some], number[some], starts[some], ends[some]
             ids = textops.span_hashes(sums, starts, ends).view(np.int64)
-            keys, lines = _signatures(*_shingles(sums, starts, ends))
-            cut = np.searchsorted(lines, np.arange(len(ids) + 1))
+            fresh, first = np.unique(ids, return_index=True)
+            new = ~np.isin(fresh, seen, assume_unique=True)
+            fresh, first = fresh[new], first[new]
+            seen = np.union1d(seen, fresh) if len(seen) < REMEMBERED else fresh
+            signed = _signatures(sums, starts[first], ends[first])
+            lines = first[np.concatenate([x for x, _ in signed])] if signed else np.zeros(0, np.int64)
+            keys = np.concatenate([x for _, x in signed]) if signed else np.zeros((0, BANDS), _U)
+            order = np.argsort(lines, kind="stable")
+            cut = np.searchsorted(lines[order], np.arange(len(ids) + 1)) * (BANDS // 2)
             taken = pa.array(row + start)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(number), pa.array(ids), textops.list_column(keys, cut)],
-                names=["row_key", "doc_id", "line_no", "id", "bands"],
+                [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(number), pa.array(ids), *[textops.list_column(keys[order, half].ravel(), cut) for half in _HALVES]],
+                names=["row_key", "doc_id", "line_no", "id", "bands0", "bands1"],
             )
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, part in textops.pieces(batch.column(0)):
-            lowered = pc.utf8_lower(part.cast(pa.large_string()))
-            raw, _ = textops.buffers(lowered)
-            text = raw.tobytes().decode("utf-8")
-            sums, _, _, starts, ends = lines_of(part)
-            long = ends - starts >= LEAST_CHARS
-            starts, ends = starts[long], ends[long]
-            ids, first = np.unique(textops.span_hashes(sums, starts, ends).view(np.int64), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([text[a:b] for a, b in zip(starts[first], ends[first], strict=True)], pa.string())], names=["id", "line"])
+def _texts(wanted):
+    """A scan for whole lines: (id, line, n, sketch..); only those of the broadcast ids, if there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = wanted.value if wanted is not None else None
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, part in textops.pieces(batch.column(0)):
+                sums, _, _, starts, ends = lines_of(part)
+                some = ends > starts
+                starts, ends = starts[some], ends[some]
+                ids, first = np.unique(textops.span_hashes(sums, starts, ends).view(np.int64), return_index=True)
+                new = ~np.isin(ids, seen, assume_unique=True)
+                if chosen is not None:
+                    new &= np.isin(ids, chosen, assume_unique=True)
+                ids, first = ids[new], first[new]
+                seen = np.union1d(seen, ids) if len(seen) < REMEMBERED else ids
+                text = textops.buffers(pc.utf8_lower(part.cast(pa.large_string())))[0].tobytes().decode("utf-8") if len(ids) else ""
+                keys = _row_keys(*_shingles(sums, starts[first], ends[first]))
+                shift = _row_shift(len(ids))
+                at = np.searchsorted(keys >> shift, np.arange(len(ids) + 1, dtype=_U)).astype(np.int64)
+                sketch = textops.sketches(textops.mix(keys & ((_U(1) << shift) - _U(1))), at, _WORDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array([text[a:b] for a, b in zip(starts[first], ends[first], strict=True)], pa.string()), pa.array(np.diff(at)), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(_WORDS)]],
+                    names=["id", "line", "n", *_SKETCH],
+                )
+
+    return run
 
 
 def _row_shift(n: int) -> np.uint64:
@@ -209,14 +283,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) with ``linked``, from the lines' whole sets. Written."""
-    pairs = written(pairs.select("a", "b"), name="candidates")
-    wanted = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), name="wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= 2_000_000 else wanted  # eight bytes each
-    texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_texts, "id long, line string").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-    return written(full.select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long, linked boolean"), name="verified")
+def _whole_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(id) -> (id, line, n, sketch..) from the texts. Written."""
+    spark = docs.sparkSession
+    known = None
+    if wanted.count() <= MOST_BROADCAST:
+        known = spark.sparkContext.broadcast(np.sort(wanted.select("id").toArrow()["id"].to_numpy()))
+    lines = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_texts(known), "id long, line string, n long, " + ", ".join(f"{s} long" for s in _SKETCH))
+    if known is None:
+        lines = lines.join(wanted, "id", "left_semi")
+    return written(lines.dropDuplicates(["id"]), name="texts", release=True)
+
+
+def _possible(x, y):
+    """Whether the sizes and sketches of two lines leave room for the threshold."""
+    p = PERCENT
+    near = (100 * x("n") >= p * y("n")) & (100 * y("n") >= p * x("n"))
+    return near & ((100 + p) * least_difference(x, y, _SKETCH) <= (100 - p) * (x("n") + y("n")))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs(a, b) that reach the threshold on their lines' whole sets. Written."""
+    full = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
+    found = full.select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long, linked boolean")
+    return written(found.where("linked").select("a", "b"), name="verified", release=True)
+
+
+def _components(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, component) of the lines that any other is like."""
+    held = [shared_postings(lines.where(f"size({bands}) > 0").select(F.explode(bands).alias("key"), "id")) for bands in ("bands0", "bands1")]
+    both = held[0].unionByName(held[1])
+    texts = _whole_lines(docs, written(both.select("id").distinct(), name="wanted"))
+    links = _verified(texts, hub_pairs(both))
+    components = written(connected_components(links), name="components")
+    postings, held = held, written(labelled(both.select("key", "id"), components), name="labelled")
+    drop(*postings)
+    keys = written(split_keys(held), name="keys")
+    open_ = held.join(keys.select("key"), "key", "left_semi").join(texts.select("id", "n", *_SKETCH), "id")
+    return connected_components(links.unionByName(_verified(texts, cross_pairs(open_, keys, _possible))))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -225,22 +329,19 @@ def line_table(docs: DataFrame) -> DataFrame:
     Lines are ``\\n``-split, numbered from 0. rep_* name the first line, by
     doc_id (null last) and number, of the component of fuzzy equality; that line
     alone is kept. row_key is a hash of doc_id and text: repeated rows are one
-    document, and keep or lose the same lines. Null texts have no lines.
+    document, and keep or lose the same lines. Null and empty texts have no
+    lines, an empty table gives none. Other columns of ``docs`` are not read.
     """
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(keyed.where("text IS NOT NULL").mapInArrow(_sign, "row_key long, doc_id long, line_no long, id long, bands array<long>"), name="lines")
-    held = shared_postings(lines.select(F.explode("bands").alias("key"), "id"))
-    tried = _verified(docs, hub_pairs(held))
-    links = tried.where("linked").select("a", "b")
-    components = written(connected_components(links), name="components")
-    held = written(labelled(held, components), name="labelled")
-    more = cross_pairs(held.join(split_keys(held).select("key"), "key", "left_semi"))
-    again = _verified(docs, more.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    components = connected_components(links.unionByName(again.where("linked").select("a", "b")))
-    lines = lines.select("row_key", "doc_id", "line_no", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lines = written(keyed.where("text IS NOT NULL").mapInArrow(_sign, "row_key long, doc_id long, line_no long, id long, bands0 array<long>, bands1 array<long>"), name="lines")
+    components = _components(docs, lines)
+    lines = lines.select("row_key", "doc_id", "line_no", "id")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("row_key").alias("k"))
-    firsts = lines.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
-    found = lines.join(firsts, "component", "left")
+    ids = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ids = written(ids, name="ids", release=True)
+    groups = ids.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1").select("component", "first")
+    by_id = written(ids.select("id", "component", "n").join(groups, "component").select("id", "n", "first"), name="firsts")
+    found = left_join(lines, by_id, "id", "n")
     kept = F.col("first").isNull() | ((F.col("first.k") == F.col("row_key")) & (F.col("first.l") == F.col("line_no")))
     return found.select(
         "row_key", "doc_id", "line_no",
@@ -252,14 +353,16 @@ def line_table(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``line_table`` drops, but for those under KEPT_CHARS; a document that loses all its text goes.
 
-    Other columns stay as they are, but for n_chars, which follows the text where it is a column.
+    Columns and their names stay as they are, but for the values of n_chars,
+    which follow the text where it is a column. Documents without text stay.
     """
-    dropped = written(line_table(docs).where("NOT kept").groupBy("row_key").agg(F.collect_set("line_no").alias("_dropped")), name="dropped")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(dropped, F.col("_key") == F.col("row_key"), "left")
+    dropped = written(line_table(docs).where("NOT kept").groupBy("row_key").agg(F.collect_set("line_no").alias("dropped")), name="dropped")
+    row, text, gone = F.col("row"), F.col("row.text").cast("string"), F.col("dropped")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("row")).join(dropped, F.col("key") == F.col("row_key"), "left")
     brief = lambda x: F.length(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")) < KEPT_CHARS
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i.cast("long")) | brief(x)), "\n")
-    cut = keyed.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(text))
-    cut = cut.where(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i.cast("long")) | brief(x)), "\n")
+    cut = keyed.withColumn("cut", F.when(gone.isNull(), text).otherwise(left)).where(gone.isNull() | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    shown = row.withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        shown = shown.withField("n_chars", F.when(gone.isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(shown.alias("row")).select("row.*")

@@ -17,6 +17,9 @@ from braidwork.llm.scratch import drop, written
 #: Rows of a key that one task compares against another's rows; larger keys are dealt to several tasks.
 SALT_ROWS = 4096
 
+#: Rows from which a key is joined by broadcast, and how many such keys may be.
+HOT, MOST_BROADCAST = 1000, 1_000_000
+
 
 def shared_postings(postings: DataFrame) -> DataFrame:
     """postings(key, id) -> (key, id, hub) of keys with two ids or more. Written.
@@ -70,6 +73,20 @@ def cross_pairs(held: DataFrame, keys: DataFrame, possible) -> DataFrame:
     return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
+def left_join(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of ``table``(key, .., size) but for ``size``, which is how many rows a key has, about.
+
+    Keys of ``HOT`` rows or more are joined by broadcast: there is at most one in
+    so many rows of them. The others are dealt by key, none of them large.
+    """
+    common = table.where(F.col(size) >= HOT)
+    if common.count() > MOST_BROADCAST:
+        return rows.join(table.drop(size), key, "left")
+    marked = rows.join(F.broadcast(common.drop(size).withColumn("often", F.lit(True))), key, "left")
+    rest = marked.where("often IS NULL").select(*rows.columns).join(table.where(F.col(size) < HOT).drop(size), key, "left")
+    return marked.where("often").drop("often").unionByName(rest)
+
+
 def least_difference(x, y, names: list[str]) -> Column:
     """At least so many elements stand in one of two sets alone, by their sketches in the columns ``names``."""
     return sum((F.bit_count(x(s).bitwiseXOR(y(s))) for s in names[1:]), F.bit_count(x(names[0]).bitwiseXOR(y(names[0]))))

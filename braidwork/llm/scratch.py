@@ -29,14 +29,14 @@ def written(df: DataFrame, *, name: str = "part", release: bool = False) -> Data
         jvm.System.gc()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that nothing reads any more."""
     for df in tables:
-        spark, files = df.sparkSession, df.inputFiles()
-        if not files:
-            continue
-        where = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        if path := getattr(df, "scratch_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
