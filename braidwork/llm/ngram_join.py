@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import textops
-from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, shared_postings, split_keys
-from braidwork.llm.scratch import written
+from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys
+from braidwork.llm.scratch import drop, written
 
 #: Cross-component pairs per item up to which a token is indexed singly.
 RARE = 5
@@ -45,10 +45,9 @@ MOST_BROADCAST = 1_000_000
 #: Steps in which the numbers of rare tokens of a pair are told apart.
 STEPS = 8
 
-#: Words of 64 bits of a document's sketch, and of the part of it that goes with its keys.
-_WORDS, _FOLDED = 8, 2
+#: Words of 64 bits of a document's sketch.
+_WORDS = 16
 _SKETCH = [f"s{i}" for i in range(_WORDS)]
-_FOLD = [f"f{i}" for i in range(_FOLDED)]
 
 
 def extension(n: np.ndarray) -> np.ndarray:
@@ -79,8 +78,8 @@ def _sketch(width: int, percent: int):
                 np.cumsum(length, out=cut[1:])
                 sketch = textops.sketches(values, at, _WORDS).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(part)), pa.array(n), pa.array(_nodes(values, at)), textops.list_column(values[keep], cut), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(_WORDS)]],
-                    names=["doc_id", "n_shingles", "node", "prefix", *_SKETCH],
+                    [batch.column(2).slice(start, len(part)), batch.column(0).slice(start, len(part)), pa.array(n), pa.array(_nodes(values, at)), textops.list_column(values[keep], cut), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(_WORDS)]],
+                    names=["row_key", "doc_id", "n_shingles", "node", "prefix", *_SKETCH],
                 )
 
     return run
@@ -98,7 +97,7 @@ def _sets(width: int):
 
 
 def _combinations(percent: int):
-    """(id, n, r, heavy, sketch..) -> (key, id, n, r, folded sketch..): each class of a document's frequent tokens as one key.
+    """(id, n, r, heavy) -> (key, id, r): each class of a document's frequent tokens as one key.
 
     Sizes are told apart in levels a factor of 1 / threshold wide, so a pair
     has a level in common: its larger one's. Numbers of rare tokens are told
@@ -137,7 +136,7 @@ def _combinations(percent: int):
                         rows.append(np.full(len(some), k))
             row = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             key = pa.array((np.concatenate(keys) if keys else np.zeros(0, textops.U)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, ids.take(row), n.take(row), r.take(row), *[batch.column(4 + f).take(row) for f in range(_FOLDED)]], names=["key", "id", "n", "r", *_FOLD])
+            yield pa.RecordBatch.from_arrays([key, ids.take(row), r.take(row)], names=["key", "id", "r"])
 
     return run
 
@@ -146,15 +145,15 @@ class _Join:
     """The tables that the steps of one join share."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
         self.width, self.percent = width, percent
         self.base = written(
-            self.docs.mapInArrow(_sketch(width, percent), "doc_id long, n_shingles long, node long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)), name="sketch"
+            self.docs.mapInArrow(_sketch(width, percent), "row_key long, doc_id long, n_shingles long, node long, prefix array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)), name="sketch"
         )
         self.nodes = written(
             self.base.where("n_shingles > 0")
             .groupBy(F.col("node").alias("id"))
-            .agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.first(F.size("prefix").cast("long")).alias("n_prefix"), *[F.first(s).alias(s) for s in _SKETCH]),
+            .agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.first(F.size("prefix").cast("long")).alias("n_prefix"), F.count("*").alias("n_copies"), *[F.first(s).alias(s) for s in _SKETCH]),
             name="nodes",
         )
 
@@ -189,7 +188,9 @@ class _Join:
             .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
             .select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
         )
-        return written(found.where(100 * F.col("common") >= self.percent * (F.col("n") - F.col("common"))).select("a", "b"), name="verified", release=True)
+        linked = written(found.where(100 * F.col("common") >= self.percent * (F.col("n") - F.col("common"))).select("a", "b"), name="verified", release=True)
+        drop(sets, near)
+        return linked
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Hub pairs whose sizes and common prefix tokens leave room for the threshold. Others may still meet by further keys."""
@@ -214,7 +215,8 @@ class _Join:
         held = shared_postings(self.base.select(F.explode("prefix").alias("key"), F.col("node").alias("id")))
         links = self.verified(self.plausible(hub_pairs(held)))
         components = written(connected_components(links), name="components")
-        held = written(labelled(held.select("key", "id"), components), name="labelled")
+        postings, held = held, written(labelled(held.select("key", "id"), components), name="labelled")
+        drop(postings)
         keys = written(split_keys(held), name="keys")
         many = F.col("n_cross") > RARE * F.col("n")
         crowded = written(self.crowded(held, keys.where(many)), name="crowded")
@@ -229,16 +231,16 @@ class _Join:
         full = indexed.where("r <= m")
         hubs = full.select(F.explode("heavy").alias("key"), "id", "r")
         hubs = hubs.join(hubs.groupBy("key").agg(F.min(F.struct("r", "id")).alias("first")).select("key", F.col("first.id").alias("hub")), "key")
-        pairs.append(hub_pairs(labelled(hubs, components).where("id <> hub")).select("a", "b"))
+        pairs.append(hub_pairs(hubs).select("a", "b"))
         links = links.unionByName(self.verified(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()))
         components = written(connected_components(links), name="components")
-        fold = [F.col(f"s{i}").bitwiseXOR(F.col(f"s{i + 2}")).bitwiseXOR(F.col(f"s{i + 4}")).bitwiseXOR(F.col(f"s{i + 6}")).alias(f"f{i}") for i in range(_FOLDED)]
-        combined = full.select("id", "n", F.col("r").cast("long").alias("r"), "heavy", *fold).mapInArrow(
-            _combinations(self.percent), "key long, id long, n long, r long, " + ", ".join(f"{f} long" for f in _FOLD)
-        )
+        combined = full.select("id", "n", F.col("r").cast("long").alias("r"), "heavy").mapInArrow(_combinations(self.percent), "key long, id long, r long")
         combined = written(labelled(combined, components), name="combined", release=True)
-        more = cross_pairs(combined, written(split_keys(combined), name="keys"), self.possible(_FOLD, rare=True))
-        return connected_components(links.unionByName(self.verified(more)))
+        keys = written(split_keys(combined), name="keys")
+        met = combined.join(keys.select("key"), "key", "left_semi").join(self.nodes.select("id", "n", *_SKETCH), "id")
+        more = self.verified(cross_pairs(met, keys, self.possible(_SKETCH, rare=True)))
+        drop(combined, indexed)
+        return connected_components(links.unionByName(more))
 
     def indexed(self, crowded: DataFrame, components: DataFrame) -> DataFrame:
         """Crowded ids with their tokens, rare and frequent apart: (id, n, m, r, rare, heavy, sketch..). Written.
@@ -251,7 +253,9 @@ class _Join:
         apart = tokens.select("key", "id").join(_small(written(heavy, name="heavy"), MOST_BROADCAST), "key", "left")
         apart = apart.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("frequent").isNull(), F.col("key")))).alias("rare"), F.collect_list(F.when(F.col("frequent"), F.col("key"))).alias("heavy"))
         m = F.expr(f"CAST(n - (n * {self.percent} + 99) div 100 AS INT)")
-        return written(apart.join(self.nodes.select("id", "n", *_SKETCH), "id").withColumn("m", m).withColumn("r", F.size("rare")), name="indexed", release=True)
+        found = written(apart.join(self.nodes.select("id", "n", *_SKETCH), "id").withColumn("m", m).withColumn("r", F.size("rare")), name="indexed", release=True)
+        drop(tokens, sets)
+        return found
 
 
 def _small(keys: DataFrame, most: int) -> DataFrame:
@@ -259,6 +263,16 @@ def _small(keys: DataFrame, most: int) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(row_key, doc_id, n_shingles, node) a row of ``docs``, and (node, component, component_id, n_copies) a set that has shingles."""
+    join = _Join(docs, width, percent)
+    components = join.components().select("id", F.col("component").alias("c"))
+    named = join.nodes.select("id", "doc_id", "n_copies").join(components, "id", "left").select(F.col("id").alias("node"), "doc_id", "n_copies", F.coalesce("c", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_node = written(named.join(least, "component").select("node", "component", "component_id", "n_copies"), name="classes")
+    return join.base.select("row_key", "doc_id", "n_shingles", "node"), by_node
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ..) -> (doc_id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -267,14 +281,33 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     words. Documents link at Jaccard >= ``percent`` / 100. component_id is the
     smallest doc_id reachable by links. Null or wordless text: no shingles,
     linked with nothing. A null doc_id takes the component of its text's other
-    copies, else null. Repeated rows repeat in the result.
+    copies, else null. Repeated rows repeat in the result. Other columns of
+    ``docs`` are not read; an empty table gives none.
     """
-    join = _Join(docs, width, percent)
-    components = join.components().select(F.col("id").alias("node"), "component")
-    full = join.base.select("doc_id", "n_shingles", "node")
-    named = join.nodes.select(F.col("id").alias("node"), "doc_id").join(components, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component_id")
-    return full.join(by_node, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    full, by_node = _classes(docs, width, percent)
+    found = left_join(full, by_node.select("node", "component_id", "n_copies"), "node", "n_copies")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without_copies(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component one row stays, that of the smallest doc_id, null last, then of the smallest text hash.
+
+    Rows without shingles stay. Rows that repeat doc_id and text are copies too:
+    one stays. Rows of one doc_id whose texts are not alike are told apart. All
+    columns stay as they are, whatever their names; an empty table gives none.
+    """
+    full, by_node = _classes(docs.select("doc_id", "text"), width, percent)
+    rows = left_join(full.where("n_shingles > 0"), by_node.select("node", "component", "n_copies"), "node", "n_copies")
+    rows = written(rows.select("row_key", "doc_id", "component"), name="rows")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias("row_key"))
+    groups = rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
+    groups = written(groups.select("component", F.col("first.row_key").alias("stays"), "size"), name="groups")
+    gone = written(left_join(rows, groups, "component", "size").where("row_key <> stays").select(F.col("row_key").alias("key")).distinct(), name="gone")
+    repeated = rows.groupBy(F.col("row_key").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    repeated = written(repeated.join(gone, "key", "left_anti"), name="repeated")
+    kept = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("row")).join(_small(gone, MOST_BROADCAST), "key", "left_anti")
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    again = _small(repeated, MOST_BROADCAST)
+    once = kept.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return kept.join(again, "key", "left_anti").unionByName(once).select("row.*")

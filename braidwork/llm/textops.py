@@ -141,13 +141,10 @@ def sketches(values: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
 
     Two sets differ in at least as many elements as their sketches in bits.
     """
-    out = np.zeros((len(at) - 1, words), U)
-    some = np.flatnonzero(np.diff(at))
-    if len(some):
-        bit, word = U(1) << (values & U(63)), ((values >> U(6)) % U(words)).astype(np.int64)
-        for w in range(words):
-            out[some, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, U(0)), at[some])
-    return out
+    out = np.zeros((len(at) - 1) * words, U)
+    place = np.repeat(np.arange(len(at) - 1) * words, np.diff(at)) + ((values >> U(6)) % U(words)).astype(np.int64)
+    np.bitwise_xor.at(out, place, U(1) << (values & U(63)))
+    return out.reshape(-1, words)
 
 
 def list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
