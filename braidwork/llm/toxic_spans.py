@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import textops
+from braidwork.llm.scratch import written
 
 #: Labelled documents of each class, about, that everything is fitted to: those of the lowest hashes.
 SAMPLE = 3000
@@ -239,12 +240,29 @@ def _measured(shared):
     return run
 
 
-def train(labelled: DataFrame, *, sample: int = SAMPLE) -> Chain | None:
-    """A chain from labelled(doc_id, text, toxic), of about ``sample`` documents a class; None without both classes."""
-    spark = labelled.sparkSession
-    labelled = labelled.where("toxic IS NOT NULL AND text IS NOT NULL").select(F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h"))
-    share = labelled.groupBy("toxic").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
-    chosen = labelled.join(F.broadcast(share), "toxic").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)  # a row a class
+def sampled(labels: DataFrame, docs: DataFrame, sample: int) -> DataFrame:
+    """(toxic, share, h, text): about ``sample`` labelled rows a class with their texts. Written.
+
+    Rows are chosen by a hash of doc_id before the texts are read, so only the sample is joined; it is
+    broadcast up to four times its expected size. share is what part of its class was chosen.
+    """
+    labels = labels.where("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    share = labels.groupBy("toxic").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+    chosen = labels.join(F.broadcast(share), "toxic").withColumn("h", F.xxhash64("doc_id"))  # a row a class
+    chosen = written(chosen.where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000), name="chosen")
+    small = F.broadcast(chosen) if chosen.count() <= 8 * sample else chosen
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    return written(texts.join(small, "doc_id").select("toxic", "share", "h", "text"), name="sample")
+
+
+def train(labels: DataFrame, docs: DataFrame | None = None, *, sample: int = SAMPLE) -> Chain | None:
+    """A chain from labels(doc_id, toxic) and docs(doc_id, text), of about ``sample`` documents a class; None without both classes.
+
+    Without ``docs``, ``labels`` has the texts. Labels without a document or a text count for nothing but the shares.
+    """
+    spark = labels.sparkSession
+    chosen = sampled(labels, labels if docs is None else docs, sample)
+    share = chosen.groupBy("toxic").agg(F.first("share").alias("share"))
     quarter = F.pmod(F.shiftright("h", 24), F.lit(4)) == 0
     fitted = chosen.where(~quarter).select("toxic", "text")
     sizes = {r.toxic: r.n for r in fitted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
