@@ -47,7 +47,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text")
+    return mixing.mixed(_documents(spark, sf_dir).select("doc_id", "text", "source"), without=("text",))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(_remainder(5) != 0)
-    chain = toxic_spans.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    chain = toxic_spans.train(labels, docs)
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
     return toxic_spans.score(docs, chain).select("doc_id", held_out, "score", "predicted", "spans")
 

@@ -22,7 +22,7 @@ def _line_sets(rows):
     for i, t in rows:
         for k, x in enumerate((t or "").split("\n")):
             x = x.lower().strip(" \t\r\v\f")
-            if len(x) >= line_dedup.LEAST_CHARS:
+            if x:
                 out[i, k] = {x[j : j + line_dedup.SHINGLE] for j in range(len(x) - line_dedup.SHINGLE + 1)}
     return out
 
@@ -159,11 +159,11 @@ def test_urls(spark):
 def test_mixture_meets_its_budgets(spark, repeats):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), s) for i, s in enumerate(["a"] * 700 + ["b"] * 150 + ["c"] * 20 + [None] * 30)] + [(9999, None, "a"), (9998, "", "z")]
-    kept, mixing.BLOCK_WORDS = mixing.BLOCK_WORDS, 500
+    kept, mixing.BLOCK_BITS = mixing.BLOCK_BITS, 2
     try:
         found = mixing.mixed(_frame(spark, rows), repeats=repeats).collect()
     finally:
-        mixing.BLOCK_WORDS = kept
+        mixing.BLOCK_BITS = kept
     words = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
     total = sum(words.values())
 
@@ -196,6 +196,10 @@ def test_mixture_meets_its_budgets(spark, repeats):
         assert all(len(set(x)) == len(x) for x in passes.values())
         for k in range(max(passes)):  # all but the last pass are whole
             assert len(passes[k]) == sum(x == s and bool(t) for _, t, x in rows)
+        ordered = sorted((r.place % (1 << 64), r.n_words) for r in mine if r.pass_no == max(passes))
+        room = round(budget) - max(passes) * w
+        before = sum(n for _, n in ordered) - ordered[-1][1]
+        assert before < room + 1 and all(r.block_no == (r.place % (1 << 64)) >> 62 for r in mine)
     assert mixing.mixed(_frame(spark, [])).count() == 0
 
 
