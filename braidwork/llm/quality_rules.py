@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.llm.scratch import written
+
+#: Rejected hosts up to which they are broadcast.
+MOST_BROADCAST = 500_000
+
 #: A host whose shrunk failure rate is above this share is rejected.
 HOST_LIMIT = 0.6
 
@@ -87,8 +92,23 @@ def host_verdicts(features: DataFrame, *, host: str = "source", limit: float = H
 def judged(features: DataFrame, *, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """``features`` with ``kept``: false where base_failed or the host is rejected.
 
-    ``features`` should be a written table: it is read for the hosts' counts and again for the verdicts.
+    ``features`` should be a written table: it is read for the hosts' counts and
+    again for the verdicts. Only rejected hosts are joined back, by broadcast up
+    to ``MOST_BROADCAST`` of them, so a large host stays in as many parts as it has.
     """
-    verdicts = host_verdicts(features, host=host, limit=limit)
-    joined = features.join(verdicts, features[host] == verdicts["_host"], "left")
+    rejected = written(host_verdicts(features, host=host, limit=limit).where("host_rejected"), name="rejected")
+    rejected = F.broadcast(rejected) if rejected.count() <= MOST_BROADCAST else rejected
+    joined = features.join(rejected, features[host] == rejected["_host"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("_host", "host_rejected")
+
+
+def without_rejected(docs: DataFrame, *, limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``docs``(text, source, ..) that ``judged`` keeps, with their own columns alone.
+
+    Null and empty texts fail (they have under ten words). Repeated rows are
+    judged alike; a null source gets no verdict as a host; an empty table gives
+    none. Columns of ``docs`` may have any names: rows are carried whole.
+    """
+    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), F.col("source").alias("source"))
+    features = written(document_features(packed).select("row", "source", "base_failed", "rules_failed"), name="features")
+    return judged(features, limit=limit).where("kept").select("row.*")
