@@ -46,6 +46,21 @@ def test_personal_data(docs, rows):
     assert any("secret:" in r.spans for r in found)
 
 
+def test_personal_data_in_very_long_texts(spark):
+    n = 200_000
+    texts = {"card": "1" * n, "spaced": "9 " * (n // 2), "email": "a@b" + ".c" * (n // 2), "ip": "1." * (n // 2), "phone": "+1" + "-2" * (n // 2), "word": "x" * n, "address": "a (at) b" + " (dot) c" * (n // 8), "account": "DE02 " + "1234 " * (n // 5)}
+    rows = [(i, t) for i, t in enumerate(texts.values())]
+    found = {r.doc_id: r for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == len(rows) and [found[2].n_email, found[2].spans] == [1, f"email:0:{len(texts['email'])}"]
+    assert all(r.base_sha256 == hashlib.sha256(",".join(brute.personal_data(texts[k])).encode()).hexdigest() for k, r in zip(texts, (found[i] for i in range(len(rows))), strict=True) if k in ("card", "email", "phone", "word"))
+
+
+def test_account_numbers_are_checked(spark):
+    rows = [(i, f"pay to {'DE89 3704 0044 0532 0130 00' if i % 2 else 'DE88 3704 0044 0532 0130 00'} now") for i in range(60)]
+    found = {r.doc_id: r.spans for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(("account:7:34" in found[i]) == (i % 2 == 1) for i in range(60))
+
+
 def test_quality(spark, docs, rows):
     kept = quality_rules.judged(quality_rules.document_features(docs))
     found = kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
