@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import textops
-from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys
+from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys, with_hubs
 from braidwork.llm.scratch import drop, written
 
 #: Characters of a shingle; lines with fewer are their own set. One changed character leaves lines of 39 or more above PERCENT.
@@ -38,8 +38,8 @@ BANDS, ROWS, WIDE_ROWS = 20, 6, 4
 #: Characters from which a line is signed as a long one, and up to which as a short one.
 LONG, SHORT = 48, 64
 
-#: Long lines by number of wide shingles: from how many on, and into how many bins a hash is dealt.
-LEVELS = ((0, 1), (128, 16), (640, 80))
+#: Long lines by number of wide shingles: from how many on, and into how many bins, a power of two, a hash is dealt.
+LEVELS = ((0, 8), (128, 32))
 
 #: Repeated lines of fewer characters stay in the documents, list marks and the like; in the line table they are as all others.
 KEPT_CHARS = 3
@@ -142,14 +142,14 @@ def _signed(values: np.ndarray, at: np.ndarray, rows: int, bins: int, tag: int)
     n, k = np.diff(at), BANDS * rows
     signs = []
     if bins > 1:
-        base = np.repeat(np.arange(len(n), dtype=np.int64) * bins, n)
+        base, shift = np.repeat(np.arange(len(n), dtype=np.int64) * bins, n), _U(65 - int(bins).bit_length())
     for seed in _SEEDS[: -(-k // bins)]:
         hashed = values * seed
         if bins == 1:
             signs.append(np.minimum.reduceat(hashed, at[:-1])[:, None])
             continue
         least = np.full(len(n) * bins, _NONE, dtype=_U)
-        np.minimum.at(least, base + (((hashed >> _U(32)) * _U(bins)) >> _U(32)).view(np.int64), hashed)
+        np.minimum.at(least, base + (hashed >> shift).view(np.int64), hashed)
         least = least.reshape(-1, bins)
         empty = least == _NONE
         for step in range(1, bins):  # an empty bin takes the next filled one's value, marked by the distance
@@ -283,16 +283,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _whole_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(id) -> (id, line, n, sketch..) from the texts. Written."""
-    spark = docs.sparkSession
-    known = None
+def _whole_lines(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(id) -> (id, line, n, sketch..) from the texts. Written.
+
+    Of the documents that hold a line, one is read again.
+    """
+    texts, known = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text")), None
     if wanted.count() <= MOST_BROADCAST:
-        known = spark.sparkContext.broadcast(np.sort(wanted.select("id").toArrow()["id"].to_numpy()))
-    lines = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_texts(known), "id long, line string, n long, " + ", ".join(f"{s} long" for s in _SKETCH))
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.select("id").toArrow()["id"].to_numpy()))
+        holders = lines.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
+        texts = texts.join(F.broadcast(written(holders, name="holders")), "row_key", "left_semi")  # no more than there are ids
+    found = texts.select("text").mapInArrow(_texts(known), "id long, line string, n long, " + ", ".join(f"{s} long" for s in _SKETCH))
     if known is None:
-        lines = lines.join(wanted, "id", "left_semi")
-    return written(lines.dropDuplicates(["id"]), name="texts", release=True)
+        found = found.join(wanted, "id", "left_semi")
+    return written(found.dropDuplicates(["id"]), name="texts", release=True)
 
 
 def _possible(x, y):
@@ -313,8 +317,10 @@ def _components(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, component) of the lines that any other is like."""
     held = [shared_postings(lines.where(f"size({bands}) > 0").select(F.explode(bands).alias("key"), "id")) for bands in ("bands0", "bands1")]
     both = held[0].unionByName(held[1])
-    texts = _whole_lines(docs, written(both.select("id").distinct(), name="wanted"))
-    links = _verified(texts, hub_pairs(both))
+    wanted = written(both.select("id").distinct(), name="wanted")
+    often = lines.select("id").join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "id", "left_semi").groupBy("id").agg(F.count("*").alias("w"))
+    texts = _whole_lines(docs, lines, wanted)
+    links = _verified(texts, hub_pairs(with_hubs(both, often)))
     components = written(connected_components(links), name="components")
     postings, held = held, written(labelled(both.select("key", "id"), components), name="labelled")
     drop(*postings)

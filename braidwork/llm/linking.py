@@ -9,6 +9,10 @@ group of copies costs a number of rows in proportion to its size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +25,44 @@ SALT_ROWS = 4096
 HOT, MOST_BROADCAST = 1000, 1_000_000
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id) in order, those of keys with two ids or more, each once. What is kept between batches is one row."""
+    last_key, last_id, shown = None, None, False  # the row before, and whether it has been handed on
+    for batch in batches:
+        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(keys):
+            continue
+        if last_key is not None:
+            keys, ids = np.append(last_key, keys), np.append(last_id, ids)
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+        first = np.append(shown and last_key is not None, np.zeros(len(keys) - 1, dtype=bool))  # handed on before
+        keys, ids, first = keys[fresh], ids[fresh], first[fresh]
+        same = keys[1:] == keys[:-1]
+        shared = np.append(False, same) | np.append(same, False)
+        shared[-1] |= bool(first[-1])
+        give = shared & ~first
+        last_key, last_id, shown = keys[-1], ids[-1], bool(shared[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[give]), pa.array(ids[give])], names=["key", "id"])
+
+
 def shared_postings(postings: DataFrame) -> DataFrame:
-    """postings(key, id) -> (key, id, hub) of keys with two ids or more. Written.
+    """postings(key, id) -> (key, id) of keys with two ids or more. Written.
+
+    Rows are dealt and sorted by key; a pass over them in order tells which keys
+    repeat, so a key of any size takes no more memory than one of two.
+    """
+    rows = postings.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+    return written(rows.mapInArrow(_repeated, "key long, id long"), name="postings", release=True)
+
+
+def with_hubs(held: DataFrame, weights: DataFrame) -> DataFrame:
+    """held(key, id), weights(id, w) -> (key, id, hub): the id of most weight among those of a key, ties by the larger id.
 
-    hub is the id with most rows of the key, ties by the larger id: a common
-    original rather than one of its variants. Ids, copies put together, are
-    dealt by key once and both steps read that.
+    A common original makes a better hub than one of its variants: more is linked at once.
     """
-    rows = postings.select("key", "id").repartition("key").groupBy("key", "id").agg(F.count("*").alias("w"))
-    hubs = rows.groupBy("key").agg(F.max(F.struct("w", "id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.id").alias("hub"))
-    return written(rows.join(hubs, "key").select("key", "id", "hub"), name="postings", release=True)
+    rows = held.join(weights, "id")
+    hubs = rows.groupBy("key").agg(F.max(F.struct("w", "id")).alias("top")).select("key", F.col("top.id").alias("hub"))
+    return written(held.join(hubs, "key").select("key", "id", "hub"), name="hubs")
 
 
 def hub_pairs(held: DataFrame) -> DataFrame:

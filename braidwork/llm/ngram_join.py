@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import textops
-from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys
+from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys, with_hubs
 from braidwork.llm.scratch import drop, written
 
 #: Cross-component pairs per item up to which a token is indexed singly.
@@ -213,7 +213,7 @@ class _Join:
 
     def components(self) -> DataFrame:
         held = shared_postings(self.base.select(F.explode("prefix").alias("key"), F.col("node").alias("id")))
-        links = self.verified(self.plausible(hub_pairs(held)))
+        links = self.verified(self.plausible(hub_pairs(with_hubs(held, held.groupBy("id").agg(F.count("*").alias("w"))))))
         components = written(connected_components(links), name="components")
         postings, held = held, written(labelled(held.select("key", "id"), components), name="labelled")
         drop(postings)
