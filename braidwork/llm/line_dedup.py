@@ -50,7 +50,7 @@ MOST_BROADCAST = 2_000_000
 #: Ids of lines that a task remembers, so as to sign each once.
 REMEMBERED = 1_000_000
 
-_WORDS = 8
+_WORDS = 16
 _SKETCH = [f"s{i}" for i in range(_WORDS)]
 _BITS = 1024
 _NONE = np.iinfo(np.uint64).max
@@ -207,7 +207,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh, first = np.unique(ids, return_index=True)
             new = ~np.isin(fresh, seen, assume_unique=True)
             fresh, first = fresh[new], first[new]
-            seen = np.union1d(seen, fresh) if len(seen) < REMEMBERED else fresh
+            seen = np.sort(np.concatenate([seen, fresh])) if len(seen) < REMEMBERED else fresh
             signed = _signatures(sums, starts[first], ends[first])
             lines = first[np.concatenate([x for x, _ in signed])] if signed else np.zeros(0, np.int64)
             keys = np.concatenate([x for _, x in signed]) if signed else np.zeros((0, BANDS), _U)
@@ -236,7 +236,7 @@ def _texts(wanted):
                 if chosen is not None:
                     new &= np.isin(ids, chosen, assume_unique=True)
                 ids, first = ids[new], first[new]
-                seen = np.union1d(seen, ids) if len(seen) < REMEMBERED else ids
+                seen = np.sort(np.concatenate([seen, ids])) if len(seen) < REMEMBERED else ids
                 text = textops.buffers(pc.utf8_lower(part.cast(pa.large_string())))[0].tobytes().decode("utf-8") if len(ids) else ""
                 keys = _row_keys(*_shingles(sums, starts[first], ends[first]))
                 shift = _row_shift(len(ids))
