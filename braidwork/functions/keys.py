@@ -29,3 +29,19 @@ def generation(df: DataFrame, key: str, digest: str, *, buckets: int = 4096) ->
     )
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "g"))), lambda x: x.g), "")
     return groups.agg(F.sha2(whole, 256).alias("generation"))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object with sorted keys and no blanks; nulls are kept."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def canonical_digest(fields: dict[str, Column]) -> Column:
+    """SHA-256 of ``canonical_json``."""
+    return F.sha2(canonical_json(fields), 256)
+
+
+def list_id(prefix: str, *parts: Column) -> Column:
+    """prefix_ and the first 20 hex digits of SHA-256 over the parts as a JSON list."""
+    items = [F.regexp_replace(F.to_json(F.struct(p.alias("x")), {"ignoreNullFields": "false"}), r'^\{"x":(.*)\}$', "$1") for p in parts]
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]")), 256), 1, 20))

@@ -1,4 +1,7 @@
-"""Fix-point loops over edge tables: every round is a written table, so a lost executor costs one round at most."""
+"""Fix-point loops over edge tables: every round is a written table, so a lost executor costs one round at most.
+
+Ids may be of any one type. Linear chains are crossed in one round, whatever their length.
+"""
 
 from __future__ import annotations
 
@@ -21,23 +24,64 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def breadth_first(edges: DataFrame, roots: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
-    """edges(src, dst), roots(node) -> (node, depth, pred) of every node reached; pred is the smallest predecessor one step nearer.
+def chains(edges: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """edges(src, dst) -> (node, head, at, cyclic): each node's linear chain by its first node, and its place in it from 0.
 
-    Semi-naive: only nodes first seen in a round are expanded in the next.
+    A chain goes on over an edge that is the only one out of its source and the
+    only one into its target; nodes of ``heads`` begin a chain of their own. In a
+    ring of such edges, ``head`` is the smallest node and ``cyclic`` is true.
+    Pointers to the node before are doubled until all have reached a head.
     """
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    frontier = written(roots.select("node").where("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("pred")))
-    seen = frontier
-    for depth in range(1, max_rounds + 1):
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").cast("long").alias("pred"))
-        frontier = written(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "pred"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if depth % 16 == 0:
-            seen = written(seen)
-    raise RuntimeError(f"not settled in {max_rounds} rounds")
+    plain = edges.select("src", "dst").where("src <> dst").distinct()
+    out_one = plain.groupBy("src").agg(F.count("*").alias("n")).where("n = 1").select("src")
+    in_one = edges.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("n")).where("n = 1").select("dst")
+    links = plain.join(out_one, "src", "left_semi").join(in_one, "dst", "left_semi")
+    if heads is not None:
+        links = links.join(heads.select(F.col("node").alias("dst")), "dst", "left_anti")
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    table = nodes.join(links.select(F.col("dst").alias("node"), F.col("src").alias("before")), "node", "left")
+    table = table.select("node", F.coalesce("before", "node").alias("head"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("long").alias("at"), F.col("node").alias("least"), F.col("before").isNull().alias("done"))
+    table, steps = written(table), 0
+    total = table.count()
+    while (1 << steps) <= 2 * max(total, 1) and not table.where("NOT done").isEmpty():
+        ahead = table.select(F.col("node").alias("head"), F.col("head").alias("h"), F.col("at").alias("a"), F.col("least").alias("l"), F.col("done").alias("d"))
+        table = written(
+            table.join(ahead, "head").select(
+                "node", F.when(F.col("done"), F.col("head")).otherwise(F.col("h")).alias("head"), F.when(F.col("done"), F.col("at")).otherwise(F.col("at") + F.col("a")).alias("at"),
+                F.least("least", "l").alias("least"), (F.col("done") | F.col("d")).alias("done"),
+            )
+        )
+        steps += 1
+    ring = ~F.col("done")
+    return table.select("node", F.when(ring, F.col("least")).otherwise(F.col("head")).alias("head"), F.when(ring, F.lit(None)).otherwise(F.col("at")).alias("at"), ring.alias("cyclic"))
+
+
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges(src, dst), roots(node) -> (node, depth): fewest steps from a root, for every node reached; chains are crossed in one round."""
+    edges = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    roots = written(roots.select("node").where("node IS NOT NULL").distinct())
+    places = written(chains(edges, roots))
+    line = places.where("NOT cyclic")
+    tails = line.groupBy("head").agg(F.max("at").alias("length"), F.max_by("node", "at").alias("tail"))
+    steps = edges.join(tails.select(F.col("tail").alias("src"), F.col("head").alias("from"), (F.col("length") + 1).alias("cost")), "src")
+    steps = written(steps.join(line.where("at = 0").select(F.col("node").alias("dst")), "dst", "left_semi").select("from", F.col("dst").alias("to"), "cost"))
+    known = written(roots.select(F.col("node").alias("head"), F.lit(0).cast("long").alias("depth")))
+    frontier = known
+    while not frontier.isEmpty():
+        reached = frontier.join(steps, F.col("head") == F.col("from")).groupBy(F.col("to").alias("head")).agg(F.min(F.col("depth") + F.col("cost")).alias("depth"))
+        frontier = written(reached.join(known.select("head", F.col("depth").alias("old")), "head", "left").where("old IS NULL OR depth < old").select("head", "depth"))
+        known = written(known.join(frontier.select("head"), "head", "left_anti").unionByName(frontier))
+    within = line.join(known, "head").select("node", (F.col("depth") + F.col("at")).alias("depth"))
+    alone = known.select(F.col("head").alias("node"), "depth").join(within.select("node"), "node", "left_anti")
+    return within.unionByName(alone)
+
+
+def breadth_first(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges(src, dst), roots(node) -> (node, depth, pred) of every node reached; pred is the smallest predecessor one step nearer."""
+    found = written(depths(edges, roots))
+    near = edges.select("src", "dst").join(found.select(F.col("node").alias("src"), F.col("depth").alias("from")), "src")
+    back = found.join(near, F.col("dst") == F.col("node"), "left").groupBy("node", "depth").agg(F.min(F.when(F.col("from") == F.col("depth") - 1, F.col("src"))).alias("pred"))
+    return back.select("node", F.col("depth").cast("int").alias("depth"), "pred")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

@@ -69,9 +69,10 @@ def merged_intervals(df: DataFrame, group: str, start: str, end: str) -> DataFra
 
 
 def inventory_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
-    """(key, status): added, removed, changed or unchanged, from a full join on the key."""
-    a, b = old.select(key, F.col(digest).alias("_a")), new.select(key, F.col(digest).alias("_b"))
-    status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") == F.col("_b"), "unchanged").otherwise("changed")
+    """(key, status): added, removed, changed or unchanged, from a full join on the key; null digests are equal to each other."""
+    a = old.select(key, F.col(digest).alias("_a"), F.lit(True).alias("_in_a"))
+    b = new.select(key, F.col(digest).alias("_b"), F.lit(True).alias("_in_b"))
+    status = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(F.col("_a").eqNullSafe(F.col("_b")), "unchanged").otherwise("changed")
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 

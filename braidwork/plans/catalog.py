@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.functions import keys
 from braidwork.operators import loops
 from braidwork.operators import relational as R
+from braidwork.plans.registry import query
 from braidwork.sources import scripts
 from braidwork.streaming import incremental
 
-QUERIES = {}
-ORACLES = {}
-
-
-def _query(sql: str | None = None):
-    """Register a (spark, table) function under its name, with its SQL; ``table(name)`` reads a table of the folder."""
-
-    def add(function):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[function.__name__] = run
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
 _GRAPH = """SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size <= 40
             UNION SELECT p_partkey, (p_partkey + 1) % (SELECT count(*) FROM part) FROM part WHERE p_size <= 12"""
 
@@ -44,7 +26,7 @@ def _graph(table) -> DataFrame:
     return jump.union(step).distinct()
 
 
-@_query(
+@query(
     """SELECT l_orderkey, group_no, count(*) AS n_beats, sum(l_quantity) AS sum_quantity, min(l_linenumber) AS first_line
        FROM (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) // 4 AS group_no FROM lineitem)
        GROUP BY l_orderkey, group_no"""
@@ -57,7 +39,7 @@ def presentation_level2_groups(spark, table):
     )
 
 
-@_query(
+@query(
     """SELECT l_orderkey, lpad(CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS VARCHAR), 12, '0') AS sort_key,
               coalesce(nullif(l_returnflag, 'N'), l_linestatus) AS title FROM lineitem"""
 )
@@ -68,12 +50,12 @@ def presentation_level3_beats(spark, table):
     )
 
 
-@_query("SELECT o_orderkey, count(l_orderkey) AS child_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("SELECT o_orderkey, count(l_orderkey) AS child_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def child_counts(spark, table):
     return R.child_counts(table("orders"), table("lineitem"), "o_orderkey", "l_orderkey")
 
 
-@_query(
+@query(
     """SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
        WHERE NOT (c_custkey % 7 = 0 OR n_nationkey % 5 = 0 OR r_regionkey % 4 = 3)"""
 )
@@ -83,19 +65,19 @@ def override_visibility(spark, table):
     return joined.where("NOT (c_custkey % 7 = 0 OR n_nationkey % 5 = 0 OR r_regionkey % 4 = 3)").select("c_custkey")
 
 
-@_query(f"WITH e AS ({_GRAPH}), s AS (SELECT p_partkey AS k FROM part WHERE p_size <= 25) SELECT src, dst FROM e WHERE src IN (SELECT k FROM s) AND dst IN (SELECT k FROM s)")
+@query(f"WITH e AS ({_GRAPH}), s AS (SELECT p_partkey AS k FROM part WHERE p_size <= 25) SELECT src, dst FROM e WHERE src IN (SELECT k FROM s) AND dst IN (SELECT k FROM s)")
 def induced_edges(spark, table):
     chosen = table("part").where("p_size <= 25").select(F.col("p_partkey").alias("k"))
     edges = _graph(table)
     return edges.join(chosen.withColumnRenamed("k", "src"), "src", "left_semi").join(chosen.withColumnRenamed("k", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-@_query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def unknown_selection(spark, table):
     return table("orders").select("o_orderkey").join(table("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
-@_query(
+@query(
     """SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
        WHERE EXISTS (SELECT 1 FROM supplier WHERE (s_suppkey = c_custkey) OR (s_suppkey = c_nationkey) OR (s_suppkey = n_regionkey))"""
 )
@@ -107,7 +89,7 @@ def or_key_scope_cover(spark, table):
     return scopes.join(table("supplier").select("s_suppkey"), "s_suppkey", "left_semi").select("c_custkey").distinct()
 
 
-@_query(
+@query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(o_orderkey) AS owner FROM (
          SELECT l.*, o.o_orderkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY o_orderdate DESC, o_orderdate + INTERVAL 60 DAY, o_orderkey) AS r
          FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY) WHERE r = 1 GROUP BY ALL"""
@@ -118,38 +100,38 @@ def innermost_interval(spark, table):
     return R.innermost_interval(points, spans, ["l_orderkey"], "l_shipdate", "start", "end", "ident").drop("l_shipdate")
 
 
-@_query(
+@query(
     """SELECT l_partkey, count(DISTINCT l_returnflag) AS n_values, min(l_orderkey) AS first_id, max(l_orderkey) AS last_id FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) > 1"""
 )
 def contradictions(spark, table):
     return R.contradictions(table("lineitem"), ["l_partkey"], "l_returnflag", "l_orderkey")
 
 
-@_query(
+@query(
     """SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY o_custkey"""
 )
 def status_pivot(spark, table):
     return table("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), *[F.count_if(F.col("o_orderstatus") == s).alias(f"n_{s.lower()}") for s in "FOP"])
 
 
-@_query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS order_ids FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS order_ids FROM orders GROUP BY o_custkey")
 def edge_id_arrays(spark, table):
     return table("orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ",").alias("order_ids"))
 
 
-@_query("SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS priority, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS priority, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
 def first_row_dedup(spark, table):
     """Bare columns of a group are those of its smallest sort key."""
     return table("orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("priority"), F.min("o_orderkey").alias("first_order"))
 
 
-@_query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS event_order FROM orders")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS event_order FROM orders")
 def dense_renumber(spark, table):
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table("orders").select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).alias("event_order"))
 
 
-@_query(
+@query(
     """SELECT src_group, dst_group, count(*) AS n_edges, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM (
          SELECT event_type AS role, event_type AS src_group, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst_group FROM events)
        WHERE src_group <> dst_group GROUP BY ALL"""
@@ -161,7 +143,7 @@ def story_quotient(spark, table):
     return loops.quotient(edges, table("events").select(F.col("event_id").alias("node"), F.col("event_type").alias("grp")))
 
 
-@_query(
+@query(
     """SELECT source, count(*) AS n, count(l.doc_id) AS n_labelled, count(*) FILTER (l.toxic = 1) AS n_toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source"""
 )
 def coverage_counts(spark, table):
@@ -169,7 +151,7 @@ def coverage_counts(spark, table):
     return joined.groupBy("source").agg(F.count("*").alias("n"), F.count("_seen").alias("n_labelled"), F.count_if(F.col("toxic") == 1).alias("n_toxic"))
 
 
-@_query(
+@query(
     """SELECT source, round(avg(0.7 * quality + 0.3 * (1 - toxic)), 6) AS score, bool_and(toxic = 0) AS guarded FROM documents JOIN labels USING (doc_id) GROUP BY source"""
 )
 def rubric_score(spark, table):
@@ -178,7 +160,7 @@ def rubric_score(spark, table):
     return joined.groupBy("source").agg(score.alias("score"), F.bool_and(F.col("toxic") == 0).alias("guarded"))
 
 
-@_query(
+@query(
     """WITH m AS (SELECT *, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
             n AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS run_no FROM m)
        SELECT conv_id, run_no, min(turn) AS first_at, max(turn) AS last_at, min(role) AS run_value, count(*) AS length FROM n GROUP BY conv_id, run_no"""
@@ -187,54 +169,57 @@ def role_runs(spark, table):
     return R.runs(table("conversations"), "conv_id", "turn", "role")
 
 
-@_query("SELECT conv_id, turn, coalesce(string_agg(role, ';') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM conversations")
+@query("SELECT conv_id, turn, coalesce(string_agg(role, ';') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM conversations")
 def prior_conditions(spark, table):
     return R.prior_values(table("conversations"), "conv_id", ["turn"], "role", "prior").select("conv_id", "turn", "prior")
 
 
-@_query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
 def latest_attempt(spark, table):
     return table("conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
 
 
-@_query("SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prior_role FROM conversations")
+@query("SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prior_role FROM conversations")
 def previous_row(spark, table):
     return table("conversations").select("conv_id", "turn", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")).alias("prior_role"))
 
 
-@_query("SELECT o_totalprice, o_orderkey FROM orders WHERE (o_totalprice, o_orderkey) > (1000.0, 5) ORDER BY o_totalprice, o_orderkey LIMIT 101")
+@query("SELECT o_totalprice, o_orderkey FROM orders WHERE (o_totalprice, o_orderkey) > (1000.0, 5) ORDER BY o_totalprice, o_orderkey LIMIT 101")
 def keyset_page(spark, table):
     return R.keyset_page(table("orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], (1000.0, 5), 101)
 
 
-@_query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 30 OFFSET 60")
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 30 OFFSET 60")
 def offset_page(spark, table):
     return table("orders").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").offset(60).limit(30)
 
 
-@_query("SELECT conv_id, turn, cumulative FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS cumulative FROM conversations) WHERE cumulative <= 2000")
+@query("SELECT conv_id, turn, cumulative FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS cumulative FROM conversations) WHERE cumulative <= 2000")
 def byte_page(spark, table):
     rows = table("conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     return R.byte_page(rows, "conv_id", "turn", "size", 2000).drop("size")
 
 
-@_query(
-    """SELECT p_partkey, CASE WHEN lower(p_name) = 'part' THEN 0 WHEN starts_with(lower(p_name), 'part') THEN 4 ELSE 5 END AS match_rank FROM part WHERE contains(lower(p_name), 'part')"""
+@query(
+    """SELECT p_partkey, CASE WHEN CAST(p_size AS VARCHAR) = '1' THEN 0 WHEN starts_with(CAST(p_size AS VARCHAR), '1') THEN 4 ELSE 5 END AS match_rank FROM part WHERE contains(CAST(p_size AS VARCHAR), '1')"""
 )
 def ranked_search(spark, table):
-    return R.ranked_search(table("part"), "p_partkey", "p_name", "Part")
+    return R.ranked_search(table("part").select("p_partkey", F.col("p_size").cast("string").alias("size")), "p_partkey", "size", "1")
 
 
-@_query(
-    """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 13 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM documents"""
+@query(
+    """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE sha256(text) END AS h FROM documents WHERE doc_id % 17 <> 0),
+            b AS (SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE sha256(text || CASE WHEN doc_id % 13 = 0 THEN '!' ELSE '' END) END AS h FROM documents WHERE doc_id % 11 <> 0)
+       SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b USING (doc_id)"""
 )
 def inventory_diff(spark, table):
-    old = table("documents").select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))
-    new = table("documents").where("doc_id % 11 <> 0").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 13 == 0, "!").otherwise("")), 256).alias("digest"))
+    docs, changed = table("documents"), F.concat("text", F.when(F.col("doc_id") % 13 == 0, "!").otherwise(""))
+    old = docs.where("doc_id % 17 <> 0").select("doc_id", F.when(F.col("doc_id") % 19 != 0, F.sha2(F.col("text"), 256)).alias("digest"))
+    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 23 != 0, F.sha2(changed, 256)).alias("digest"))
     return R.inventory_diff(old, new, "doc_id", "digest")
 
 
-@_query(
+@query(
     """SELECT 'customer' AS kind, c_custkey AS id, lower(c_name) AS text FROM customer UNION ALL SELECT 'supplier', s_suppkey, lower(s_name) FROM supplier
        UNION ALL SELECT 'part', p_partkey, lower(p_name) FROM part UNION ALL SELECT 'nation', n_nationkey, lower(n_name) FROM nation"""
 )
@@ -247,12 +232,12 @@ def search_union(spark, table):
     return out
 
 
-@_query("SELECT event_id, 'event_' || substr(sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type || chr(0) || CAST(event_id AS VARCHAR)), 1, 20) AS stable_id FROM events")
+@query("SELECT event_id, 'event_' || substr(sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type || chr(0) || CAST(event_id AS VARCHAR)), 1, 20) AS stable_id FROM events")
 def stable_ids(spark, table):
     return table("events").select("event_id", keys.stable_id("event", F.col("user_id"), F.col("event_type"), F.col("event_id")).alias("stable_id"))
 
 
-@_query(
+@query(
     """SELECT sha256(string_agg(g, '' ORDER BY b)) AS generation FROM (
          SELECT CAST('0x' || substr(h, 1, 4) AS INT) % 4096 AS b, sha256(string_agg(h, '' ORDER BY h)) AS g
          FROM (SELECT sha256(CAST(doc_id AS VARCHAR) || chr(0) || sha256(text)) AS h FROM documents WHERE text IS NOT NULL) GROUP BY 1)"""
@@ -261,22 +246,22 @@ def generation_hash(spark, table):
     return keys.generation(table("documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.col("text"), 256).alias("digest")), "doc_id", "digest")
 
 
-@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, table):
     return table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@_query(f"WITH RECURSIVE e AS ({_GRAPH}), r(node) AS (SELECT 1 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
+@query(f"WITH RECURSIVE e AS ({_GRAPH}), r(node) AS (SELECT 1 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
 def reach(spark, table):
     return loops.breadth_first(_graph(table), spark.createDataFrame([(1,)], "node long")).select("node")
 
 
-@_query(f"WITH RECURSIVE e AS ({_GRAPH}), r(node) AS (SELECT 10 UNION SELECT src FROM r JOIN e ON dst = node) SELECT node FROM r")
+@query(f"WITH RECURSIVE e AS ({_GRAPH}), r(node) AS (SELECT 10 UNION SELECT src FROM r JOIN e ON dst = node) SELECT node FROM r")
 def reverse_cone(spark, table):
     return loops.breadth_first(loops.reversed_edges(_graph(table)), spark.createDataFrame([(10,)], "node long")).select("node")
 
 
-@_query(
+@query(
     f"""WITH RECURSIVE e AS ({_GRAPH}), w(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 60),
         d AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)
         SELECT d.node, d.depth, min(p.node) AS pred FROM d LEFT JOIN (e JOIN d p ON e.src = p.node) ON e.dst = d.node AND p.depth = d.depth - 1 GROUP BY d.node, d.depth"""
@@ -285,7 +270,7 @@ def bfs_witness(spark, table):
     return loops.breadth_first(_graph(table), spark.createDataFrame([(1,)], "node long"))
 
 
-@_query(
+@query(
     f"""WITH RECURSIVE e AS ({_GRAPH}), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, root) AS (SELECT a, a FROM u UNION SELECT b, root FROM r JOIN u ON a = node)
         SELECT node, min(root) AS component FROM r GROUP BY node"""
 )
@@ -293,7 +278,7 @@ def weak_components(spark, table):
     return loops.components(_graph(table))
 
 
-@_query(
+@query(
     f"""WITH RECURSIVE e AS ({_GRAPH}), f(node) AS (SELECT 1 UNION SELECT dst FROM f JOIN e ON src = node), b(node) AS (SELECT 10 UNION SELECT src FROM b JOIN e ON dst = node)
         SELECT node FROM f WHERE node IN (SELECT node FROM b)"""
 )
@@ -302,7 +287,7 @@ def window_between(spark, table):
     return loops.window_between(_graph(table), *ends)
 
 
-@_query(
+@query(
     f"""WITH RECURSIVE e AS (SELECT * FROM ({_GRAPH}) WHERE src <> dst), c AS (
           SELECT src, dst FROM e WHERE src IN (SELECT src FROM e GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM e GROUP BY dst HAVING count(*) = 1)),
         u AS (SELECT src AS a, dst AS b FROM c UNION SELECT dst, src FROM c), r(node, root) AS (SELECT a, a FROM u UNION SELECT b, root FROM r JOIN u ON a = node)
@@ -312,7 +297,7 @@ def linear_chains(spark, table):
     return loops.linear_chains(_graph(table))
 
 
-@_query(
+@query(
     """WITH s AS (SELECT o_custkey, o_orderdate AS start_at, o_orderdate + INTERVAL 30 DAY AS end_at FROM orders),
             m AS (SELECT *, CASE WHEN start_at <= max(end_at) OVER (PARTITION BY o_custkey ORDER BY start_at, end_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM s),
             n AS (SELECT *, sum(f) OVER (PARTITION BY o_custkey ORDER BY start_at, end_at ROWS UNBOUNDED PRECEDING) AS no FROM m)
@@ -323,7 +308,7 @@ def merge_intervals(spark, table):
     return R.merged_intervals(spans, "o_custkey", "start_at", "end_at")
 
 
-@_query("SELECT event_id, ts + INTERVAL 300 SECOND AS expires FROM events WHERE event_type = 'click' AND ts + INTERVAL 300 SECOND <= (SELECT max(ts) FROM events)")
+@query("SELECT event_id, ts + INTERVAL 300 SECOND AS expires FROM events WHERE event_type = 'click' AND ts + INTERVAL 300 SECOND <= (SELECT max(ts) FROM events)")
 def expired_leases(spark, table):
     events = table("events")
     now = F.broadcast(events.agg(F.max("ts").alias("now")))  # one row
@@ -331,7 +316,7 @@ def expired_leases(spark, table):
     return leases.crossJoin(now).where("expires <= now").select("event_id", "expires")
 
 
-@_query("SELECT a.doc_id, min(b.doc_id) AS cached_from FROM documents a JOIN documents b ON a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id")
+@query("SELECT a.doc_id, min(b.doc_id) AS cached_from FROM documents a JOIN documents b ON a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id")
 def cache_hits(spark, table):
     """Documents whose content an earlier one already holds, by digest and the first id of the digest."""
     rows = table("documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))
@@ -339,7 +324,7 @@ def cache_hits(spark, table):
     return rows.join(firsts, "digest").where("doc_id > cached_from").select("doc_id", "cached_from")
 
 
-@_query(
+@query(
     """SELECT conv_id, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn, count(DISTINCT turn) <> count(*) OR max(turn) - min(turn) + 1 <> count(DISTINCT turn) AS broken FROM conversations GROUP BY conv_id"""
 )
 def coverage_violations(spark, table):
@@ -349,20 +334,20 @@ def coverage_violations(spark, table):
     return table("conversations").groupBy("conv_id").agg(n.alias("n"), first.alias("first_turn"), last.alias("last_turn"), broken.alias("broken"))
 
 
-@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
 def set_difference(spark, table):
     rows = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     return rows.drop("l_returnflag").subtract(rows.where("l_returnflag = 'R'").drop("l_returnflag"))
 
 
-@_query("SELECT o_orderkey, l.parts FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, l.parts FROM orders JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 def edge_lift(spark, table):
     """Edges of the lowest level counted on the level above."""
     parts = table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_partkey").alias("parts"))
     return table("orders").where("o_orderstatus = 'F'").select("o_orderkey").join(parts, "o_orderkey")
 
 
-@_query(
+@query(
     """SELECT stem, tier, path FROM (
          SELECT p_brand AS stem, p_size % 4 AS tier, CAST(p_partkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 4, CAST(p_partkey AS VARCHAR)) AS r FROM part) WHERE r = 1"""
 )
@@ -370,19 +355,19 @@ def preferred_copy(spark, table):
     return scripts.preferred(table("part").select(F.col("p_brand").alias("stem"), (F.col("p_size") % 4).alias("tier"), F.col("p_partkey").cast("string").alias("path")))
 
 
-@_query(
+@query(
     r"""SELECT doc_id, generate_subscripts(a, 1) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS a FROM documents WHERE text IS NOT NULL)"""
 )
 def physical_lines(spark, table):
     return scripts.physical_lines(table("documents"), key="doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@_query("SELECT date_trunc('hour', ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY ALL")
 def hourly_counts(spark, table):
     return incremental.windowed_counts(table("events"), at="ts", kind="event_type")
 
 
-@_query(
+@query(
     """WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
             n AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM m)
        SELECT user_id, min(ts) AS start_at, max(ts) + INTERVAL 30 MINUTE AS end_at, count(*) AS n FROM n GROUP BY user_id, no"""
