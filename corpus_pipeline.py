@@ -1,40 +1,40 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Stages read the columns doc_id, text and source (and n_chars where it is one)
+and hand on all others as they are, whatever their names. What a stage does with
+nulls, empty texts, ties and repeated rows stands with the function it calls.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from braidwork.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 from braidwork.llm.scratch import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    features = written(quality_rules.document_features(docs), name="features")
-    return quality_rules.judged(features).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep: ``quality_rules.without_rejected``."""
+    return quality_rules.without_rejected(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand earlier, alike, in the corpus."""
+    """Documents without lines that stand earlier, alike, in the corpus: ``line_dedup.without_repeats``."""
     return line_dedup.without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
-    gone = written(ngram_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), name="gone")
-    if gone.count() <= ngram_join.MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: ``ngram_join.without_copies``."""
+    return ngram_join.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item: ``decontaminate.without_leaks``."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents dealt by source to target weights, once for each pass that takes them."""
+    """Documents dealt by source to target weights, once for each pass that takes them: ``mixing.mixed``."""
     return mixing.mixed(docs)
 
 
