@@ -4,11 +4,16 @@ A text is brought to its lower-case words joined by blanks. Each rule has a
 keyword that the text must hold, a pattern over that form, a label, a priority
 and a confidence. Rules are joined to texts by keyword, so a pattern runs only
 where its keyword stands. Of two detections in one text, one that lies inside
-the other is dropped unless its rule comes first in priority.
+the other is dropped unless its rule comes before the other's in priority.
+Rules are of three kinds: signatures of license texts written by hand, short
+identifiers, and the forms in which license names are given.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,6 +69,95 @@ SHORT = (
 CC_PARTS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_VERSIONS = ("", "1 0", "2 0", "2 5", "3 0", "4 0")
 
+#: Signatures of license texts and notices themselves: label, keyword, pattern over lower-case words. Fixed values.
+SIGNATURES = (
+    ("mit", "sublicense", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "merchantability", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "expat", "(?:the )?expat licen[cs]e"),
+    ("mit-0", "mit", "mit no attribution(?: licen[cs]e)?"),
+    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "0bsd", "0bsd|zero clause bsd(?: licen[cs]e)?"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", "neither the name of (?:the )?(?:\\S+ ){1,8}nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "acknowledgement", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd", "bsd", "bsd style licen[cs]e"),
+    ("bsd", "bsd", "(?:licensed|released|distributed) under (?:the |a )?bsd(?: licen[cs]e)?"),
+    ("apache-2.0", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "apache", "www apache org licenses license 2 0"),
+    ("apache-2.0", "asl", "asl 2 0"),
+    ("apache-2.0", "alv2", "alv2"),
+    ("apache", "asf", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0-or-later", "gnu", "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-or-later", "gnu", "either version 3 of the license or at your option any later version"),
+    ("gpl", "copyleft", "the gnu general public license is a free copyleft license for software"),
+    ("gpl", "gpl", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl"),
+    ("gpl", "gpl", "gpl licen[cs]ed|(?:the )?(?:gnu )?gpl licen[cs]e"),
+    ("gpl-2.0", "gplv2", "gnu gplv2"),
+    ("gpl-3.0", "gplv3", "gnu gplv3"),
+    ("gpl-2.0-with-classpath-exception", "classpath", "(?:gnu )?classpath exception"),
+    ("lgpl", "lgpl", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?lgpl"),
+    ("lgpl", "lgpl", "lgpl licen[cs]ed|(?:the )?(?:gnu )?lgpl licen[cs]e"),
+    ("lgpl", "lesser", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "agpl", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?agpl"),
+    ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e"),
+    ("gfdl", "invariant", "with no invariant sections(?: with)? no front cover texts and (?:with )?no back cover texts"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl", "mpl", "(?:licensed|released|distributed) under (?:the )?mpl"),
+    ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? 1 0"),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license v(?:ersion)? 2 0"),
+    ("edl-1.0", "eclipse", "eclipse distribution license(?: v(?:ersion)? 1 0)?"),
+    ("cddl-1.0", "cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("bsl-1.0", "boost", "distributed under the boost software license version 1 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "unlicense", "unlicense org"),
+    ("wtfpl", "wtfpl", "do what the fuck you want to public license"),
+    ("cc0-1.0", "cc0", "cc0 1 0 universal|cc0 public domain dedication"),
+    ("cc-by", "creative", "creative commons attribution(?: licen[cs]e)?(?! (?:share|sharealike|non|noncommercial|no))"),
+    ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: licen[cs]e)?"),
+    ("cc-by-nc", "creative", "creative commons attribution non ?commercial(?: licen[cs]e)?(?! (?:share|no))"),
+    ("cc-by-nd", "creative", "creative commons attribution no ?deriv(?:ative)?s(?: licen[cs]e)?"),
+    ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike(?: licen[cs]e)?"),
+    ("cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: licen[cs]e)?"),
+    ("cc-by", "creativecommons", "creativecommons org licenses by(?! (?:sa|nc|nd))"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc(?! (?:sa|nd))"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd"),
+    ("ofl-1.1", "ofl", "(?:sil )?ofl 1 1|scripts sil org ofl"),
+    ("ofl-1.1", "reserved", "with reserved font name(?:s)?"),
+    ("artistic", "perl", "same terms as perl(?: 5)?(?: itself)?"),
+    ("psf", "psf", "psf licen[cs]e(?: agreement)?(?: for python)?"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("ms-pl", "microsoft", "microsoft public license"),
+    ("ms-rl", "microsoft", "microsoft reciprocal license"),
+    ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source licen[cs]e"),
+    ("upl-1.0", "universal", "universal permissive licen[cs]e(?: v(?:ersion)? ?1 0)?"),
+    ("vim", "vim", "(?:the )?vim licen[cs]e"),
+    ("ruby", "ruby", "(?:the )?ruby licen[cs]e|same terms as ruby"),
+    ("php-3.01", "php", "php licen[cs]e(?: version)?(?: 3 01)?"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("beerware", "beer", "buy me a beer in return|beer ?ware licen[cs]e"),
+    ("sspl-1.0", "sspl", "sspl(?: v(?:ersion)? ?1)?|server side public licen[cs]e"),
+    ("busl-1.1", "busl", "busl 1 1|business source licen[cs]e(?: 1 1)?"),
+    ("elastic-2.0", "elastic", "elastic license (?:version )?2 0"),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|perimeter|shield) licen[cs]e"),
+    ("commons-clause", "commons", "commons clause licen[cs]e condition"),
+    ("public-domain", "dedicated", "(?:hereby )?dedicated to the public domain"),
+    ("public-domain", "domain", "(?:placed|released) (?:in|into) the public domain"),
+    ("proprietary", "confidential", "(?:this (?:software|file|document) is )?proprietary and confidential"),
+    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction) of this (?:file|software|document)"),
+    ("odc-by", "odc", "odc by(?: 1 0)?|open data commons attribution licen[cs]e"),
+    ("pddl", "pddl", "pddl(?: 1 0)?|open data commons public domain dedication"),
+    ("ogl-uk", "ogl", "open government licen[cs]e(?: v(?:ersion)? ?(?:2 0|3 0))?"),
+)
+
 #: form, pattern with the name and the version in place, confidence, priority (smaller first).
 FORMS = (
     ("identifier", "spdx license identifier {name}(?: license)?{version}(?: only| or later)?", 0.99, 1),
@@ -90,7 +184,11 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
             major = version.partition(" ")[0]
             add(name, name, version, name)
             found.append((f"{name}v{major}", f"{name}v{major}", f"{name}-{major}", 4, 0.7))
+    found.extend((keyword, f"(?:{pattern})", label, 2, 0.9) for label, keyword, pattern in SIGNATURES)
+    for name, versions in SHORT:
+        found.extend((name, f"{name} {version}(?: only| or later)?", f"{name}-{version.replace(' ', '.')}", 4, 0.8) for version in versions)
     for parts in CC_PARTS:
+        found.extend(("cc", f"cc {parts} {version}", f"cc-{parts.replace(' ', '-')}-{version.replace(' ', '.')}", 4, 0.8) for version in CC_VERSIONS if version)
         for version in CC_VERSIONS:
             add(f"cc {parts}(?! (?:sa|nc|nd) )", "cc", version, f"cc-{parts.replace(' ', '-')}")
     return [(i, *rule) for i, rule in enumerate(dict.fromkeys(found))]
@@ -103,7 +201,7 @@ _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def scan(docs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """docs(doc_id, text, ..) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    One row per row of ``docs``. Words are runs of a-z, 0-9 and non-ASCII
+    One row per row of ``docs``; other columns are not read. Words are runs of a-z, 0-9 and non-ASCII
     characters after folding A-Z. Null or empty text: no words, no labels,
     score 0, null first and last word. Repeated rows repeat in the result.
     """
@@ -138,9 +236,9 @@ def scan(docs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     hits = ruled.select("row", "doc_id", "n_words", "rule", "label", "priority", "confidence", F.explode_outer(places).alias("at"))
     base = F.col("rule") < len(BASE)
     outer = W.partitionBy("row").orderBy(F.col("at.a"), F.col("at.b").desc(), "priority", "rule").rowsBetween(W.unboundedPreceding, -1)
-    inside = F.coalesce(F.max("at.b").over(outer) >= F.col("at.b"), F.lit(False))
-    leads = F.coalesce(F.min("priority").over(outer) > F.col("priority"), F.lit(False))
-    hits = hits.withColumn("stands", F.col("at").isNotNull() & (~inside | leads | base))
+    levels = sorted({r[4] for r in table})
+    inside = [(F.col("priority") >= p) & F.coalesce(F.max(F.when(F.col("priority") == p, F.col("at.b"))).over(outer) >= F.col("at.b"), F.lit(False)) for p in levels]  # in a detection that comes first
+    hits = hits.withColumn("stands", F.col("at").isNotNull() & (~functools.reduce(operator.or_, inside) | base))
     label = F.when(F.col("stands"), F.col("label"))
     base_hit = base & F.col("at").isNotNull()
     found = hits.groupBy("row", "doc_id", "n_words").agg(
