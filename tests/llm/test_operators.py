@@ -102,6 +102,54 @@ def test_templates(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_plain_windows(spark):
+    """Items of plain words: a leak is 0.6 of the item, or 25 words on end, in windows of 8 that a run of neighbouring shifts shares."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(40)]
+    items = [rng.choices(words, k=rng.randrange(3, 70)) for _ in range(25)]
+    docs = []
+    for _ in range(150):
+        text = rng.choices(words, k=rng.randrange(0, 30))
+        for _ in range(rng.randrange(0, 3)):
+            item = rng.choice(items)
+            a = rng.randrange(len(item))
+            part = item[a : a + rng.randrange(1, len(item) + 1)]
+            for _ in range(rng.randrange(0, 3)):
+                part.insert(rng.randrange(len(part) + 1), rng.choice(words))
+            text += part + rng.choices(words, k=rng.randrange(0, 9))
+        docs.append(text)
+
+    def leaked(item, text):
+        size = min(8, len(item))
+        met = {}
+        for i in range(len(item) - size + 1):
+            for j in range(len(text) - size + 1):
+                if item[i : i + size] == text[j : j + size]:
+                    met.setdefault(j - i, set()).update(range(i, i + size))
+        groups, before = [], None
+        for shift in sorted(met):
+            if before is None or shift - before > len(item):
+                groups.append(set())
+            groups[-1] |= met[shift]
+            before = shift
+        for covered in [*met.values(), *groups]:
+            runs = "".join("x" if i in covered else " " for i in range(len(item))).split()
+            if len(covered) >= 0.6 * len(item) or max(map(len, runs), default=0) >= 25:
+                return True
+        return False
+
+    frame = _frame(spark, [(i, " ".join(t), "s") for i, t in enumerate(docs)])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()}
+    assert found == {(d, i) for d, t in enumerate(docs) for i, item in enumerate(items) if leaked(item, t)} and found
+
+
+def test_numbers_alone_are_met_beside_words(spark):
+    item = "sum of 1 2 3 4 5 6 7 8 9 10 11 12 is what"
+    kinds = _kinds(item, [item, "sum of 1 2 3 4 5 6 7 8 9 10 11 12 is what", " ".join("5" for _ in range(3000))])
+    assert kinds == {0: "exact", 1: "exact"}
+
+
 def _kinds(item, texts):
     index = decontaminate.Index([1], pa.array([item]))
     return {f[0]: f[2] for f in index.leaks(pa.array(texts))}
