@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.scratch import written
+from braidwork.llm.scratch import step, written
 
 #: Rejected hosts up to which they are broadcast.
 MOST_BROADCAST = 500_000
@@ -103,12 +103,17 @@ def judged(features: DataFrame, *, host: str = "source", limit: float = HOST_LIM
 
 
 def without_rejected(docs: DataFrame, *, limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs``(text, source, ..) that ``judged`` keeps, with their own columns alone.
+    """The rows of ``docs``(doc_id, text, source, ..) that ``judged`` keeps, with their own columns alone.
 
     Null and empty texts fail (they have under ten words). Repeated rows are
     judged alike; a null source gets no verdict as a host; an empty table gives
     none. Columns of ``docs`` may have any names: rows are carried whole.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), F.col("source").alias("source"))
-    features = written(document_features(packed).select("row", "source", "base_failed", "rules_failed"), name="features")
-    return judged(features, limit=limit).where("kept").select("row.*")
+    key = F.xxhash64("doc_id", "text", "source")
+    slim = docs.select(key.alias("key"), F.col("text").alias("text"), F.col("source").alias("source"))
+    with step() as keep:
+        features = written(document_features(slim).select("key", "source", "base_failed", "rules_failed"), name="features")
+        bad = written(judged(features, limit=limit).where("NOT kept").select("key").distinct(), name="bad")
+        keep(bad)
+    bad = F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
+    return docs.select(key.alias("key"), F.struct("*").alias("row")).join(bad, "key", "left_anti").select("row.*")
