@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm import textops
 from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys, with_hubs
-from braidwork.llm.scratch import drop, written
+from braidwork.llm.scratch import drop, step, written
 
 #: Characters of a shingle; lines with fewer are their own set. One changed character leaves lines of 39 or more above PERCENT.
 SHINGLE = 4
@@ -326,7 +326,7 @@ def _components(docs: DataFrame, lines: DataFrame) -> DataFrame:
     drop(*postings)
     keys = written(split_keys(held), name="keys")
     open_ = held.join(keys.select("key"), "key", "left_semi").join(texts.select("id", "n", *_SKETCH), "id")
-    return connected_components(links.unionByName(_verified(texts, cross_pairs(open_, keys, _possible))))
+    return connected_components(links.unionByName(_verified(texts, cross_pairs(open_, keys, _possible, once=True))))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -339,15 +339,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     lines, an empty table gives none. Other columns of ``docs`` are not read.
     """
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = written(keyed.where("text IS NOT NULL").mapInArrow(_sign, "row_key long, doc_id long, line_no long, id long, bands0 array<long>, bands1 array<long>"), name="lines")
-    components = _components(docs, lines)
-    lines = lines.select("row_key", "doc_id", "line_no", "id")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("row_key").alias("k"))
-    ids = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    ids = written(ids, name="ids", release=True)
-    groups = ids.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1").select("component", "first")
-    by_id = written(ids.select("id", "component", "n").join(groups, "component").select("id", "n", "first"), name="firsts")
-    found = left_join(lines, by_id, "id", "n")
+    with step() as keep:
+        lines = written(keyed.where("text IS NOT NULL").mapInArrow(_sign, "row_key long, doc_id long, line_no long, id long, bands0 array<long>, bands1 array<long>"), name="lines")
+        by_id = _firsts(docs, lines)
+        keep(lines)
+        keep(by_id)
+    found = left_join(lines.select("row_key", "doc_id", "line_no", "id"), by_id, "id", "n")
     kept = F.col("first").isNull() | ((F.col("first.k") == F.col("row_key")) & (F.col("first.l") == F.col("line_no")))
     return found.select(
         "row_key", "doc_id", "line_no",
@@ -356,13 +353,26 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
+def _firsts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, n, first) of the lines of each component of two lines or more: the place of its first one. Written."""
+    components = _components(docs, lines)
+    lines = lines.select("row_key", "doc_id", "line_no", "id")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("row_key").alias("k"))
+    ids = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ids = written(ids, name="ids", release=True)
+    groups = ids.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1").select("component", "first")
+    return written(ids.select("id", "component", "n").join(groups, "component").select("id", "n", "first"), name="firsts")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``line_table`` drops, but for those under KEPT_CHARS; a document that loses all its text goes.
 
     Columns and their names stay as they are, but for the values of n_chars,
     which follow the text where it is a column. Documents without text stay.
     """
-    dropped = written(line_table(docs).where("NOT kept").groupBy("row_key").agg(F.collect_set("line_no").alias("dropped")), name="dropped")
+    with step() as keep:
+        dropped = written(line_table(docs).where("NOT kept").groupBy("row_key").agg(F.collect_set("line_no").alias("dropped")), name="dropped")
+        keep(dropped)
     row, text, gone = F.col("row"), F.col("row.text").cast("string"), F.col("dropped")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("row")).join(dropped, F.col("key") == F.col("row_key"), "left")
     brief = lambda x: F.length(F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")) < KEPT_CHARS

@@ -87,21 +87,29 @@ def split_keys(held: DataFrame) -> DataFrame:
     )
 
 
-def cross_pairs(held: DataFrame, keys: DataFrame, possible) -> DataFrame:
+def cross_pairs(held: DataFrame, keys: DataFrame, possible, *, once: bool = False) -> DataFrame:
     """(a, b) of items in different components that share one of ``keys`` (of ``split_keys``), where ``possible`` holds.
 
     held(key, id, component, ..); possible(x, y) is a condition over functions
     that name a column of either side. Rows of the largest component of a key
-    meet only rows of others, and the condition is part of the join.
+    meet only rows of others, and the condition is part of the join. ``once`` is
+    for items of few keys: each row carries all of its item's, and a pair leaves
+    the join at the smallest key it shares alone.
     """
-    marked = written(held.join(keys.select("key", "major", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "key"), name="marked")
+    marked = held.join(keys.select("key", "major", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "key")
+    if once:
+        marked = marked.join(marked.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    marked = written(marked, name="marked")
     columns = [c for c in marked.columns if c not in ("salts", "major")]
     minor = marked.where("component <> major").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     every = marked.withColumn("lead", F.col("component") == F.col("major")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     left = minor.select("salt", *[F.col(c).alias(f"x_{c}") for c in columns])
     right = every.select("lead", F.col("salt").alias("y_salt"), *[F.col(c).alias(f"y_{c}") for c in columns])
     meets = (F.col("x_key") == F.col("y_key")) & (F.col("salt") == F.col("y_salt")) & (F.col("x_component") != F.col("y_component")) & (F.col("lead") | (F.col("x_id") < F.col("y_id")))
-    found = left.join(right, meets & possible(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
+    meets = meets & possible(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+    if once:
+        meets = meets & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("x_key"))
+    found = left.join(right, meets)
     return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 

@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from braidwork.llm import textops
 from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs, labelled, least_difference, left_join, shared_postings, split_keys, with_hubs
-from braidwork.llm.scratch import drop, written
+from braidwork.llm.scratch import drop, step, written
 
 #: Cross-component pairs per item up to which a token is indexed singly.
-RARE = 5
+RARE = 20
 
 #: Candidate documents up to which their ids are broadcast to the scan of the texts (8 bytes each).
 MOST_BROADCAST = 1_000_000
@@ -265,12 +265,19 @@ def _small(keys: DataFrame, most: int) -> DataFrame:
 
 def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(row_key, doc_id, n_shingles, node) a row of ``docs``, and (node, component, component_id, n_copies) a set that has shingles."""
-    join = _Join(docs, width, percent)
+    with step() as keep:
+        join = _Join(docs, width, percent)
+        by_node = _named(join)
+        keep(by_node)
+        keep(join.base)
+    return join.base.select("row_key", "doc_id", "n_shingles", "node"), by_node
+
+
+def _named(join: _Join) -> DataFrame:
     components = join.components().select("id", F.col("component").alias("c"))
     named = join.nodes.select("id", "doc_id", "n_copies").join(components, "id", "left").select(F.col("id").alias("node"), "doc_id", "n_copies", F.coalesce("c", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = written(named.join(least, "component").select("node", "component", "component_id", "n_copies"), name="classes")
-    return join.base.select("row_key", "doc_id", "n_shingles", "node"), by_node
+    return written(named.join(least, "component").select("node", "component", "component_id", "n_copies"), name="classes")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -296,15 +303,18 @@ def without_copies(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Dat
     one stays. Rows of one doc_id whose texts are not alike are told apart. All
     columns stay as they are, whatever their names; an empty table gives none.
     """
-    full, by_node = _classes(docs.select("doc_id", "text"), width, percent)
-    rows = left_join(full.where("n_shingles > 0"), by_node.select("node", "component", "n_copies"), "node", "n_copies")
-    rows = written(rows.select("row_key", "doc_id", "component"), name="rows")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias("row_key"))
-    groups = rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
-    groups = written(groups.select("component", F.col("first.row_key").alias("stays"), "size"), name="groups")
-    gone = written(left_join(rows, groups, "component", "size").where("row_key <> stays").select(F.col("row_key").alias("key")).distinct(), name="gone")
-    repeated = rows.groupBy(F.col("row_key").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
-    repeated = written(repeated.join(gone, "key", "left_anti"), name="repeated")
+    with step() as keep:
+        full, by_node = _classes(docs.select("doc_id", "text"), width, percent)
+        rows = left_join(full.where("n_shingles > 0"), by_node.select("node", "component", "n_copies"), "node", "n_copies")
+        rows = written(rows.select("row_key", "doc_id", "component"), name="rows")
+        place = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row_key").alias("row_key"))
+        groups = rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("size")).where("size > 1")
+        groups = written(groups.select("component", F.col("first.row_key").alias("stays"), "size"), name="groups")
+        gone = written(left_join(rows, groups, "component", "size").where("row_key <> stays").select(F.col("row_key").alias("key")).distinct(), name="gone")
+        repeated = rows.groupBy(F.col("row_key").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+        repeated = written(repeated.join(gone, "key", "left_anti"), name="repeated")
+        keep(gone)
+        keep(repeated)
     kept = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("row")).join(_small(gone, MOST_BROADCAST), "key", "left_anti")
     if repeated.isEmpty():
         return kept.select("row.*")

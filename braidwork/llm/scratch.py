@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +32,29 @@ def written(df: DataFrame, *, name: str = "part", release: bool = False) -> Data
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
+    if _open:
+        _open[-1].append(found)
     return found
 
 
+#: Tables written in each of the steps that are open, the innermost last.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def step():
+    """A step whose tables go when it ends, but for the written ones given to the function it yields."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept.append
+    finally:
+        mine = _open.pop()
+        drop(*[df for df in mine if not any(df is k for k in kept)])
+        if _open:
+            _open[-1].extend(kept)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that nothing reads any more."""
     for df in tables:
