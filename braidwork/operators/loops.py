@@ -5,7 +5,6 @@ Ids may be of any one type. Linear chains are crossed in one round, whatever the
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame
@@ -15,12 +14,15 @@ from pyspark.sql import functions as F
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table under spark.checkpoint.dir, or under the warehouse where that is unset; gone when the driver ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    folder, warehouse = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not folder:
+        if (":" not in warehouse or warehouse.startswith("file:")) and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset, and the warehouse is a local folder")
+        folder = f"{warehouse}/_scratch"
     path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    gc.collect()
     return spark.read.schema(df.schema).parquet(path)
 
 
