@@ -19,6 +19,7 @@ def _remainder(n: int):
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; null texts and those without a letter are ``und``. Ties go to the first language by name; repeated rows repeat."""
     docs = _documents(spark, sf_dir)
     model = language_id.train(docs.where(_remainder(4) != 2))
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
@@ -26,41 +27,50 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ngram_join.near_duplicates`` of four-word shingles at 85 %; nulls, empties, ties and repeats as stated there."""
     return ngram_join.near_duplicates(_documents(spark, sf_dir), width=4, percent=85)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``license_scan.scan``; nulls, empties and repeats as stated there."""
     return license_scan.scan(_documents(spark, sf_dir))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line_dedup.line_table``; nulls, empties, ties and repeats as stated there."""
     return line_dedup.line_table(_documents(spark, sf_dir)).drop("row_key")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``decontaminate.leaks``; nulls, empties, ties and repeats as stated there."""
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``url_filter.judge`` by the base rules; null and odd urls as stated there."""
     rules = spark.createDataFrame(url_filter.BASE_RULES, "verdict string, host string, path string")
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mixing.mixed`` without the texts; nulls, empties and repeats as stated there."""
     return mixing.mixed(_documents(spark, sf_dir).select("doc_id", "text", "source"), without=("text",))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``personal_data.detect``; nulls, empties and repeats as stated there."""
     return personal_data.detect(_documents(spark, sf_dir))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every text; null is empty and fails, a null source is no host, repeated rows repeat."""
     features = quality_rules.document_features(_documents(spark, sf_dir))
     slim = ["doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rules_failed"]
     return quality_rules.judged(written(features.select(*slim), name="features")).drop("source", "rules_failed")
 
 
 def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``toxic_spans.score`` by a chain of the labelled rows that are not held out; nulls, empties and repeats as stated there. Documents without a label are scored alike."""
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(_remainder(5) != 0)
     chain = toxic_spans.train(labels, docs)

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder under the warehouse where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+    """The folder in spark.checkpoint.dir; where that is unset, one under the warehouse, which must not be a local folder on a cluster."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if (":" not in warehouse or warehouse.startswith("file:")) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset, and the warehouse is a local folder")
+    return f"{warehouse}/_scratch"
 
 
 def written(df: DataFrame, *, name: str = "part", release: bool = False) -> DataFrame:
