@@ -277,6 +277,41 @@ def test_kneser_ney_sums_to_one():
         assert (total <= 1 + 1e-4).all() and total[0] > 0.8
 
 
+def test_kneser_ney_by_the_formula():
+    """Probabilities by the recursive definition over plain strings, counts of lower orders being of distinct characters before."""
+    from collections import Counter
+
+    texts = {"a": ["abra cadabra", "barbar a", "rabarbara cab"], "b": ["abba acca", "cab bac dab", "dad abc"]}
+    rows = {k: pa.array(v) for k, v in texts.items()}
+    model = language_id.fit({k: np.unique(language_id.grams(*language_id.characters(v)), return_counts=True) for k, v in rows.items()})
+    alphabet = len({c for v in texts.values() for t in v for c in t}) + 1
+
+    def counts(lines):
+        top = Counter(("    " + t)[i + 1 : i + 5] for t in lines for i in range(len(t)))
+        found = {4: top}
+        for k in (3, 2, 1):
+            found[k] = Counter(g[1:] for g in found[k + 1])
+        return found
+
+    tables = {k: counts(v) for k, v in texts.items()}
+
+    def p(language, gram, k=4):
+        if not k:
+            return 1 / alphabet
+        table, own = tables[language][k], gram[-k:]
+        ones, twos = (sum(n == m for n in table.values()) for m in (1, 2))
+        discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        mates = [n for g, n in table.items() if g[:-1] == own[:-1]]
+        if not mates:
+            return p(language, gram, k - 1)
+        return max(table[own] - discount, 0) / sum(mates) * (table[own] > 0) + discount * len(mates) / sum(mates) * p(language, gram, k - 1)
+
+    wanted = ["abra", "   a", "zabc", " cab", "dada", "bbbb", "r ca"]
+    packed = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g)) for g in wanted], dtype=np.uint64)
+    got = np.exp(model.log_probabilities(packed))
+    assert np.allclose(got, [[p(x, g) for x in model.languages] for g in wanted], rtol=1e-4)
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
     bounds = np.array([0, 3, 4, 8])
