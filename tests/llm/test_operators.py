@@ -7,10 +7,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from braidwork.llm import decontaminate, language_id, line_dedup, mixing, toxic_spans, url_filter
+from braidwork.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, personal_data, quality_rules, toxic_spans, url_filter
 from tests.llm import brute
 
-SCHEMA = "doc_id long, text string, source string, lang string, toxic int, node string, key string"
+#: Extra columns whose names the operators use themselves.
+CLASHES = "node string, key string, id string, row_key string, n_words string, score string, words string, base string, labels string, h string, start string, item_id string, host string, kept string, spans string"
+SCHEMA = f"doc_id long, text string, source string, lang string, toxic int, url string, page_id long, {CLASHES}"
 
 
 def _frame(spark, rows, schema="doc_id long, text string, source string"):
@@ -363,3 +365,35 @@ def test_toxic_scores_follow_the_base_rate_of_all_labels(spark):
     for sample in (6000, 1000):
         row = toxic_spans.score(docs, toxic_spans.train(labelled, sample=sample)).first()
         assert row.predicted == 0 and 0.1 < row.score < 0.5
+
+
+OPERATORS = {
+    "language": lambda docs: language_id.predict(docs, language_id.train(docs)),
+    "copies": ngram_join.near_duplicates,
+    "licenses": license_scan.scan,
+    "lines": line_dedup.line_table,
+    "leaks": lambda docs: decontaminate.leaks(docs, docs.select(docs.doc_id.alias("item_id"), "text")),
+    "urls": lambda docs: url_filter.judge(docs, docs.sparkSession.createDataFrame(url_filter.BASE_RULES, "verdict string, host string, path string")),
+    "mixture": mixing.mixed,
+    "personal": personal_data.detect,
+    "quality": lambda docs: quality_rules.judged(quality_rules.document_features(docs)),
+    "toxic": lambda docs: toxic_spans.score(docs, toxic_spans.train(docs)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_and_clashing_columns(spark, name):
+    texts = [None, "", " \n\n ", "a", "one two three four five six", "one two three four five six", "word " * 20000, "x" * 50000, "mail a@b.cd now", "éß 漢字 😀"]
+    rows = [(i, t, "s" if i % 2 else None, "en" if i % 3 else "fr", i % 2, "http://a.org/x", i) for i, t in enumerate(texts)]
+    rows += [(None, "one two three four five six", "s", None, None, None, None), rows[4], rows[4]]
+    extra = len(CLASHES.split(","))
+    docs = spark.createDataFrame([(*r, *["clash"] * extra) for r in rows], SCHEMA).repartition(3)
+    out = OPERATORS[name](docs)
+    n = out.count()
+    if name == "lines":
+        assert n == sum(bool(x.strip()) for r in rows for x in (r[1] or "").split("\n"))
+    elif name in ("leaks", "mixture"):
+        assert n > 0
+    else:
+        assert n == len(rows)
+    assert OPERATORS[name](docs.limit(0)).count() == 0
