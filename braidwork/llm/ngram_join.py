@@ -37,7 +37,7 @@ from braidwork.llm.linking import connected_components, cross_pairs, hub_pairs,
 from braidwork.llm.scratch import drop, step, written
 
 #: Cross-component pairs per item up to which a token is indexed singly.
-RARE = 20
+RARE = 5
 
 #: Candidate documents up to which their ids are broadcast to the scan of the texts (8 bytes each).
 MOST_BROADCAST = 1_000_000
