@@ -141,7 +141,7 @@ def detect(docs: DataFrame, *, precision: float = PRECISION) -> DataFrame:
     found = written(proposals(docs), name="proposals")
     score, limit = fit(found, precision=precision)
     kinds = F.array(*[F.lit(n) for n, _, _ in (*BASE, *PROPOSED)])
-    extra = F.expr(f"transform(filter(proposed, m -> NOT m.overlaps AND {score} >= {limit:.12f}D), m -> struct(m.a AS a, m.kind AS kind, m.b AS b))")
+    extra = F.expr(f"transform(filter(proposed, m -> NOT m.overlaps AND {score} >= {limit - 1e-9:.12f}D), m -> struct(m.a AS a, m.kind AS kind, m.b AS b))")
 
     def shown(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s.kind), s.a.cast("string"), s.b.cast("string"))), ",")

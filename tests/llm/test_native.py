@@ -52,7 +52,9 @@ def test_personal_data_in_very_long_texts(spark):
     rows = [(i, t) for i, t in enumerate(texts.values())]
     found = {r.doc_id: r for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(found) == len(rows) and [found[2].n_email, found[2].spans] == [1, f"email:0:{len(texts['email'])}"]
-    assert all(r.base_sha256 == hashlib.sha256(",".join(brute.personal_data(texts[k])).encode()).hexdigest() for k, r in zip(texts, (found[i] for i in range(len(rows))), strict=True) if k in ("card", "email", "phone", "word"))
+    expected = {"card": "", "phone": "", "word": "", "email": f"email:0:{len(texts['email'])}"}  # by hand: the plain patterns take a time of n squared here
+    at = list(texts)
+    assert {k: found[at.index(k)].base_sha256 for k in expected} == {k: hashlib.sha256(x.encode()).hexdigest() for k, x in expected.items()}
 
 
 def test_account_numbers_are_checked(spark):
