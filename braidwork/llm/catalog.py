@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, personal_data, quality_rules, toxic_spans, url_filter
-from braidwork.llm.scratch import written
+from braidwork.llm import decontaminate, importance, language_id, license_scan, line_dedup, mixing, ngram_join, oracles, personal_data, prefix_trie, quality_rules, token_files, toxic_spans, url_filter
+from braidwork.llm.scratch import delete_on_exit, scratch_path, written
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,35 @@ def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_spans.score(docs, chain).select("doc_id", held_out, "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_license_scan, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_mixing, op8_personal_data, op9_quality_rules, op10_toxic_spans)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``token_files.read`` finds in the shards that ``token_files.write`` made; nulls, empties, ties and repeats as stated there."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "shards")
+    token_files.write(_documents(spark, sf_dir), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    delete_on_exit(spark, path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``prefix_trie.trie`` of conversations spliced by fives; nulls, empties, ties and repeats as stated there."""
+    turns = prefix_trie.turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows, convs = prefix_trie.spliced(turns, group=5, most=9)
+    return prefix_trie.trie(rows, convs).drop("first_node", "last_node")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``importance.resampled`` of the documents towards the benchmark's texts, by single words; nulls, empties, ties and repeats as stated there."""
+    return importance.resampled(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_ngram_jaccard, op3_license_scan, op4_line_dedup, op5_decontaminate, op6_url_filter, op7_mixing,
+        op8_personal_data, op9_quality_rules, op10_toxic_spans, op11_token_files, op12_prefix_trie, op13_importance,
+    )
+}
 
 ORACLES = {
     "op6_url_filter": r"""
@@ -92,4 +120,4 @@ ORACLES = {
           SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
           FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best""",
-}
+} | oracles.ORACLES

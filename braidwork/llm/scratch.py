@@ -19,6 +19,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/_scratch"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete what stands at ``path`` when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+
+
 def written(df: DataFrame, *, name: str = "part", release: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing.
 
@@ -26,14 +37,12 @@ def written(df: DataFrame, *, name: str = "part", release: bool = False) -> Data
     shuffles: Spark deletes their files once the driver's objects for them are gone.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
+    delete_on_exit(spark, path)
     if release:
         gc.collect()
-        jvm.System.gc()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+        spark._jvm.System.gc()
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     if _open:
