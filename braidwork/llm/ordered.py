@@ -25,7 +25,7 @@ def _scan(segment: str | None, sums: Sequence[str], xors: Sequence[str]) -> Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, last, first_run = TaskContext.get().partitionId(), 0, None, True
-        place, total = 0, dict.fromkeys([*sums, *xors], 0)
+        place, total = 0, dict.fromkeys([*[f"sum_{s}" for s in sums], *[f"xor_{x}" for x in xors]], 0)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -40,8 +40,9 @@ def _scan(segment: str | None, sums: Sequence[str], xors: Sequence[str]) -> Call
             starts = np.append(0, at)
             places = np.arange(n) - starts[run_of] + np.where(run_of == 0, place, 0)
             columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(head), pa.array(places)]
-            for name, (add, back) in [(s, (np.cumsum, np.subtract)) for s in sums] + [(x, (np.bitwise_xor.accumulate, np.bitwise_xor)) for x in xors]:
-                values = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+            for name in total:
+                add, back = (np.cumsum, np.subtract) if name.startswith("sum_") else (np.bitwise_xor.accumulate, np.bitwise_xor)
+                values = batch.column(name[4:]).to_numpy(zero_copy_only=False).astype(np.int64)
                 upto = add(values)
                 before = np.append(0, upto[at - 1])  # the total where each run begins
                 found = back(upto, before[run_of])
@@ -50,7 +51,7 @@ def _scan(segment: str | None, sums: Sequence[str], xors: Sequence[str]) -> Call
                 columns.append(pa.array(found))
                 total[name] = int(found[-1])
             seq, last, place = seq + n, marks[-1], int(places[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *_ADDED, *[f"sum_{s}" for s in sums], *[f"xor_{x}" for x in xors]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *_ADDED, *total])
 
     return run
 
@@ -75,8 +76,8 @@ def ordered(rows: DataFrame, *keys: str | Column, segment: str | None = None, su
         ours = carry is not None and row.head and row.mark == carry[0]  # one segment fills the partition and goes on
         carry = (row.mark, row.place + (carry[1] if ours else 0), *[(row[t] + c if t.startswith("sum_") else row[t] ^ c) if ours else row[t] for t, c in zip(totals, carry[2:] if carry else [0] * len(totals), strict=True)])
         before += row.seq + 1
-    kept = rows.sparkSession.createDataFrame(carried, "part int, before long, mark long, c_place long, " + ", ".join(f"c_{t} long" for t in totals) if totals else "part int, before long, mark long, c_place long")
-    ours = F.col("head") & (F.col("mark") == mark)
+    kept = rows.sparkSession.createDataFrame(carried, ", ".join(["part int, before long, c_mark long, c_place long", *[f"c_{t} long" for t in totals]]))
+    ours = F.col("head") & (F.col("c_mark") == mark)
     more = lambda c: F.when(ours, F.col(f"c_{c}")).otherwise(0)
     full = local.join(F.broadcast(kept), "part")
     added = {"rank": F.col("seq") + F.col("before"), "place": F.col("place") + more("place")}
