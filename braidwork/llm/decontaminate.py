@@ -3,9 +3,11 @@
 Numbers, units after a number, and capitalised words inside a sentence become
 typed placeholders; all other words are lower-cased. Points and commas between
 digits belong to the number. Windows of templates are hashed and looked up among
-the benchmark's. Windows that agree on one shift of document against item are put
-together, then those of neighbouring shifts, which inserted and deleted words
-make; it is a leak where enough of the item is covered. A placeholder value of
+the benchmark's; a run of windows that match one after another is found at its first
+window alone, so a phrase that an item and a document repeat costs the sum of
+their lengths, not the product. Runs that agree on one shift of document against
+item are put together, then those of neighbouring shifts, which inserted and deleted
+words make; it is a leak where enough of the item is covered, each word of the document counting once. A placeholder value of
 the item should stand for one value of the document throughout; windows with a
 changed word that breaks this do not count, but runs of equal words alone may do.
 """
@@ -29,9 +31,6 @@ WINDOW = 8
 #: A leak covers this share of the item, or this many of its words in a row.
 SHARE, RUN = 0.6, 25
 
-#: A window that stands more often than this in one item says nothing: it is not looked up.
-REPEATS = 64
-
 #: Benchmark characters that one pass over the documents looks up; a larger benchmark takes several passes.
 BLOCK_CHARS = 20_000_000
 
@@ -115,15 +114,87 @@ def _windows(found: Templates, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, start
 
 
+def _sums(hashes: np.ndarray) -> np.ndarray:
+    """Running sums by which runs of hashes compare wherever they stand, with ``_run_hashes``."""
+    out = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(textops.mix(hashes) * textops.powers(len(hashes)), out=out[1:])
+    return out
+
+
+def _run_hashes(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (sums[start + n] - sums[start]) * inverse[start]
+
+
+def _common(sums: tuple[np.ndarray, np.ndarray], inverse: tuple[np.ndarray, np.ndarray], starts: tuple[np.ndarray, np.ndarray], most: np.ndarray) -> np.ndarray:
+    """How far two sequences agree from these places on, up to ``most``: bits of the length from the highest down."""
+    n = np.zeros(len(most), np.int64)
+    for bit in range(int(most.max(initial=0)).bit_length() - 1, -1, -1):
+        more = np.minimum(n + (1 << bit), most)
+        tried = more - n == 1 << bit
+        same = np.zeros(len(n), bool)
+        at = np.flatnonzero(tried)
+        same[at] = _run_hashes(sums[0], inverse[0], starts[0][at], more[at]) == _run_hashes(sums[1], inverse[1], starts[1][at], more[at])
+        n = np.where(same, more, n)
+    return n
+
+
+class _Windows:
+    """The windows of one width in a block of items, by hash and the hash of the window before."""
+
+    def __init__(self, width: int, hashes: np.ndarray, start: np.ndarray, item: np.ndarray, fits: np.ndarray, n_words: int):
+        self.width, self.sums = width, None
+        if width == WINDOW:  # items of fewer words are one window
+            at_place = textops.mix(np.arange(n_words, dtype=_U) ^ _U(0xD6E8FEB86659FD93))  # a window that is not looked up matches nothing
+            at_place[start[fits]] = hashes[fits]
+            self.sums = _sums(at_place)
+        self.start, self.item, key = start[fits], item[fits], hashes[fits]
+        first = np.ones(len(self.start), bool)
+        first[1:] = (self.start[1:] != self.start[:-1] + 1) | (self.item[1:] != self.item[:-1])
+        prior = np.zeros(len(key), _U)  # 0: there is none
+        prior[1:][~first[1:]] = key[:-1][~first[1:]]
+        self.keys, key_no = np.unique(key, return_inverse=True)
+        self.priors, prior_no = np.unique(prior, return_inverse=True)
+        pair = (key_no.astype(np.int64) << 32) | prior_no
+        order = np.argsort(pair, kind="stable")
+        self.pairs, self.start, self.item = pair[order], self.start[order], self.item[order]
+
+    def runs(self, found: Templates, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place in the documents, place in the items, item, windows) of each longest run of matching windows."""
+        h, start = _windows(found, self.width)
+        prior = np.ones(len(h), _U)  # 1: there is none
+        inside = np.zeros(len(h), bool)
+        inside[1:] = start[1:] == start[:-1] + 1
+        prior[1:][inside[1:]] = h[:-1][inside[1:]]
+        key_no = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        hit = np.flatnonzero(self.keys[key_no] == h) if len(self.keys) else np.zeros(0, np.int64)
+        key_no, prior, place = key_no[hit].astype(np.int64), prior[hit], start[hit]
+        prior_no = np.minimum(np.searchsorted(self.priors, prior), len(self.priors) - 1)
+        pair = (key_no << 32) | np.where(self.priors[prior_no] == prior, prior_no, (1 << 32) - 1)
+        low, high = np.searchsorted(self.pairs, key_no << 32), np.searchsorted(self.pairs, (key_no + 1) << 32)
+        skip, on = np.searchsorted(self.pairs, pair), np.searchsorted(self.pairs, pair, side="right")  # these go on from the window before
+        n = np.concatenate([skip - low, high - on])
+        begin, place = np.concatenate([low, on]), np.concatenate([place, place])
+        own = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        place = np.repeat(place, n)
+        mine, item = self.start[own], self.item[own]
+        if self.sums is None:
+            return place, mine, item, np.ones(len(place), np.int64)
+        last = np.repeat(found.at[1:], np.diff(found.at))
+        most = np.minimum(last[place] - place, ends[item] - mine) - self.width + 1
+        hashes = np.zeros(len(found.template), _U)
+        hashes[start] = h
+        length = _common((_sums(hashes), self.sums), (textops.powers(len(hashes) + 1, inverse=True), textops.powers(len(self.sums), inverse=True)), (place, mine), most)
+        return place, mine, item, length
+
+
 class Index:
-    """The windows of a block of benchmark items, sorted by hash."""
+    """The windows of a block of benchmark items."""
 
     def __init__(self, item_ids: list, column: pa.Array):
         self.items, self.found = item_ids, templates(column)
         n = np.diff(self.found.at)
-        self.widths = sorted({int(min(WINDOW, x)) for x in n if x})
-        rows, self.bare = [], defaultdict(list)
-        for width in self.widths:
+        self.windows, self.bare = [], defaultdict(list)
+        for width in sorted({int(min(WINDOW, x)) for x in n if x}):
             h, start = _windows(self.found, width)
             item = np.searchsorted(self.found.at, start, side="right") - 1
             fits = np.minimum(WINDOW, n[item]) == width
@@ -132,74 +203,86 @@ class Index:
             some = np.zeros(len(n), dtype=bool)
             some[item[anchored]] = True
             fits &= anchored | ~some[item]  # windows of placeholders alone are looked up only for items that have no others
-            _, group, count = np.unique(textops.mix(h) ^ item.astype(_U), return_inverse=True, return_counts=True)
-            fits &= count[group] <= REPEATS
-            rows.append((h[fits], start[fits], item[fits]))
+            self.windows.append(_Windows(width, h, start, item, fits, len(self.found.own)))
             for i, s in zip(item[some[item] & ~anchored].tolist(), start[some[item] & ~anchored].tolist(), strict=True):
                 if min(WINDOW, int(n[i])) == width:
                     self.bare[i].append(s)
-        self.keys, self.starts, self.owners = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64) for k in range(3))
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.starts, self.owners = self.keys[order], self.starts[order], self.owners[order]
-        self.spans = np.minimum(WINDOW, n[self.owners]) if len(self.owners) else self.owners
 
     def leaks(self, column: pa.Array) -> list[tuple[int, int, str, int, float]]:
         """(row, item, kind, words covered, share of the item covered) of each leak, the best of a row and item."""
-        if not len(self.keys):
-            return []
         found = templates(column)
-        hits = []
-        for width in self.widths:
-            h, start = _windows(found, width)
-            low, high = np.searchsorted(self.keys, h, side="left"), np.searchsorted(self.keys, h, side="right")
-            n = high - low
-            own = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            place = np.repeat(start, n)
-            same = self.spans[own] == width
-            hits.append((place[same] - self.starts[own[same]], self.starts[own[same]], self.owners[own[same]], np.searchsorted(found.at, place[same], side="right") - 1))
-        shift, mine, item, row = (np.concatenate([x[k] for x in hits]) for k in range(4))
-        if not len(row):
+        hits = [(*w.runs(found, self.found.at[1:]), w.width) for w in self.windows]
+        place, mine, item, words = (np.concatenate([np.zeros(0, np.int64), *[x[k] + (x[4] - 1 if k == 3 else 0) for x in hits]]) for k in range(4))
+        if not len(place):
             return []
+        row, shift = np.searchsorted(found.at, place, side="right") - 1, place - mine
         order = np.lexsort((mine, shift, item, row))
-        shift, mine, item, row = shift[order], mine[order], item[order], row[order]
-        fresh = np.flatnonzero(np.append(True, (np.diff(shift) != 0) | (np.diff(item) != 0) | (np.diff(row) != 0)))
-        shifts = defaultdict(dict)
-        for a, b in zip(fresh.tolist(), [*fresh[1:].tolist(), len(row)], strict=True):
-            r, i, by = int(row[a]), int(item[a]), int(shift[a])
-            width = min(WINDOW, int(self.found.at[i + 1] - self.found.at[i]))
-            windows = [(x, width) for x in mine[a:b].tolist()]
-            for x in self.bare.get(i, ()):  # windows of placeholders alone count beside others of the same shift
-                if found.at[r] <= x + by and x + by + width <= found.at[r + 1] and (found.template[x + by : x + by + width] == self.found.template[x : x + width]).all():
-                    windows.append((x, width))
-            shifts[r, i][by] = windows
+        shift, mine, item, row, words = shift[order], mine[order], item[order], row[order], words[order]
+        fresh = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(row) != 0)))
         out = []
-        for (row, item), by_shift in shifts.items():
-            judged = [x for group in self._groups(item, by_shift) if (x := self._judged(found, item, group))]
-            if judged:
-                out.append((row, item, *max(judged, key=lambda x: x[1])))
+        for a, b in zip(fresh.tolist(), [*fresh[1:].tolist(), len(row)], strict=True):
+            r, i = int(row[a]), int(item[a])
+            length = int(self.found.at[i + 1] - self.found.at[i])
+            if i not in self.bare and int(words[a:b].sum()) < min(RUN, SHARE * length):
+                continue
+            by_shift = defaultdict(list)
+            for by, s, n in zip(shift[a:b].tolist(), mine[a:b].tolist(), words[a:b].tolist(), strict=True):
+                by_shift[by].append((s, n))
+            for by, runs in by_shift.items() if i in self.bare else ():  # windows of placeholders alone count beside others of the same shift
+                width = min(WINDOW, length)
+                for x in self.bare[i]:
+                    if found.at[r] <= x + by and x + by + width <= found.at[r + 1] and (found.template[x + by : x + by + width] == self.found.template[x : x + width]).all():
+                        runs.append((x, width))
+            if best := self._best(found, i, by_shift):
+                out.append((r, i, *best))
         return out
 
-    def _groups(self, item: int, by_shift: dict[int, list]) -> list[dict[int, list]]:
-        """Each shift alone, and runs of shifts that lie no further apart than the item is long."""
+    def _best(self, found: Templates, item: int, by_shift: dict[int, list]) -> tuple[str, int, float] | None:
+        """The way to lay an item on a document that covers most words: each shift alone, and runs of shifts that lie no further apart than the item is long."""
         length = int(self.found.at[item + 1] - self.found.at[item])
-        runs, before = [], None
+        size = {shift: min(sum(n for _, n in runs), length) for shift, runs in by_shift.items()}
+        best = None
+        for shift in sorted(by_shift, key=lambda x: (-size[x], x)):
+            if size[shift] < min(RUN, SHARE * length) or best and best[1] >= size[shift]:
+                break
+            judged = self._judged(found, item, {shift: by_shift[shift]})
+            best = judged if judged and (not best or judged[1] > best[1]) else best
+        if best and best[1] == length:
+            return best
+        groups, before = [], None
         for shift in sorted(by_shift):
             if before is None or shift - before > length:
-                runs.append({})
-            runs[-1][shift], before = by_shift[shift], shift
-        return [{shift: windows} for shift, windows in by_shift.items()] + [r for r in runs if len(r) > 1]
+                groups.append({})
+            groups[-1][shift], before = by_shift[shift], shift
+        for group in groups:
+            if len(group) > 1 and (judged := self._judged(found, item, group)) and (not best or judged[1] > best[1]):
+                best = judged
+        return best
 
     def _judged(self, found: Templates, item: int, group: dict[int, list]) -> tuple[str, int, float] | None:
-        """(kind, words covered, share) of the windows of some shifts together, or None where they are no leak.
+        """(kind, words covered, share) of the runs of some shifts together, or None where they are no leak.
 
-        An item word that several shifts cover is compared at the shift of most windows.
+        Shifts of most words come first; of what they cover, a later shift takes only
+        words of the item that are not covered by words of the document that are not used.
         """
         base, stop = int(self.found.at[item]), int(self.found.at[item + 1])
-        covered, places = np.zeros(stop - base, dtype=bool), np.zeros(stop - base, dtype=np.int64)
-        for shift in sorted(group, key=lambda x: (-len(group[x]), x)):
-            for s, width in group[shift]:
-                fresh = np.flatnonzero(~covered[s - base : s - base + width]) + s
-                covered[fresh - base], places[fresh - base] = True, fresh + shift
+        low = min(s + by for by, runs in group.items() for s, _ in runs)
+        high = max(s + n + by for by, runs in group.items() for s, n in runs)
+        steps = np.zeros((2, max(stop - base, high - low) + 1), np.int64)
+        for by, runs in group.items():
+            for s, n in runs:
+                steps[0, s - base] += 1
+                steps[0, s + n - base] -= 1
+                steps[1, s + by - low] += 1
+                steps[1, s + n + by - low] -= 1
+        left = np.count_nonzero(np.cumsum(steps, axis=1) > 0, axis=1).min()  # no more words can be laid on each other
+        covered, used, places = np.zeros(stop - base, dtype=bool), np.zeros(high - low, dtype=bool), np.zeros(stop - base, dtype=np.int64)
+        for shift in sorted(group, key=lambda x: (-sum(n for _, n in group[x]), x)):
+            for s, n in group[shift]:
+                fresh = np.flatnonzero(~covered[s - base : s - base + n] & ~used[s + shift - low : s + shift - low + n]) + s
+                covered[fresh - base], used[fresh + shift - low], places[fresh - base] = True, True, fresh + shift
+            if int(covered.sum()) >= left:
+                break
         if not _enough(covered):
             return None
         mine, theirs = self.found.own[base:stop], found.own[places]
@@ -210,14 +293,16 @@ class Index:
         bad = np.zeros(stop - base, dtype=bool)  # changed words of a value that stands for two of the document
         bad[[k for k in slots if len(meant[mine[k]]) > 1 and mine[k] != theirs[k]]] = True
         if bad.any():
-            equal = covered & (mine == theirs)
-            covered[:] = False
-            for windows in group.values():
-                for s, width in windows:
-                    if not bad[s - base : s - base + width].any():
-                        covered[s - base : s - base + width] = True
+            equal, laid, width = covered & (mine == theirs), covered, min(WINDOW, stop - base)
+            covered = np.zeros(stop - base, dtype=bool)
+            for runs in group.values():
+                for s, n in runs:
+                    cuts = np.concatenate([[-1], np.flatnonzero(bad[s - base : s - base + n]), [n]])
+                    for a, b in zip((cuts[:-1] + 1).tolist(), cuts[1:].tolist(), strict=True):
+                        covered[s - base + a : s - base + b] |= b - a >= width
+            covered &= laid
             if not _enough(covered):  # equal words alone, in runs of half a window
-                covered[:] = False
+                covered = np.zeros(stop - base, dtype=bool)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(np.int8), [0]])))
                 for a, b in zip(edges[::2], edges[1::2], strict=True):
                     covered[a:b] = b - a >= WINDOW // 2
@@ -245,8 +330,6 @@ def _blocks(benchmark: DataFrame, item: str) -> Iterator[Index]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text, ..), benchmark(item_id, text, ..) -> doc_id, item_id, kind, n_words, share of each leak.
 
-    Windows that stand over ``REPEATS`` times in an item count for nothing.
-
     kind is ``exact`` where the covered words are equal, else ``template``. Null
     or empty texts leak nothing, an empty table gives none. Repeated documents
     and items give a row each. Of ways to lay an item on a document, the one that

@@ -66,6 +66,11 @@ def _powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:
     return found[:n]
 
 
+def powers(n: int, *, inverse: bool = False) -> np.ndarray:
+    """Powers 0 to n - 1 of the multiplier of running sums, or of its inverse; not to be written to."""
+    return _powers(_INVERSE if inverse else _MULTIPLIER, n)
+
+
 def prefix_sums(raw: np.ndarray) -> np.ndarray:
     """S with S[j] - S[i] = the sum of keyed bytes i..j-1, each times a power of the multiplier by position."""
     out = np.zeros(len(raw) + 1, dtype=U)

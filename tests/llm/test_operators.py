@@ -397,3 +397,51 @@ def test_odd_rows_and_clashing_columns(spark, name):
     else:
         assert n == len(rows)
     assert OPERATORS[name](docs.limit(0)).count() == 0
+
+
+def _plain_runs(document, item, width):
+    """Longest runs of equal windows by comparing all places: (document place, item place, windows)."""
+    at = lambda words, i: tuple(words[i : i + width])
+    n, m = len(document) - width + 1, len(item) - width + 1
+    out = set()
+    for p in range(n):
+        for s in range(m):
+            if at(document, p) == at(item, s) and not (p and s and at(document, p - 1) == at(item, s - 1)):
+                k = 1
+                while p + k < n and s + k < m and at(document, p + k) == at(item, s + k):
+                    k += 1
+                out.add((p, s, k))
+    return out
+
+
+def test_window_runs_against_all_places():
+    rng = random.Random(6)
+    for words in ("ab", "abc", "abcdefgh"):
+        items = [[rng.choice(words) for _ in range(rng.choice([3, 8, 12, 40]))] for _ in range(6)]
+        documents = [[rng.choice(words) for _ in range(rng.choice([0, 5, 30]))] + rng.choice(items) * rng.choice([1, 2]) for _ in range(8)]
+        index = decontaminate.Index(list(range(6)), pa.array([" ".join(x) for x in items]))
+        found = decontaminate.templates(pa.array([" ".join(x) for x in documents]))
+        mine = index.found.at
+        runs = set()
+        for w in index.windows:
+            for p, s, i, k in zip(*(x.tolist() for x in w.runs(found, mine[1:])), strict=True):
+                d = int(np.searchsorted(found.at, p, side="right")) - 1
+                runs.add((d, i, p - int(found.at[d]), s - int(mine[i]), k))
+        expected = {(d, i, *x) for d, document in enumerate(documents) for i, item in enumerate(items) for x in _plain_runs(document, item, min(decontaminate.WINDOW, len(item)))}
+        assert runs == expected
+
+
+def test_repetitive_items(spark):
+    phrase = "row row your boat "
+    bench = spark.createDataFrame([(1, phrase * 90), (2, "la " * 30_000), (3, "what is the name of the tall person " * 8 + "who sings")], "item_id long, text string")
+    docs = [
+        (1, "once upon a time " + phrase * 90 + "they said"),  # verbatim among other words
+        (2, "boat " + phrase * 300),  # the phrase goes on for longer, from another of its words
+        (3, phrase * 3),  # 12 words are no copy of 360, however often they could be laid on it
+        (4, "la " * 40_000),
+        (5, "la " * 12),
+        (6, "they sing " + "what is the name of the tall person " * 8 + "who sings well"),
+        (7, "what is the name of the tall person who sings"),
+    ]
+    found = {(r.doc_id, r.item_id): (r.kind, r.n_words) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found == {(1, 1): ("exact", 360), (2, 1): ("exact", 360), (4, 2): ("exact", 30_000), (6, 3): ("exact", 66)}
