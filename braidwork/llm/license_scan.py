@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from braidwork.llm import spans
+
 #: Fixed phrases and labels whose places are always reported.
 BASE = (("under the mit license", "mit", "mit"), ("apache license version 2", "apache", "apache-2"), ("cc by nc", "cc", "cc-by-nc"))
 
@@ -227,12 +229,8 @@ def scan(docs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
         F.explode_outer(F.array_intersect("words", F.array(*map(F.lit, keywords)))).alias("keyword"),
     )
     ruled = gated.join(F.broadcast(spark.createDataFrame(table, _KINDS)), "keyword", "left")  # a fixed list of a few hundred rules
-    ruled = ruled.withColumns({"gaps": F.expr("regexp_extract_all(line, concat('(?s)\\\\G(.*?) (', pattern, ')(?= )'), 1)"), "found": F.expr("regexp_extract_all(line, concat('(?s)\\\\G(.*?) (', pattern, ')(?= )'), 2)")})
-    places = F.expr(
-        """aggregate(arrays_zip(gaps, found), struct(0L AS at, cast(array() AS array<struct<a:bigint,b:bigint>>) AS out),
-             (s, x) -> struct(s.at + regexp_count(x.gaps, ' ') + regexp_count(x.found, ' ') + 1 AS at,
-                              array_append(s.out, struct(s.at + regexp_count(x.gaps, ' ') AS a, s.at + regexp_count(x.gaps, ' ') + regexp_count(x.found, ' ') + 1 AS b)) AS out)).out"""
-    )
+    # a match takes the blank before it, so blanks count the words that lie before
+    places = spans.places(spans.cut(F.col("line"), F.expr("concat(' (', pattern, ')(?= )')")), lambda part, match: F.regexp_count(part, F.lit(" ")) + match.cast("long"))
     hits = ruled.select("row", "doc_id", "n_words", "rule", "label", "priority", "confidence", F.explode_outer(places).alias("at"))
     base = F.col("rule") < len(BASE)
     outer = W.partitionBy("row").orderBy(F.col("at.a"), F.col("at.b").desc(), "priority", "rule").rowsBetween(W.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm import boosting
+from braidwork.llm import boosting, spans
 from braidwork.llm.scratch import written
 
 #: Base kinds in report order, their patterns, and a needle without which the pattern can't match. Loops over groups are
@@ -29,7 +29,7 @@ BASE = (
 
 #: Generators: kind, pattern, needle. Fixed values.
 PROPOSED = (
-    ("secret", r"[A-Za-z0-9_-]*+(?<=[A-Za-z0-9_-]{16})", None),
+    ("secret", r"[A-Za-z0-9_-]{16,}+", None),
     ("number", r"[0-9](?:[\x20().-]{0,2}[0-9]){8,}+", None),
     ("address", r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++", "at"),
     ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", None),
@@ -67,22 +67,9 @@ _CHECKS = {
 
 def _matches(pattern: str, needle: str | None) -> Column:
     """array<struct<a, b, s>>: leftmost non-overlapping matches in ``_text``, by code points, end exclusive."""
-    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
-    gaps, found = F.regexp_extract_all("_text", whole, F.lit(1)), F.regexp_extract_all("_text", whole, F.lit(2))
-    kind = "array<struct<a:bigint,b:bigint,s:string>>"
-    walk = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), found.alias("s")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out")),
-        lambda t, x: F.struct(
-            (t.at + F.length(x["g"]) + F.length(x["s"])).cast("long").alias("at"),
-            F.array_append(
-                t.out,
-                F.struct((t.at + F.length(x["g"])).cast("long").alias("a"), (t.at + F.length(x["g"]) + F.length(x["s"])).cast("long").alias("b"), x["s"].alias("s")),
-            ).alias("out"),
-        ),
-    ).out
+    found = spans.places(spans.cut(F.col("_text"), F.lit(f"({pattern})")), lambda part, _: F.length(part))
     possible = F.col("_text").contains(needle) if needle else F.lit(True)
-    return F.when(possible & F.col("_text").rlike(r"[0-9@]|\(at\)|\[at\]|[A-Za-z0-9_-]{16}"), walk).otherwise(F.array().cast(kind))
+    return F.when(possible & F.col("_text").rlike(r"[0-9@]|\(at\)|\[at\]|[A-Za-z0-9_-]{16}"), found).otherwise(F.array().cast("array<struct<a:bigint,b:bigint,s:string>>"))
 
 
 def _bucket(value: str, *limits: int) -> str:

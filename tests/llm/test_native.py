@@ -1,10 +1,14 @@
 import hashlib
+import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from braidwork.llm import boosting, license_scan, personal_data, quality_rules
+from braidwork.llm import boosting, license_scan, personal_data, quality_rules, spans
 from tests.llm import brute
 
 PARTS = [
@@ -40,8 +44,8 @@ def test_personal_data(docs, rows):
     by_id = dict(rows)
     for r in found:
         base = brute.personal_data("x@y.z" if r.doc_id is None else by_id[r.doc_id])
-        spans = r.spans.split(",") if r.spans else []
-        assert set(base) <= set(spans)
+        shown = r.spans.split(",") if r.spans else []
+        assert set(base) <= set(shown)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in base) for k in ("email", "ip", "card", "phone")]
     assert any("secret:" in r.spans for r in found)
 
@@ -57,6 +61,45 @@ def test_personal_data_in_very_long_texts(spark):
     assert {k: found[at.index(k)].base_sha256 for k in expected} == {k: hashlib.sha256(x.encode()).hexdigest() for k, x in expected.items()}
 
 
+def test_every_proposal_against_finditer(spark):
+    rng = random.Random(8)
+    parts = [*PARTS, "aB3_9-xK2pQ7zLmN4vTy", "0123456789abcdef0123", "me (at) host (dot) org", "you [at] example.net", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "call (030) 123-45 67 89", "\x01", "so"]
+    texts = ["".join(p + rng.choice([" ", "", "\n", ", "]) for p in rng.choices(parts, k=40)) for _ in range(120)]
+    found = personal_data.proposals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    n = len(personal_data.BASE)
+    for r in found:
+        for k, (kind, pattern, needle) in enumerate(personal_data.PROPOSED):
+            expected = [(m.start(), m.end()) for m in re.finditer(pattern, texts[r.doc_id]) if m.group()] if not needle or needle in texts[r.doc_id] else []
+            assert [(m.a, m.b) for m in r.proposed if m.kind == n + k] == expected, kind
+    assert all(sum(m.kind == n + k for r in found for m in r.proposed) > 60 for k in range(len(personal_data.PROPOSED)))
+
+
+def test_several_secrets_of_a_text(spark):
+    text = "token=aB3dE6gH9jK2mN5pQ8sT and secret: Zx9Cv8Bn7Mq6Wl5Er4Ty3 or api_key=q1W2e3R4t5Y6u7I8o9P0"
+    rows = [(i, text) for i in range(80)] + [(100 + i, f"plain words of text number {i} go here") for i in range(80)]
+    found = {r.doc_id: r.spans for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    starts = [text.index(x) for x in ("aB3d", "Zx9C", "q1W2")]
+    assert all(found[i].split(",") == [f"secret:{a}:{a + n}" for a, n in zip(starts, (20, 21, 20), strict=True)] for i in range(80))
+    assert not any(found[100 + i] for i in range(80))
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    addresses = "".join(f"user{i}@example.org " for i in range(100_000))
+    licensed = "licensed under the mit license or so " * 60_000
+    began = time.time()
+    (r,) = personal_data.detect(spark.createDataFrame([(1, addresses)], "doc_id long, text string")).collect()
+    assert r.n_email == 100_000 and r.spans.endswith(f"email:{len(addresses) - 22}:{len(addresses) - 1}")
+    (r,) = license_scan.scan(spark.createDataFrame([(1, licensed)], "doc_id long, text string")).collect()
+    assert (r.n_base, r.first_word, r.last_word) == (60_000, 1, 59_999 * 7 + 1)
+    assert time.time() - began < 90
+
+
+def test_running_sums(spark):
+    rows = [(i, [random.Random(i).randrange(9) for _ in range(n)]) for i, n in enumerate([0, 1, 127, 128, 129, 1000])]
+    found = spark.createDataFrame(rows, "i long, v array<long>").select("i", spans.running(F.col("v")).alias("s"))
+    assert {r.i: r.s for r in found.collect()} == {i: list(itertools.accumulate(v)) for i, v in rows}
+
+
 def test_account_numbers_are_checked(spark):
     rows = [(i, f"pay to {'DE89 3704 0044 0532 0130 00' if i % 2 else 'DE88 3704 0044 0532 0130 00'} now") for i in range(60)]
     found = {r.doc_id: r.spans for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
