@@ -1,4 +1,4 @@
-"""Script text as statement rows: physical lines, logical lines, blocks by indentation, and what each statement is.
+"""Logical lines of scripts as statement rows: blocks by indentation, and what each statement is.
 
 Files are independent, so all windows are partitioned by ``path``.
 """
@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from braidwork.operators.lexing import logical_lines
+
 #: Statement words that stand for themselves. Fixed values.
 PLAIN = ("scene", "show", "hide", "play", "stop", "queue", "voice", "with", "pause", "pass", "window")
 
-#: A quoted string on one line; loops take no stack. Fixed value.
-_QUOTED = r"\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'"
-
+#: A string literal: between triple quotes, which newlines may stand in, or single ones; loops take no stack. Fixed value.
+_QUOTED = (
+    r"\"{3}(?:[^\"\\]++|\\(?s:.)|\"(?!\"\"))*+\"{3}|'{3}(?:[^'\\]++|\\(?s:.)|'(?!''))*+'{3}"
+    r"|\"(?!\"\")(?:[^\"\\\n]++|\\(?s:.))*+\"|'(?!'')(?:[^'\\\n]++|\\(?s:.))*+'"
+)
 
-def without_comment(line: Column) -> Column:
-    """The line up to a ``#`` that is not inside quotes."""
-    return F.regexp_replace(line, rf"^((?:[^\"'#]++|{_QUOTED})*+)#.*$", "$1")
+#: What a backslash and a character stand for in a literal, but for code points and the backslash itself. Fixed values.
+_ESCAPES = (("\n", ""), ("'", "'"), ('"', '"'), ("n", "\n"), ("t", "\t"), ("r", "\r"))
 
 
 def head(text: Column) -> tuple[Column, Column]:
@@ -33,6 +36,15 @@ def without_colon(text: Column) -> Column:
     return F.when(F.rtrim(text).endswith(":"), F.rtrim(F.regexp_replace(F.rtrim(text), ":$", "")))
 
 
+def literal_value(literal: Column) -> Column:
+    """What a quoted literal says: without its quotes, with simple escapes resolved."""
+    body = F.regexp_replace(literal, r"(?s)^(?:\"{3}(.*)\"{3}|'{3}(.*)'{3}|\"(.*)\"|'(.*)')$", "$1$2$3$4")
+    body = F.replace(body, F.lit("\\\\"), F.lit("\x01"))
+    for char, value in _ESCAPES:
+        body = F.replace(body, F.lit(f"\\{char}"), F.lit(value))
+    return F.replace(body, F.lit("\x01"), F.lit("\\"))
+
+
 def local_name(name: Column, current: Column) -> Column:
     """``.x`` is ``x`` of the current global label, other names are their own."""
     return F.when(name.startswith("."), F.concat(F.coalesce(current, F.lit("")), name)).otherwise(name)
@@ -41,55 +53,17 @@ def local_name(name: Column, current: Column) -> Column:
 def choice_header(text: Column) -> tuple[Column, Column]:
     """(caption, condition) of ``"caption":`` or ``"caption" if condition:``; null where the line is no choice."""
     body = without_colon(text)
-    pattern = rf"^\s*({_QUOTED})\s*(?:if\s+(.+))?$"
+    pattern = rf"^\s*({_QUOTED})\s*(?:if\b\s*((?s:.+)))?$"
     fits = body.rlike(pattern)
-    caption = F.regexp_extract(body, pattern, 1)
     condition = F.nullif(F.trim(F.regexp_extract(body, pattern, 2)), F.lit(""))
-    return F.when(fits, F.substring(caption, F.lit(2), F.length(caption) - 2)), F.when(fits, condition)
-
-
-def logical_lines(lines: DataFrame) -> DataFrame:
-    """lines(path, line_no, line) -> (path, start_line, end_line, indent, code, tab_indent).
-
-    Comments and blank lines go. A line is joined to the one before it where a
-    bracket or a triple quote is open, or a backslash ends that line.
-    """
-    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    code = without_comment(F.col("line"))
-    rows = lines.select("path", "line_no", "line", code.alias("code"))
-    bare = F.regexp_replace("code", rf"\"\"\"|{_QUOTED}", "")
-    depth = F.length(F.regexp_replace(bare, r"[^\(\[\{]", "")) - F.length(F.regexp_replace(bare, r"[^\)\]\}]", ""))
-    rows = rows.withColumn("depth", depth).withColumn("triples", F.regexp_count("code", F.lit('"""')))
-    open_before = (F.coalesce(F.sum("depth").over(w), F.lit(0)) > 0) | (F.coalesce(F.sum("triples").over(w), F.lit(0)) % 2 == 1)
-    slash = F.coalesce(F.lag("code").over(W.partitionBy("path").orderBy("line_no")).rlike(r"\\\s*$"), F.lit(False))
-    rows = rows.withColumn("joined", open_before | slash).where("joined OR trim(code) <> ''")
-    rows = rows.withColumn("unit", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    first = F.min_by("code", "line_no")
-    joined = rows.groupBy("path", "unit").agg(
-        F.min("line_no").alias("start_line"),
-        F.max("line_no").alias("end_line"),
-        first.alias("first"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x.code), "\n").alias("code"),
-    )
-    lead = F.regexp_extract("first", r"^(\s*)", 1)
-    return joined.select("path", "start_line", "end_line", F.length(lead).alias("indent"), F.trim("code").alias("code"), lead.contains("\t").alias("tab_indent"))
-
-
-def blocks(lines: DataFrame) -> DataFrame:
-    """Logical lines with ``parent``: the start of the last line before that stands further left, null at the left edge.
-
-    Indents are few, so the last line at each is a window of its own.
-    """
-    levels = sorted(r[0] for r in lines.select("indent").distinct().collect())
-    w = W.partitionBy("path").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1)
-    last = [F.when(F.col("indent") > v, F.max(F.when(F.col("indent") == v, F.col("start_line"))).over(w)) for v in levels]
-    parent = F.greatest(*last) if len(last) > 1 else F.lit(None).cast("long")
-    return lines.withColumn("parent", parent)
+    return F.when(fits, literal_value(F.regexp_extract(body, pattern, 1))), F.when(fits, condition)
 
 
 def statements(lines: DataFrame) -> DataFrame:
     """lines(path, line_no, line) -> statement rows, one a logical line that is reached from a label.
 
+    Lines with a fault give no row, see ``diagnostics``.
+
     (path, stmt, parent, ordinal, kind, label, name, target, expression,
     condition, caption, reason, start_line, end_line, text). kind: label, menu,
     choice, caption, if, branch, jump, call, return, opaque, a word of ``PLAIN``
@@ -98,7 +72,7 @@ def statements(lines: DataFrame) -> DataFrame:
     ``chain`` is the line of that ``if``. Statements at the indent of a label
     right after it are its block, up to the next label.
     """
-    rows = blocks(logical_lines(lines))
+    rows = logical_lines(lines).where("fault IS NULL")
     word, tail = head(F.col("code"))
     rows = rows.withColumn("word", word).withColumn("tail", tail).withColumn("opens", without_colon(F.col("code")).isNotNull())
     w = W.partitionBy("path").orderBy("start_line").rowsBetween(W.unboundedPreceding, 0)
@@ -150,16 +124,18 @@ def statements(lines: DataFrame) -> DataFrame:
 
 
 def diagnostics(lines: DataFrame) -> DataFrame:
-    """(path, code, start_line) of logical lines indented by tabs, labels and branches without a colon, and menus without a choice."""
-    rows = blocks(logical_lines(lines))
+    """(path, code, start_line) of logical lines indented by tabs, without an end or too long, labels and branches without a colon, and menus without a choice."""
+    rows = logical_lines(lines)
     word, _ = head(F.col("code"))
     rows = rows.withColumn("word", word).withColumn("opens", without_colon(F.col("code")).isNotNull())
     nested = rows.where("parent IS NOT NULL").select("path", F.col("parent").alias("start_line")).distinct().withColumn("nested", F.lit(True))
     rows = rows.join(nested, ["path", "start_line"], "left")
+    sound = F.col("fault").isNull()
     code = F.array_compact(F.array(
+        F.col("fault"),
         F.when(F.col("tab_indent"), "tab_indent"),
-        F.when((F.col("word") == "label") & ~F.col("opens"), "malformed_label"),
-        F.when(F.col("word").isin("if", "elif", "else") & ~F.col("opens"), "malformed_if"),
-        F.when((F.col("word") == "menu") & F.col("nested").isNull(), "empty_menu"),
+        F.when(sound & (F.col("word") == "label") & ~F.col("opens"), "malformed_label"),
+        F.when(sound & F.col("word").isin("if", "elif", "else") & ~F.col("opens"), "malformed_if"),
+        F.when(sound & (F.col("word") == "menu") & F.col("nested").isNull(), "empty_menu"),
     ))
     return rows.select("path", F.explode(code).alias("code"), "start_line")

@@ -1,5 +1,8 @@
+import random
+
 from braidwork.operators import control_flow, semantics, state
 from braidwork.operators import script_rows as S
+from braidwork.operators.lexing import logical_lines
 
 SCRIPT = '''# a comment
 default x = 1
@@ -65,3 +68,63 @@ def test_requirements_and_effects():
     assert state.effect_of("$ x -= 3")["op"] == "decrement" and state.effect_of("x = y")["reason"] == "computed_assignment_value" and state.effect_of("add_point('a')")["status"] == "possible"
     assert state.effect_of("x.y = 1")["reason"] == "dynamic_or_unsupported_assignment_target" and state.effect_of("print(1)")["op"] is None
     assert state.truth({"a": 1}, "a > 0 or b") is True and state.truth({"a": 0}, "a > 0 or b") is None and state.truth({"a": 0}, "a > 0 and b") is False
+
+
+def plain_logical_lines(lines):
+    """(start, end, indent, code, fault) by one look at each character."""
+    out, quote, escaped, depth, parts, start, indent = [], "", False, 0, [], 0, 0
+    for number, line in enumerate(lines, 1):
+        text = line.lstrip() if parts else line.lstrip(" \t")
+        if not parts:
+            start, indent = number, len(line) - len(text)
+        kept, i = "", 0
+        while i < len(text):
+            three, c = text[i : i + 3], text[i]
+            if quote and len(quote) == 3 and three == quote and not escaped:
+                kept, i, quote = kept + three, i + 3, ""
+            elif quote:
+                if c == quote and not escaped:
+                    quote = ""
+                escaped = c == "\\" and not escaped
+                kept, i = kept + c, i + 1
+            elif three in ("'''", '"""'):
+                quote, escaped, kept, i = three, False, kept + three, i + 3
+            elif c == "#":
+                break
+            else:
+                if c in "'\"":
+                    quote, escaped = c, False
+                depth = depth + 1 if c in "([{" else max(depth - 1, 0) if c in ")]}" else depth
+                kept, i = kept + c, i + 1
+        if parts or kept.strip():
+            parts.append(kept.rstrip())
+        if parts and not quote and not depth and not kept.rstrip().endswith("\\"):
+            if code := "\n".join(parts).rstrip():
+                out.append((start, number, indent, code, None))
+            parts = []
+    if parts and (code := "\n".join(parts).rstrip()):
+        out.append((start, len(lines), indent, code, "unterminated" if quote or depth else None))
+    return out
+
+
+def test_logical_lines_against_single_characters(spark):
+    rng = random.Random(9)
+    bits = ['"', "'", '"""', "'''", "\\", "\\\\", '\\"', "(", ")", "[", "]", "{", "}", "#", " ", "    ", "a", "label x:", "jump b", "\t", "é", ":"]
+    files = {f"f{k}": ["".join(rng.choice(bits) for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 14))] for k in range(400)}
+    rows = [(p, n, x) for p, lines in files.items() for n, x in enumerate(lines, 1)]
+    found = {}
+    for r in logical_lines(spark.createDataFrame(rows, "path string, line_no long, line string").repartition(6)).collect():
+        found.setdefault(r.path, []).append(r)
+    for path, lines in files.items():
+        own = sorted(found.get(path, []), key=lambda r: r.start_line)
+        assert [(r.start_line, r.end_line, r.indent, r.code, r.fault) for r in own] == plain_logical_lines(lines), lines
+        for k, r in enumerate(own):
+            assert r.parent == max((b.start_line for b in own[:k] if b.indent < r.indent), default=None)
+
+
+def test_quotes_stay_open(spark):
+    text = 'label a:\n    """\n    Oh no :(\n    """\n    jump b\nlabel b:\n    e "one\n  two # not a comment"\n    menu:\n        "It\\"s" if x:\n            pass\n        \'\'\'three\'\'\':\n            return\n    "left open'
+    rows = {r.stmt: r for r in S.statements(_lines(spark, text)).collect()}
+    assert {k: r.kind for k, r in rows.items()} == {1: "label", 2: "statement", 5: "jump", 6: "label", 7: "statement", 9: "menu", 10: "choice", 11: "pass", 12: "choice", 13: "return"}
+    assert rows[7].text == 'e "one\ntwo # not a comment"' and rows[7].end_line == 8 and (rows[10].caption, rows[10].condition, rows[12].caption) == ('It"s', "x", "three")
+    assert [(r.code, r.start_line) for r in S.diagnostics(_lines(spark, text)).collect()] == [("unterminated", 14)]
