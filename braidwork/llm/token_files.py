@@ -29,14 +29,17 @@ from braidwork.llm import textops
 #: Ids a shard holds at least, but for the last of a range.
 SHARD_IDS = 1 << 20
 
-#: A pair becomes a rule if it stands so often in a shard; the first pass asks for a share of the shard, later ones for a quarter of the pass before.
-LEAST_TIMES, FIRST_SHARE, STEP = 12, 1 / 512, 4
+#: A pair becomes a rule if it stands so often in a shard; the first pass asks for a share of the shard, later ones for an eighth of the pass before.
+LEAST_TIMES, FIRST_SHARE, STEP = 12, 1 / 512, 8
 
 #: A pass at the least number that replaces a smaller share of the symbols is the last.
-LEAST_GAIN = 0.01
+LEAST_GAIN = 0.02
 
-#: Words kept with their ids between batches; beyond it the table begins anew.
-KEPT_WORDS = 400_000
+#: Pieces kept with their ids between batches, and between tasks of a worker; beyond it the table begins anew.
+KEPT_PIECES = 600_000
+
+#: Bytes of text encoded at once, and pieces that the library takes at once.
+TEXT_BYTES, SIDE_BY_SIDE = 1 << 21, 20_000
 
 _MAGIC = b"RPG1"
 _U = np.uint64
@@ -132,20 +135,22 @@ class Encoder:
         joins = np.array([len(p) > 1 and p[0] == 32 and p[1] not in b" \t\n\r" for p in pieces], bool)
         alone, many = np.flatnonzero(~joins), np.flatnonzero(joins)
         single = self._encode([pieces[i].decode() for i in alone])
-        groups = [b"".join(pieces[i] for i in many[k : k + 1000]).decode() for k in range(0, len(many), 1000)]
         ids, n = single, [np.array([len(x) for x in single], np.int64)]
-        for e in self._tokenizer.encode_batch(groups, add_special_tokens=False):
-            ids.append(np.array(e.ids, np.uint32))
-            n.append(np.bincount(np.array(e.word_ids, np.int64)))
+        for at in range(0, len(many), SIDE_BY_SIDE):
+            groups = [b"".join(pieces[i] for i in many[k : k + 1000]).decode() for k in range(at, min(at + SIDE_BY_SIDE, len(many)), 1000)]
+            for e in self._tokenizer.encode_batch(groups, add_special_tokens=False):
+                ids.append(np.array(e.ids, np.uint32))
+                n.append(np.bincount(np.array(e.word_ids, np.int64)))
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate(n), np.append(alone, many)
 
     def _learn(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         data = raw.tobytes()
         ids, n, which = self._encode_pieces([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         begin = len(self._ids) + np.cumsum(n) - n
-        known = np.append(self._known, hashes[which])
-        order = np.argsort(known)
-        self._known, self._from, self._n = known[order], np.append(self._from, begin)[order], np.append(self._n, n)[order]
+        order = np.argsort(hashes[which])
+        hashes = hashes[which][order]
+        place = np.searchsorted(self._known, hashes)
+        self._known, self._from, self._n = (np.insert(old, place, new) for old, new in ((self._known, hashes), (self._from, begin[order]), (self._n, n[order])))
         self._ids = np.append(self._ids, ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +164,7 @@ class Encoder:
         used = plain[row]
         starts, ends, row = starts[used], ends[used], row[used]
         distinct, first, which = np.unique(textops.span_hashes(textops.prefix_sums(raw), starts, ends), return_index=True, return_inverse=True)
-        if len(self._known) > KEPT_WORDS:
+        if len(self._known) > KEPT_PIECES:
             self._forget()
         place = np.searchsorted(self._known, distinct)
         fresh = np.ones(len(distinct), bool)
@@ -181,6 +186,16 @@ class Encoder:
         return np.concatenate([*parts, ids[done:]]), counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer's file; a worker that runs several tasks keeps it, and what it has learnt."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 @dataclass
 class Shard:
     """One compressed shard; arrays as in the format."""
@@ -316,9 +331,9 @@ def _shards(tokenizer: str, end_id: int, shard_ids: int):
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "shard", "before", "n_docs", "n_ids", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, size, shard, before = Encoder(tokenizer), [], 0, 0, 0
+        encoder, held, size, shard, before = _encoder(tokenizer), [], 0, 0, 0
         for batch in batches:
-            for start, texts in textops.pieces(batch.column(1), 1 << 22):
+            for start, texts in textops.pieces(batch.column(1), TEXT_BYTES):
                 doc_id = batch.column(0).slice(start, len(texts))
                 ids, n = encoder.encode(texts)
                 ids = np.insert(ids, np.cumsum(n), end_id)
