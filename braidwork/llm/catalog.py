@@ -79,13 +79,13 @@ def op10_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What ``token_files.read`` finds in the shards that ``token_files.write`` made; nulls, empties, ties and repeats as stated there."""
+    """What ``token_files.read_digests`` finds in the shards that ``token_files.write`` made; nulls, empties, ties and repeats as stated there."""
     import public_tokenizers
 
     path = scratch_path(spark, "shards")
     token_files.write(_documents(spark, sf_dir), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     delete_on_exit(spark, path)
-    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read_digests(spark, path)
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ symbols as uint32. Symbol ``terminals + i`` is rule i; rules name earlier ones o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ LEAST_TIMES, FIRST_SHARE, STEP = 12, 1 / 512, 8
 LEAST_GAIN = 0.02
 
 #: Pieces kept with their ids between batches, and between tasks of a worker; beyond it the table begins anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_500_000
 
 #: Bytes of text encoded at once, and pieces that the library takes at once.
 TEXT_BYTES, SIDE_BY_SIDE = 1 << 21, 20_000
@@ -362,7 +364,8 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int, shard_ids:
     dealt.mapInArrow(_shards(tokenizer, end_id, shard_ids), "part int, shard int, before long, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, pa.Array]]:
+    """Of each shard its ids and where its documents end, with their doc_id, start and number of ids."""
     for batch in batches:
         for start, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             shard = Shard.from_bytes(payload.as_py())
@@ -371,16 +374,39 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(n)
             if len(ids) != int(ends[-1]):
                 raise ValueError("a shard expands to another number of ids than it says")
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int64)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([pa.array(shard.doc_id, mask=shard.no_id.astype(bool)), pa.array(start + ends - n), pa.array(n), data.cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+            yield ids, ends, pa.array(shard.doc_id, mask=shard.no_id.astype(bool)), pa.array(start + ends - n), pa.array(n)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Of shards under ``path``: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit integers) of every document."""
+def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, ends, *columns in _read(batches):
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int64)), pa.py_buffer(ids)])
+        yield pa.RecordBatch.from_arrays([*columns, data.cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+
+
+def _read_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, ends, *columns in _read(batches):
+        data = memoryview(ids).cast("B")
+        at = [0, *(ends * 4).tolist()]
+        digests = [zlib.crc32(data[a:b]) for a, b in pairwise(at)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def _shards_of(spark: SparkSession, path: str) -> DataFrame:
+    """(start, payload): each shard, and the ids of all documents before it."""
     shards = spark.read.schema("part int, shard int, before long, n_docs long, n_ids long, payload binary").parquet(path)
     begins, done = [], 0
     for part, n in sorted(shards.groupBy("part").agg(F.sum("n_ids")).collect()):  # a row a partition
         begins.append((part, done))
         done += n
     begun = F.broadcast(spark.createDataFrame(begins, "part int, begin long"))
-    return shards.join(begun, "part").select((F.col("begin") + F.col("before")).alias("start"), "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.join(begun, "part").select((F.col("begin") + F.col("before")).alias("start"), "payload")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Of shards under ``path``: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit integers) of every document."""
+    return _shards_of(spark, path).mapInArrow(_read_ids, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read``, with ids_crc32, the unsigned CRC-32 of the bytes of ids, in their place."""
+    return _shards_of(spark, path).mapInArrow(_read_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")

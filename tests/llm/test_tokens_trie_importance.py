@@ -57,6 +57,8 @@ def test_token_files_round_trip(spark, tmp_path):
     t = Tokenizer.from_file(TOKENIZER)
     encoded = sorted(((i is not None, i or 0), tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, _ in rows)
     assert sorted(((f.doc_id is not None, f.doc_id or 0), tuple(np.frombuffer(f.ids, "<u4").tolist())) for f in found) == encoded
+    digests = {(d.doc_id, d.start, d.n_tokens, d.ids_crc32) for d in token_files.read_digests(spark, path).collect()}
+    assert digests == {(f.doc_id, f.start, f.n_tokens, zlib.crc32(bytes(f.ids))) for f in found}
     at = 0
     for f in sorted(found, key=lambda f: f.start):
         assert f.start == at and f.n_tokens == len(f.ids) // 4
