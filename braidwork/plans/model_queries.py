@@ -51,27 +51,29 @@ def capped_evidence(spark, table):
 
 
 @query(
-    """WITH RECURSIVE c AS (SELECT p_partkey AS claim, (p_partkey * 3 + 1) % 500 AS child FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, (p_partkey * 5 + 2) % 500 FROM part WHERE p_size > 35), v AS (SELECT p_partkey AS claim, p_brand AS evidence FROM part WHERE p_size % 2 = 0),
-       r(root, claim, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 97 = 1 UNION SELECT root, child, depth + 1 FROM r JOIN c USING (claim) WHERE depth < 4)
+    """WITH RECURSIVE c AS (SELECT p_partkey AS claim, (p_partkey * 3 + 1) % (SELECT count(*) FROM part) AS child FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, (p_partkey * 5 + 2) % (SELECT count(*) FROM part) FROM part WHERE p_size > 35), v AS (SELECT p_partkey AS claim, p_brand AS evidence FROM part WHERE p_size % 2 = 0),
+       r(root, claim, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 9 = 1 UNION SELECT root, child, depth + 1 FROM r JOIN c USING (claim) WHERE depth < 4)
        SELECT root, evidence, min(depth) AS depth FROM r JOIN v USING (claim) GROUP BY ALL"""
 )
 def dag_evidence(spark, table):
     part, k = table("part"), F.col("p_partkey")
+    n = part.count()
     none = F.lit(None)
-    children = part.where("p_size > 10").select(k.alias("claim"), ((k * 3 + 1) % 500).alias("child")).unionAll(part.where("p_size > 35").select(k, (k * 5 + 2) % 500))
+    children = part.where("p_size > 10").select(k.alias("claim"), ((k * 3 + 1) % n).alias("child")).unionAll(part.where("p_size > 35").select(k, (k * 5 + 2) % n))
     claims = children.withColumn("evidence", none.cast("string")).unionByName(part.where("p_size % 2 = 0").select(k.alias("claim"), none.cast("long").alias("child"), F.col("p_brand").alias("evidence")))
-    return models.claim_evidence(claims, part.where("p_partkey % 97 = 1").select(k.alias("claim")), 4)
+    return models.claim_evidence(claims, part.where("p_partkey % 9 = 1").select(k.alias("claim")), 4)
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3 + 1) % 500 AS dst FROM part WHERE p_size > 10 UNION SELECT p_partkey, (p_partkey * 5 + 2) % 500 FROM part WHERE p_size > 25), k AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 7 = 0),
-       r(start, node, n) AS (SELECT src, dst, 1 FROM e WHERE src % 40 = 3 UNION SELECT start, dst, n + 1 FROM r JOIN e ON src = node WHERE node NOT IN (SELECT node FROM k) AND n < 6)
+    """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3 + 1) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size > 10 UNION SELECT p_partkey, (p_partkey * 5 + 2) % (SELECT count(*) FROM part) FROM part WHERE p_size > 25), k AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 7 = 0),
+       r(start, node, n) AS (SELECT src, dst, 1 FROM e WHERE src % 4 = 3 UNION SELECT start, dst, n + 1 FROM r JOIN e ON src = node WHERE node NOT IN (SELECT node FROM k) AND n < 6)
        SELECT DISTINCT start, node AS control FROM r WHERE node IN (SELECT node FROM k)"""
 )
 def downstream_controls(spark, table):
     part, k = table("part"), F.col("p_partkey")
-    edges = part.where("p_size > 10").select(k.alias("src"), ((k * 3 + 1) % 500).alias("dst")).union(part.where("p_size > 25").select(k, (k * 5 + 2) % 500)).distinct()
-    return models.first_downstream(edges, part.where("p_partkey % 40 = 3").select(k.alias("node")), part.where("p_partkey % 7 = 0").select(k.alias("node")), 6)
+    n = part.count()
+    edges = part.where("p_size > 10").select(k.alias("src"), ((k * 3 + 1) % n).alias("dst")).union(part.where("p_size > 25").select(k, (k * 5 + 2) % n)).distinct()
+    return models.first_downstream(edges, part.where("p_partkey % 4 = 3").select(k.alias("node")), part.where("p_partkey % 7 = 0").select(k.alias("node")), 6)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.functions import keys
@@ -59,22 +60,39 @@ def lineages(spark, table):
     return M.lineage(nodes, "node", "parent")
 
 
-_EDGES = "SELECT DISTINCT l_partkey % 200 AS src, (l_suppkey * 3 + l_partkey * 5) % 200 AS dst, CASE l_returnflag WHEN 'R' THEN 'choice' WHEN 'A' THEN 'jump' ELSE 'fallthrough' END AS kind, l_orderkey AS id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 8 = 0"
+#: Orders as nodes, an edge to the customer's next order and one to some order of the same customer: ids and graphs grow with the table.
+_EDGES = """SELECT a.k AS src, b.k AS dst, CASE WHEN t.second THEN 'choice' WHEN a.s = 'O' THEN 'jump' ELSE 'fallthrough' END AS kind, a.k * 2 + CAST(t.second AS INT) AS id
+    FROM (VALUES (false), (true)) t(second), (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) a
+    JOIN (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) b
+      ON b.c = a.c AND CASE WHEN t.second THEN a.k % 3 = 0 AND b.i = (a.i * 7 + a.k) % a.n ELSE a.k % 5 > 0 AND b.i = a.i + 1 END"""
+
+
+def places(table) -> DataFrame:
+    """(c, k, i, n, s): orders by customer, their place among the customer's and how many these are."""
+    by = W.partitionBy("o_custkey")
+    return table("orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), (F.row_number().over(by.orderBy("o_orderkey")) - 1).alias("i"), F.count("*").over(by).alias("n"), F.col("o_orderstatus").alias("s"))
+
+
+def linked(at: DataFrame, when, to) -> DataFrame:
+    """Rows of ``at`` where ``when`` holds, with ``dst``: the order at place ``to`` of the same customer."""
+    return at.where(when).withColumn("to", to).join(at.select("c", F.col("i").alias("to"), F.col("k").alias("dst")), ["c", "to"])
 
 
 def _edges(table) -> DataFrame:
-    kind = F.when(F.col("l_returnflag") == "R", "choice").when(F.col("l_returnflag") == "A", "jump").otherwise("fallthrough")
-    return table("lineitem").where("l_linenumber = 1 AND l_orderkey % 8 = 0").select((F.col("l_partkey") % 200).alias("src"), ((F.col("l_suppkey") * 3 + F.col("l_partkey") * 5) % 200).alias("dst"), kind.alias("kind"), F.col("l_orderkey").alias("id")).distinct()
+    at = places(table)
+    following = linked(at, F.col("k") % 5 > 0, F.col("i") + 1).select(F.col("k").alias("src"), "dst", F.when(F.col("s") == "O", "jump").otherwise("fallthrough").alias("kind"), (F.col("k") * 2).alias("id"))
+    some = linked(at, F.col("k") % 3 == 0, (F.col("i") * 7 + F.col("k")) % F.col("n")).select(F.col("k").alias("src"), "dst", F.lit("choice").alias("kind"), (F.col("k") * 2 + 1).alias("id"))
+    return following.unionByName(some)
 
 
 @query(
-    f"""WITH e AS ({_EDGES}), i AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 400)
+    f"""WITH e AS ({_EDGES}), i AS (SELECT o_orderkey AS node FROM orders)
         SELECT node, (SELECT count(DISTINCT src) FROM e WHERE dst = node) AS n_in, (SELECT count(DISTINCT dst) FROM e WHERE src = node) AS n_out,
                coalesce((SELECT string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) FROM (SELECT DISTINCT src FROM e WHERE dst = node)), '') AS before,
                coalesce((SELECT string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) FROM (SELECT DISTINCT dst FROM e WHERE src = node)), '') AS after FROM i"""
 )
 def incident_edges(spark, table):
-    return M.incident(_edges(table), table("part").where("p_partkey < 400").select(F.col("p_partkey").alias("node")))
+    return M.incident(_edges(table), table("orders").select(F.col("o_orderkey").alias("node")))
 
 
 @query(
@@ -397,46 +415,48 @@ def terminal_summaries(spark, table):
 
 @query(
     f"""WITH e AS ({_EDGES}), g AS (SELECT src, dst, id, CASE kind WHEN 'fallthrough' THEN 0 WHEN 'jump' THEN 4 ELSE 6 END AS rank FROM e)
-        SELECT src % 20 AS src_group, dst % 20 AS dst_group, CASE max(rank) WHEN 0 THEN 'fallthrough' WHEN 4 THEN 'jump' ELSE 'choice' END AS kind, count(DISTINCT id) AS n FROM g WHERE src % 20 <> dst % 20 GROUP BY 1, 2"""
+        SELECT src // 100 AS src_group, dst // 100 AS dst_group, CASE max(rank) WHEN 0 THEN 'fallthrough' WHEN 4 THEN 'jump' ELSE 'choice' END AS kind, count(DISTINCT id) AS n FROM g WHERE src // 100 <> dst // 100 GROUP BY 1, 2"""
 )
 def group_edges(spark, table):
     edges = _edges(table)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graphs.group_edges(edges, nodes.select("node", (F.col("node") % 20).alias("grp")))
+    return graphs.group_edges(edges, nodes.select("node", F.expr("node div 100").alias("grp")))
 
 
 @query(
-    f"""WITH RECURSIVE e AS ({_EDGES}), k AS (SELECT DISTINCT src AS node FROM e WHERE src % 3 = 0 UNION SELECT dst FROM e WHERE dst % 3 = 0),
-        w(src, here, n) AS (SELECT src, dst, 1 FROM e WHERE src IN (SELECT node FROM k) UNION SELECT w.src, e.dst, n + 1 FROM w JOIN e ON e.src = w.here WHERE w.here NOT IN (SELECT node FROM k) AND n < 12)
-        SELECT src, here AS dst, min(n) AS n_steps FROM w WHERE here IN (SELECT node FROM k) GROUP BY ALL"""
+    f"""WITH RECURSIVE e AS ({_EDGES}), k AS (SELECT DISTINCT src AS node FROM e WHERE src % 4 = 0 UNION SELECT dst FROM e WHERE dst % 4 = 0),
+        g AS (SELECT src, dst, max(CASE kind WHEN 'fallthrough' THEN 0 WHEN 'jump' THEN 4 ELSE 6 END) AS rank FROM e GROUP BY src, dst),
+        w(src, here, n, rank) AS (SELECT src, dst, 1, rank FROM g WHERE src IN (SELECT node FROM k) UNION SELECT w.src, g.dst, n + 1, greatest(w.rank, g.rank) FROM w JOIN g ON g.src = w.here WHERE w.here NOT IN (SELECT node FROM k) AND n < 40),
+        least AS (SELECT *, min(n) OVER (PARTITION BY src, here) AS n_steps FROM w WHERE here IN (SELECT node FROM k))
+        SELECT src, here AS dst, n_steps, CASE max(rank) WHEN 0 THEN 'fallthrough' WHEN 4 THEN 'jump' ELSE 'choice' END AS kind FROM least WHERE n = n_steps GROUP BY src, here, n_steps"""
 )
 def corridors(spark, table):
     """Kept nodes joined by walks over all others."""
     edges = _edges(table)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graphs.contracted(edges, nodes.where("node % 3 = 0")).select("src", "dst", "n_steps")
+    return graphs.contracted(edges, nodes.where("node % 4 = 0")).select("src", "dst", "n_steps", "kind")
 
 
 @query(
-    f"""WITH p AS (SELECT DISTINCT p_partkey AS node, CASE WHEN p_partkey % 40 = 1 THEN -p_partkey WHEN p_partkey % 40 = 2 THEN p_partkey + 1 WHEN p_partkey % 40 = 3 THEN p_partkey - 1 WHEN p_partkey % 40 = 4 THEN NULL ELSE p_partkey - p_partkey % 40 + 4 END AS parent FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part) // 40 * 40)
-        SELECT node, 'unknown_parent' AS fault FROM p WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM p) UNION ALL SELECT node, 'cycle' FROM p WHERE node % 40 IN (2, 3)"""
+    """WITH p AS (SELECT DISTINCT p_partkey AS node, CASE WHEN p_partkey % 40 = 1 THEN -p_partkey WHEN p_partkey % 40 = 2 THEN p_partkey + 1 WHEN p_partkey % 40 = 3 THEN p_partkey - 1 WHEN p_partkey % 40 = 4 THEN NULL ELSE p_partkey - p_partkey % 40 + 4 END AS parent FROM part)
+        SELECT node, 'unknown_parent' AS fault FROM p WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM p) UNION ALL SELECT p.node, 'cycle' FROM p JOIN p q ON q.node = p.parent AND q.parent = p.node"""
 )
 def hierarchy_faults(spark, table):
-    top = table("part").agg(F.max("p_partkey")).first()[0] // 40 * 40
     k = F.col("p_partkey")
     parent = F.when(k % 40 == 1, -k).when(k % 40 == 2, k + 1).when(k % 40 == 3, k - 1).when(k % 40 != 4, k - k % 40 + 4)
-    return graphs.hierarchy_faults(table("part").where(k < top).select(k.alias("node"), parent.alias("parent")))
+    return graphs.hierarchy_faults(table("part").select(k.alias("node"), parent.alias("parent")))
 
 
 @query(
-    """WITH RECURSIVE c AS (SELECT DISTINCT p_partkey % 40 AS label, (p_partkey * 7 + 1) % 40 AS callee FROM part WHERE p_partkey < 400 AND p_size < 10), l AS (SELECT label FROM c UNION SELECT callee FROM c),
+    """WITH RECURSIVE c AS (SELECT DISTINCT p_partkey AS label, (p_partkey * 7 + 1) % (SELECT count(*) FROM part) AS callee FROM part WHERE p_size < 25), l AS (SELECT label FROM c UNION SELECT callee FROM c),
        b AS (SELECT label, (SELECT min(callee) FROM c WHERE c.label = l.label) AS callee FROM l), r(label) AS (SELECT label FROM b WHERE callee IS NULL UNION SELECT b.label FROM b JOIN r ON b.callee = r.label),
        t(a, x) AS (SELECT label, callee FROM b WHERE callee IS NOT NULL UNION SELECT a, callee FROM t JOIN b ON b.label = x WHERE callee IS NOT NULL)
        SELECT label, label IN (SELECT label FROM r) AS may_return, label IN (SELECT a FROM t WHERE a = x) AS recursive FROM l"""
 )
 def procedure_summaries(spark, table):
     """Labels that call one other before they return: which of them come back."""
-    calls = table("part").where("p_partkey < 400 AND p_size < 10").select((F.col("p_partkey") % 40).alias("label"), ((F.col("p_partkey") * 7 + 1) % 40).alias("callee")).distinct()
+    parts = table("part")
+    calls = parts.where("p_size < 25").select(F.col("p_partkey").alias("label"), ((F.col("p_partkey") * 7 + 1) % parts.count()).alias("callee")).distinct()
     labels = calls.select("label").union(calls.select("callee")).distinct()
     body = labels.join(calls.groupBy("label").agg(F.min("callee").alias("callee")), "label", "left")
     at = lambda c: F.concat(F.lit(c), F.col("label").cast("string"))
