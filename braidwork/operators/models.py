@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from braidwork.operators.cuts import placed
 from braidwork.operators.loops import written
 
 
@@ -37,10 +38,10 @@ def corrected(boundaries: DataFrame, corrections: DataFrame, key: str) -> DataFr
 
 def capped_evidence(edges: DataFrame, keys: list[str], evidence: str, most: int = 60) -> DataFrame:
     """(keys.., n, evidence): the first ``most`` of the sorted distinct evidence of each group, and how much there is."""
-    items = edges.select(*keys, evidence).distinct()
-    ranked = items.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(evidence)))
-    shown = F.array_sort(F.collect_list(F.when(F.col("_at") <= most, F.col(evidence))))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(shown.cast("array<string>"), ",").alias("evidence"))
+    items = written(edges.select(*keys, evidence).distinct())
+    first = placed(items.withColumn("_key", F.struct(*keys)), "_key", evidence).where(F.col("place") < most)
+    shown = first.groupBy("grp").agg(F.array_sort(F.collect_list("ord")).alias("shown")).select(*[F.col(f"grp.g.{k}").alias(k) for k in keys], "shown")
+    return items.groupBy(*keys).agg(F.count("*").alias("n")).join(shown, keys).select(*keys, "n", F.array_join(F.col("shown").cast("array<string>"), ",").alias("evidence"))
 
 
 def claim_evidence(claims: DataFrame, roots: DataFrame, most_depth: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as T
+from braidwork.operators.cuts import bins, first_at, placed
+from braidwork.operators.loops import written
 
 
 def filtered(df: DataFrame, *, equal: dict | None = None, within: dict | None = None, ranges: dict | None = None, null: tuple[str, ...] = ()) -> DataFrame:
@@ -137,18 +139,14 @@ def carried(df: DataFrame, group: str, order: list[str], value: Column, name: st
 def spaced_boundaries(df: DataFrame, group: str, order: str, candidate: str, least: int) -> DataFrame:
     """(group, order, accepted): of candidate boundaries in order, those at least ``least`` items after the last one accepted; the first item is one.
 
-    Whether one is accepted depends on those before: a fold over each group.
+    Whether one is accepted depends on those before: the next one is looked up for all items at once.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(candidate).alias("c"))
-    folded = df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn(
-        "flags",
-        F.expr(
-            f"""aggregate(items, named_struct('since', {least}, 'first', true, 'out', cast(array() AS array<boolean>)), (s, x) ->
-                IF(s.first OR x.c AND s.since >= {least}, named_struct('since', 1, 'first', false, 'out', array_append(s.out, true)),
-                   named_struct('since', s.since + 1, 'first', false, 'out', array_append(s.out, false)))).out"""
-        ),
-    )
-    return folded.select(group, F.explode(F.arrays_zip("items", "flags")).alias("z")).select(group, F.col("z.items.o").alias(order), F.col("z.flags").alias("accepted"))
+    rows = placed(df.withColumn("_candidate", F.col(candidate).cast("long")), group, order, "_candidate")
+    at = lambda value: rows.select("grp", "place", value.alias("value"))
+    following = first_at(at(F.col("place") + least), rows.where("_candidate = 1").select("grp", F.col("place").alias("at"), F.col("place").alias("value")), 1024)
+    numbered = bins(written(following.select("grp", "place", F.col("found").alias("next"))))
+    first = numbered.groupBy("grp", "bin_no").agg(F.min("place").alias("place")).select("grp", "place", F.lit(True).alias("accepted"))
+    return rows.join(first, ["grp", "place"], "left").select(F.col("grp.g").alias(group), F.col("ord").alias(order), F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def supported_boundaries(df: DataFrame, group: str, order: str, boundary: str, support: str) -> DataFrame:

@@ -142,6 +142,22 @@ def boundary_chunks(spark, table):
     return packing.boundary_split(rows, "user_id", "event_id", "z", "b", 120)
 
 
+@query(
+    """WITH RECURSIVE t AS (SELECT user_id, event_id, row_number() OVER w - 1 AS n, event_id % 50 + 1 AS z, sum(event_id % 50 + 1) OVER w AS s,
+         CASE WHEN event_id % 13 = 0 THEN 4 WHEN event_id % 7 = 0 THEN 3 WHEN event_id % 5 = 0 THEN 2 WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS strength FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+       over AS (SELECT a.user_id, a.n AS start, min(b.n) AS stop FROM t a JOIN t b ON b.user_id = a.user_id AND b.n > a.n AND (b.n - a.n >= 12 OR b.s - a.s + a.z > 250) GROUP BY ALL),
+       nexts AS (SELECT o.user_id, start, coalesce(arg_max(n + 1, strength * 1000000 + n) FILTER (strength > 0), stop) AS following FROM over o JOIN t ON t.user_id = o.user_id AND n BETWEEN greatest(start, stop - 5) AND stop - 1 GROUP BY o.user_id, start, stop),
+       r(user_id, start, chunk) AS (SELECT user_id, 0, 0 FROM t WHERE n = 0 UNION ALL SELECT r.user_id, following, chunk + 1 FROM r JOIN nexts x ON x.user_id = r.user_id AND x.start = r.start)
+       SELECT t.user_id, event_id, max(chunk) AS chunk_no FROM t JOIN r ON r.user_id = t.user_id AND r.start <= n GROUP BY ALL"""
+)
+def strong_cuts(spark, table):
+    """Chunks of twelve events or a budget, cut after the kind that invites it most."""
+    k = F.col("event_id")
+    kind = F.when(k % 13 == 0, "ending").when(k % 7 == 0, "jump").when(k % 5 == 0, "choice").when(k % 3 == 0, "condition").otherwise("line")
+    rows = table("events").select("user_id", k, kind.alias("kind"), (k % 50 + 1).alias("z"))
+    return packing.strong_cuts(rows, "user_id", "event_id", "kind", "z", most_items=12, most_size=250, reach=4)
+
+
 @query(
     """WITH s AS (SELECT l_suppkey, CAST(sum(l_partkey) AS BIGINT) AS tokens FROM lineitem GROUP BY 1), c AS (SELECT *, CAST(ceil(tokens / 10000.0) AS BIGINT) AS n_calls FROM s)
        SELECT l_suppkey, n_calls, CAST((SELECT coalesce(sum(CAST(ceil(n_calls / power(24, k)) AS BIGINT)), 0) FROM range(1, 12) t(k) WHERE ceil(n_calls / power(24, k - 1)) > 1) AS BIGINT) AS n_reductions, tokens, (tokens * 3 + 500000) // 1000000 AS cost FROM c"""

@@ -35,7 +35,7 @@ def graphs(seed):
     yield 1300, [(1300, 1302), (1300, 1303), *ladder]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_dominators_against_removal(spark, seed):
     made = list(graphs(seed))
     edges = [e for _, es in made for e in es]
