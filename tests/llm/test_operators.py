@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +195,12 @@ def test_urls(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in url_filter.BASE_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow"
 
-    for most in (url_filter.MOST_SWEPT, 0):
-        kept, url_filter.MOST_SWEPT = url_filter.MOST_SWEPT, most
+    for most in (url_filter.BLOCK_RULES, 2):
+        kept, url_filter.BLOCK_RULES = url_filter.BLOCK_RULES, most
         try:
             found = url_filter.judge(pages, rules).collect()
         finally:
-            url_filter.MOST_SWEPT = kept
+            url_filter.BLOCK_RULES = kept
         assert len(found) == len(urls) + 2
         assert all((r.host, r.path, r.rule, r.verdict) == expected(urls[r.page_id]) for r in found if r.page_id is not None)
     assert url_filter.judge(pages.limit(0), rules).count() == 0
@@ -445,3 +446,18 @@ def test_repetitive_items(spark):
     ]
     found = {(r.doc_id, r.item_id): (r.kind, r.n_words) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert found == {(1, 1): ("exact", 360), (2, 1): ("exact", 360), (4, 2): ("exact", 30_000), (6, 3): ("exact", 66)}
+
+
+def test_many_nested_rules_of_one_host():
+    rng = random.Random(3)
+    rules = [("h.org", "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(6)))) for _ in range(300)] + [("org", "/"), ("org", "/a"), ("a.h.org", "/b/c")]
+    table = [(url_filter.key_of(h), p, h + p, rng.choice(["allow", "block"])) for h, p in rules]
+    pages = sorted((url_filter.key_of(h), "/" + "/".join(rng.choice("abcd") for _ in range(rng.randrange(7)))) for h in ("h.org", "x.h.org", "a.h.org", "org", "com") for _ in range(80))
+    for begin in (0, 150, 333):  # a partition may begin anywhere
+        for (key, path), found in zip(pages[begin:], url_filter.Rules(table).sweep(iter(pages[begin:])), strict=True):
+            fits = [(len(r), len(k), r, v == "block", v) for k, p, r, v in table if key.startswith(k) and path.startswith(p)]
+            assert found == max(fits, default=None)
+    many = url_filter.Rules([(url_filter.key_of("h.org"), f"/{i:06d}/", f"h.org/{i:06d}/", "block") for i in range(100_000)])
+    began = time.time()
+    swept = many.sweep((url_filter.key_of("h.org"), f"/{i:06d}/page") for i in range(100_000))
+    assert sum(x is not None for x in swept) == 100_000 and time.time() - began < 20
