@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,8 +40,9 @@ def prior_values(df: DataFrame, group: str, order: list[str], value: str, name:
 
 def keyset_page(df: DataFrame, order: list[str], after: tuple, limit: int) -> DataFrame:
     """The page of ``limit`` rows after the cursor, by all of ``order``, so ties at an edge are neither lost nor repeated."""
-    cursor = F.struct(*[F.lit(v).alias(c) for c, v in zip(order, after, strict=True)])
-    return df.where(F.struct(*order) > cursor).orderBy(*order).limit(limit)
+    cursor = list(zip(order, map(F.lit, after), strict=True))
+    beyond = [functools.reduce(operator.and_, [*(F.col(c) == v for c, v in cursor[:i]), F.col(cursor[i][0]) > cursor[i][1]]) for i in range(len(cursor))]
+    return df.where((F.col(order[0]) >= cursor[0][1]) & functools.reduce(operator.or_, beyond)).orderBy(*order).limit(limit)  # the first condition reaches the scan
 
 
 def byte_page(df: DataFrame, group: str, order: str, size: str, cap: int) -> DataFrame:
@@ -54,10 +58,44 @@ def ranked_search(df: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     return df.select(key, rank.alias("match_rank")).where("match_rank IS NOT NULL")
 
 
+def _whole(kinds: set[str], *columns: str) -> list[Column]:
+    """Columns as whole numbers: days where all ``kinds`` are dates, microseconds where some are instants, else as they are."""
+    if kinds == {"date"}:
+        return [F.unix_date(c).cast("long") for c in columns]
+    return [F.unix_micros(F.col(c).cast("timestamp")) if kinds & {"date", "timestamp", "timestamp_ntz"} else F.col(c).cast("long") for c in columns]
+
+
+def dyadic_blocks(first: Column, last: Column) -> Column:
+    """array<struct<level, block>>: the fewest blocks [block * 2^level, (block + 1) * 2^level) that make up first to last, at most two a level."""
+    start = F.struct(first.alias("a"), (last + 1).alias("b"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def step(t: Column, level: Column) -> Column:
+        going = t.a < t.b
+        left, right = going & (t.a.bitwiseAND(1) == 1), going & (t.b.bitwiseAND(1) == 1) & (t.a + t.a.bitwiseAND(1) < t.b)
+        block = lambda when, value: F.when(when, F.array(F.struct(level.cast("int").alias("level"), value.alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+        a, b = F.when(left, t.a + 1).otherwise(t.a), F.when(right, t.b - 1).otherwise(t.b)
+        return F.struct(F.shiftright(a, 1).alias("a"), F.shiftright(b, 1).alias("b"), F.concat(t.out, block(left, t.a), block(right, t.b - 1)).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step, lambda t: t.out)
+
+
 def innermost_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, ident: str) -> DataFrame:
-    """Points inside an interval of the same keys, each with the tightest: latest start, then earliest end, then smallest id."""
-    inside = points.join(intervals, keys).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
-    return inside.groupBy(*points.columns).agg(F.min_by(ident, F.struct(-F.unix_micros(F.col(start).cast("timestamp")), F.col(end), F.col(ident))).alias("owner"))
+    """Points inside an interval of the same keys, each with the tightest: latest start, then earliest end, then smallest id.
+
+    Which of two intervals is the tighter does not depend on the point. So intervals are cut into
+    dyadic blocks, of which each keeps its tightest, and a point meets one block a level
+    however many intervals lie over it. Ends are inclusive; those before their start hold no point.
+    """
+    kinds = {points.schema[at].dataType.typeName(), intervals.schema[start].dataType.typeName(), intervals.schema[end].dataType.typeName()}
+    (n,), (a, b) = _whole(kinds, at), _whole(kinds, start, end)
+    rank = F.struct((-F.col("_a")).alias("a"), F.col("_b").alias("b"), F.col(ident).alias("ident"))
+    cut = intervals.withColumns({"_a": a, "_b": b}).where("_a <= _b").withColumn("_x", F.explode(dyadic_blocks(F.col("_a"), F.col("_b"))))
+    best = cut.groupBy(*keys, F.col("_x.level").alias("_level"), F.col("_x.block").alias("_block")).agg(F.min(rank).alias("_best"))
+    levels = [r[0] for r in best.select("_level").distinct().collect()]  # 63 at most
+    if not levels:
+        return points.limit(0).withColumn("owner", F.lit(None).cast(intervals.schema[ident].dataType))
+    met = points.withColumn("_n", n).withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_block", F.expr("shiftright(_n, _level)"))
+    return met.join(best, [*keys, "_level", "_block"]).groupBy(*points.columns).agg(F.min("_best").alias("_best")).select(*points.columns, F.col("_best.ident").alias("owner"))
 
 
 def merged_intervals(df: DataFrame, group: str, start: str, end: str) -> DataFrame:

@@ -95,11 +95,23 @@ def or_key_scope_cover(spark, table):
          FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY) WHERE r = 1 GROUP BY ALL"""
 )
 def innermost_interval(spark, table):
-    points = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    spans = table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("start"), F.expr("o_orderdate + INTERVAL 60 DAY").alias("end"), F.col("o_orderkey").alias("ident"))
+    points = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("l_shipdate"))
+    spans = table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), 60).alias("end"), F.col("o_orderkey").alias("ident"))
     return R.innermost_interval(points, spans, ["l_orderkey"], "l_shipdate", "start", "end", "ident").drop("l_shipdate")
 
 
+@query(
+    """SELECT l_suppkey, l_orderkey, l_linenumber, arg_min(o_orderkey, {'a': -epoch(o_orderdate), 'b': o_orderdate + INTERVAL 1 DAY * (o_orderkey % 90), 'k': o_orderkey}) AS owner FROM lineitem
+       JOIN orders ON o_custkey % 10 = l_suppkey % 10 AND o_orderkey % 20 = 0 AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 1 DAY * (o_orderkey % 90) WHERE l_linenumber = 1 GROUP BY l_suppkey, l_orderkey, l_linenumber, l_shipdate"""
+)
+def innermost_of_many(spark, table):
+    """The tightest of many intervals that lie over each other: ten keys, orders by the hundred over each day."""
+    points = table("lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 10).alias("key"), "l_suppkey", "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
+    day = F.to_date("o_orderdate")
+    spans = table("orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 10).alias("key"), day.alias("start"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 90 as int))").alias("end"), F.col("o_orderkey").alias("ident"))
+    return R.innermost_interval(points, spans, ["key"], "day", "start", "end", "ident").drop("key", "day")
+
+
 @query(
     """SELECT l_partkey, count(DISTINCT l_returnflag) AS n_values, min(l_orderkey) AS first_id, max(l_orderkey) AS last_id FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) > 1"""
 )

@@ -49,3 +49,17 @@ def test_keys(spark):
 def test_merged_intervals(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 10), (2, 1, 2)], "g long, a long, b long")
     assert sorted(map(tuple, R.merged_intervals(df, "g", "a", "b").collect())) == [(1, 0, 7, 2), (1, 9, 10, 1), (2, 1, 2, 1)]
+
+
+def test_innermost_interval_against_all_pairs(spark):
+    r = random.Random(7)
+    spans = [(r.choice("ab"), a := r.randrange(-50, 900), a + r.choice([-3, 0, 1, 7, 64, 300]), i) for i in range(200)]
+    points = [(r.choice("abc"), r.randrange(-60, 1200), i) for i in range(300)]
+    expected = {}
+    for k, at, i in points:
+        over = [(-a, b, s) for g, a, b, s in spans if g == k and a <= at <= b]
+        if over:
+            expected[i] = min(over)[2]
+    found = R.innermost_interval(spark.createDataFrame(points, "k string, at long, i long"), spark.createDataFrame(spans, "k string, start long, end long, s long"), ["k"], "at", "start", "end", "s")
+    assert {x.i: x.owner for x in found.collect()} == expected
+    assert R.innermost_interval(spark.createDataFrame(points, "k string, at long, i long"), spark.createDataFrame([], "k string, start long, end long, s long"), ["k"], "at", "start", "end", "s").count() == 0
