@@ -5,10 +5,12 @@ import random
 import time
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from braidwork.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, personal_data, quality_rules, toxic_spans, url_filter
+from braidwork.llm import decontaminate, importance, language_id, license_scan, line_dedup, mixing, ngram_join, personal_data, quality_rules, token_files, toxic_spans, url_filter
+from braidwork.llm.scratch import scratch_path
 from tests.llm import brute
 
 #: Extra columns whose names the operators use themselves.
@@ -379,9 +381,17 @@ OPERATORS = {
     "personal": personal_data.detect,
     "quality": lambda docs: quality_rules.judged(quality_rules.document_features(docs)),
     "toxic": lambda docs: toxic_spans.score(docs, toxic_spans.train(docs)),
+    "tokens": lambda docs: _through_files(docs),
+    "importance": lambda docs: importance.resampled(docs, docs),
 }
 
 
+def _through_files(docs):
+    path = scratch_path(docs.sparkSession, "shards")
+    token_files.write(docs, path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(docs.sparkSession, path)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows_and_clashing_columns(spark, name):
     texts = [None, "", " \n\n ", "a", "one two three four five six", "one two three four five six", "word " * 20000, "x" * 50000, "mail a@b.cd now", "éß 漢字 😀"]
