@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.operators import dominance
+from braidwork.operators import dominance, guards
 from braidwork.operators import regions as R
 from braidwork.operators.graphs import strong_components
 from braidwork.operators.loops import written
@@ -157,3 +157,23 @@ def _regions(table) -> tuple[DataFrame, DataFrame]:
     several = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     loops = parts.join(several, "component", "left_semi").select("node").unionByName(links.where("src = dst").select(F.col("src").alias("node"))).distinct()
     return R.regions(nodes, edges, _terminals(nodes, edges), nodes.where("kind = 'unresolved'").select("node"), written(loops))
+
+
+@query(
+    """WITH RECURSIVE flat AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+         e AS (SELECT a.k AS src, b.k AS dst, b.i AS place, CASE WHEN b.i = a.i + 2 THEN a.i END AS guard FROM flat a JOIN flat b ON b.c = a.c AND (b.i = a.i + 1 AND a.k % 3 < 2 OR b.i = a.i + 2 AND a.k % 3 > 0)),
+         r(node, state) AS (SELECT k, CAST([] AS BIGINT[]) FROM flat WHERE i = 0
+           UNION SELECT dst, list_sort(list_filter(CASE WHEN guard IS NULL THEN state ELSE list_append(state, guard) END, lambda x: place BETWEEN x + 2 AND x + 4)) FROM r JOIN e ON src = node)
+       SELECT node, array_to_string(list_transform(state, lambda x: printf('%03d', x)), ',') AS guards,
+              CASE list_max(list_transform(state, lambda x: x % 3)) WHEN 0 THEN 'proven' WHEN 1 THEN 'possible' WHEN 2 THEN 'unresolved' ELSE 'none' END AS status FROM r"""
+)
+def guarded_orders(spark, table):
+    """The sets of guards under which each order is reached: a step over one order is guarded, and its guard holds for three orders."""
+    at = written(places(table).withColumn("name", F.format_string("%s:%03d", "c", F.col("i").cast("int"))))
+    k, i = F.col("k"), F.col("i")
+    edge = lambda df, guard: df.select(k.alias("src"), "dst", guard.cast("string").alias("guard"), F.lit(False).alias("enters"))
+    edges = edge(linked(at, k % 3 < 2, i + 1), F.lit(None)).unionByName(edge(linked(at, k % 3 > 0, i + 2), F.col("name")))
+    known = at.select(F.col("name").alias("guard"), F.when(i % 3 == 0, "proven").when(i % 3 == 1, "possible").otherwise("unresolved").alias("status"))
+    members = at.select(F.col("name").alias("guard"), "c", F.explode(F.sequence(i + 2, i + 4)).alias("i")).join(at.select("c", "i", k.alias("node")), ["c", "i"]).select("guard", "node")
+    found = guards.guard_states(at.select(k.alias("node"), F.col("c").cast("string").alias("label")), edges, known, members, at.where("i = 0").select(k.alias("node")), most=1000)
+    return found.select("node", F.array_join(F.transform("guards", lambda g: F.right(g.guard, F.lit(3))), ",").alias("guards"), "status")
