@@ -60,7 +60,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         left = written(left.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti"))
     labels = names.withColumnRenamed("head", "h")
     if found is not None:
-        labels = labels.join(found.select(F.col("node").alias("h"), "colour"), "h", "left").withColumn("key", F.coalesce("colour", F.when(F.col("h").isNull(), F.col("h"))))
+        several = found.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")  # a chain that no other is strongly connected to is no component by itself
+        labels = labels.join(found.join(several, "colour", "left_semi").select(F.col("node").alias("h"), "colour"), "h", "left").withColumn("key", F.coalesce("colour", F.when(F.col("h").isNull(), F.col("h"))))
     else:
         labels = labels.withColumn("key", F.lit(None).cast(names.schema["head"].dataType))
     labels = labels.join(closed.select(F.col("head").alias("h"), F.lit(True).alias("closed")), "h", "left")

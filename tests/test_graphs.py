@@ -43,3 +43,10 @@ def test_terminal_samples_and_contraction(spark):
     assert found == {1: ("3,6", "multiple"), 2: ("3,6", "multiple"), 3: ("3", "unique"), 4: ("3,6", "multiple"), 5: ("3,6", "multiple"), 6: ("6", "unique")}
     kept = spark.createDataFrame([(1,), (3,), (6,)], "node long")
     assert {tuple(r) for r in graphs.contracted(edges, kept).collect()} == {(1, 3, "choice", 2), (1, 6, "jump", 3)}
+
+
+def test_strong_components_of_chains_between_loops(spark):
+    """A chain from one loop to another has ways in and out, but each of its nodes is a component of its own."""
+    edges = [(1, 2), (2, 1), (2, 9), (9, 8), (8, 7), (7, 3), (3, 4), (4, 3), (4, 20), (20, 21), (21, 22), (22, 20)]
+    found = {r.node: r.component for r in graphs.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {1: 1, 2: 1, 9: 9, 8: 8, 7: 7, 3: 3, 4: 3, 20: 20, 21: 20, 22: 20}
