@@ -36,14 +36,14 @@ _NODE, _PARENT = ["na", "nb"], ["pa", "pb"]
 def turn_rows(conversations: DataFrame) -> DataFrame:
     """(conv_id, place, a, b, n_bytes): the turns of each conversation from 0, as two hashes of role and text, and the text's UTF-8 bytes. Written.
 
-    Turns stand in the order of ``turn``, null first; rows of one turn by role, then
-    by hash. Rows without conv_id belong to no conversation. Null role or text is empty.
+    Turns stand in the order of ``turn``, null first; rows of one turn by role (null last, as in
+    the SQL), then by hash. Rows without conv_id belong to no conversation. Null role or text is empty.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.where("conv_id IS NOT NULL").select(
-        F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), F.xxhash64(role, text).alias("a"), F.xxhash64(F.lit(1), text, role).alias("b"), F.octet_length(text).cast("long").alias("n_bytes")
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.xxhash64(role, text).alias("a"), F.xxhash64(F.lit(1), text, role).alias("b"), F.octet_length(text).cast("long").alias("n_bytes")
     )
-    placed = ordered(rows, "conv_id", F.asc_nulls_first("turn"), "role", "a", "b", segment="conv_id", without=("turn", "role"), name="turns")
+    placed = ordered(rows, "conv_id", F.asc_nulls_first("turn"), F.asc_nulls_last("role"), "a", "b", segment="conv_id", without=("turn", "role"), name="turns")
     return placed.select("conv_id", "place", "a", "b", "n_bytes")
 
 

@@ -44,7 +44,7 @@ def _scan(segment: str | None, sums: Sequence[str], xors: Sequence[str]) -> Call
                 add, back = (np.cumsum, np.subtract) if name.startswith("sum_") else (np.bitwise_xor.accumulate, np.bitwise_xor)
                 values = batch.column(name[4:]).to_numpy(zero_copy_only=False).astype(np.int64)
                 upto = add(values)
-                before = np.append(0, upto[at - 1])  # the total where each run begins
+                before = np.append(0, np.where(at > 0, upto[at - 1], 0))  # the total where each run begins; one may begin with the batch
                 found = back(upto, before[run_of])
                 carried = np.where(run_of == 0, total[name], 0)
                 found = found + carried if back is np.subtract else found ^ carried

@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import operator
 import random
 import zlib
 from math import floor, log
@@ -83,6 +85,19 @@ def test_ordered_counts_across_partitions(spark):
         place[s] = place.get(s, 0) + 1
 
 
+@pytest.mark.parametrize("batch", [1, 4])
+def test_totals_of_segments_that_begin_with_a_batch(spark, batch):
+    rows = [(i // 4, i, i + 1) for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = {f.i: f for f in ordered(spark.createDataFrame(rows, "s long, i long, v long"), "s", "i", segment="s", sums=("v",), xors=("v",)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s, i, _ in rows:
+        values = [v for t, j, v in rows if t == s and j <= i]
+        assert (found[i].place, found[i].sum_v, found[i].xor_v) == (len(values) - 1, sum(values), functools.reduce(operator.xor, values))
+
+
 def plain_trie(paths: dict[int, list]) -> set:
     """Nodes of {conv_id: [(role, text)]} by plain dictionaries."""
     members, ends = {}, {}
@@ -130,6 +145,8 @@ def test_spliced_conversations(spark):
         expected[c] = paths.get(c - c % 5, [])[:h] + p[h:]
     found = prefix_trie.trie(*prefix_trie.spliced(turns, group=5, most=9)).drop("first_node", "last_node")
     assert {tuple(x) for x in found.collect()} == plain_trie(expected)
+    tied = prefix_trie.turn_rows(spark.createDataFrame([(1, 1, None, "no role"), (1, 1, "", "empty"), (1, 1, "u", "é"), (1, None, "z", None)], "conv_id long, turn long, role string, text string"))
+    assert [x.n_bytes for x in tied.orderBy("place").collect()] == [0, 5, 2, 7]
     none = prefix_trie.turn_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert prefix_trie.trie(*prefix_trie.spliced(none, group=5, most=9)).count() == 0
 
