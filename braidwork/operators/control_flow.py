@@ -33,14 +33,14 @@ def entries(statements: DataFrame) -> DataFrame:
     order = W.partitionBy("path", "parent").orderBy("stmt")
     plain = plain.withColumn("next", F.lead("node").over(order))
     owner = rows.select("path", F.col("stmt").alias("parent"), F.col("kind").alias("owner_kind"), F.col("chain").alias("owner_chain"), F.col("parent").alias("owner_parent"))
-    plain = plain.join(owner, ["path", "parent"], "left")
+    plain = plain.join(owner.hint("merge"), ["path", "parent"], "left")
     merge = F.when(F.col("owner_kind") == "choice", F.concat(F.col("owner_parent").cast("string"), F.lit(":merge"))).when(F.col("owner_kind") == "branch", F.concat(F.col("owner_chain").cast("string"), F.lit(":merge")))
     plain = plain.withColumn("next", F.coalesce("next", merge, F.when(F.col("parent").isNull(), F.lit("end"))))
     plain = plain.withColumn("up", F.when(F.col("next").isNull(), F.col("parent")))
     labels = plain.where("kind = 'label'").select("path", F.col("stmt").alias("up"), F.col("next").alias("label_next"), F.col("up").alias("label_up"))
     plain = written(plain)
     for _ in range(plain.where("kind = 'label' AND parent IS NOT NULL").select("label").distinct().count() + 1):  # labels nested in labels: a level a round
-        plain = plain.join(labels, ["path", "up"], "left").withColumn("next", F.coalesce("next", "label_next")).withColumn("up", F.when(F.col("next").isNull(), F.col("label_up"))).drop("label_next", "label_up")
+        plain = plain.join(labels.hint("merge"), ["path", "up"], "left").withColumn("next", F.coalesce("next", "label_next")).withColumn("up", F.when(F.col("next").isNull(), F.col("label_up"))).drop("label_next", "label_up")
         if plain.where("next IS NULL").isEmpty():
             break
     return plain.drop("owner_kind", "owner_chain", "owner_parent", "up").unionByName(arms.withColumn("next", F.lit(None).cast("string")))
@@ -50,13 +50,13 @@ def edges(statements: DataFrame) -> DataFrame:
     """(path, src, dst_path, dst, kind) of one script's or many scripts' statements, labels being known across files."""
     nodes = written(entries(statements))
     first = nodes.where("kind NOT IN ('branch', 'choice')").groupBy("path", F.col("parent").alias("stmt")).agg(F.min_by("node", "stmt").alias("body"))
-    rows = nodes.join(first, ["path", "stmt"], "left")
+    rows = nodes.join(first.hint("merge"), ["path", "stmt"], "left")
     merge = F.concat(F.coalesce("chain", "stmt").cast("string"), F.lit(":merge"))
     owner = F.when(F.col("kind") == "choice", F.concat(F.col("parent").cast("string"), F.lit(":merge"))).otherwise(merge)
     step = lambda when, dst, kind, src=F.col("node"): F.when(when, F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind")))
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
     has_else = nodes.where("kind = 'branch'").groupBy("path", "chain").agg(F.bool_or(F.col("condition").isNull()).alias("has_else"))
-    rows = rows.join(has_else, ["path", "chain"], "left")
+    rows = rows.join(has_else.hint("merge"), ["path", "chain"], "left")
     found = F.array_compact(F.array(
         step(~is_("label", "menu", "choice", "branch", "if", "jump", "call", "return"), F.col("next"), "fallthrough"),
         step(is_("call"), F.col("next"), "call_continuation"),
@@ -91,7 +91,7 @@ def transfers(statements: DataFrame) -> DataFrame:
     """Edges of jumps and calls: to their label; ``dynamic_*`` where the target is an expression, ``missing_*`` where no label has the name."""
     moves = statements.where("kind IN ('jump', 'call')").select("path", F.col("stmt").cast("string").alias("src"), "kind", "target", "expression")
     known = labels(statements).select(F.col("name").alias("target"), F.col("path").alias("label_path"), F.col("node").alias("label_node"))
-    joined = moves.join(known, "target", "left")
+    joined = moves.join(known.hint("merge"), "target", "left")
     kind = F.when(F.col("expression").isNotNull(), F.concat(F.lit("dynamic_"), F.col("kind"))).when(F.col("label_node").isNull(), F.concat(F.lit("missing_"), F.col("kind"))).otherwise(F.col("kind"))
     lost = F.concat("src", F.lit(":unresolved"))
     return joined.select("path", "src", F.coalesce("label_path", "path").alias("dst_path"), F.coalesce("label_node", lost).alias("dst"), kind.alias("kind"))
@@ -100,7 +100,7 @@ def transfers(statements: DataFrame) -> DataFrame:
 def returns(statements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges from each return under a called label to what follows each of its calls."""
     sites = nodes.where("kind = 'call' AND target IS NOT NULL").select(F.col("target").alias("label"), F.col("path").alias("dst_path"), F.col("next").alias("dst")).distinct()
-    return statements.where("kind = 'return'").select("path", F.col("stmt").cast("string").alias("src"), "label").join(sites, "label").select("path", "src", "dst_path", "dst", F.lit("return").alias("kind")).distinct()
+    return statements.where("kind = 'return'").select("path", F.col("stmt").cast("string").alias("src"), "label").join(sites.hint("merge"), "label").select("path", "src", "dst_path", "dst", F.lit("return").alias("kind")).distinct()
 
 
 def dependencies(statements: DataFrame) -> DataFrame:

@@ -59,6 +59,23 @@ def choice_header(text: Column) -> tuple[Column, Column]:
     return F.when(fits, literal_value(F.regexp_extract(body, pattern, 1))), F.when(fits, condition)
 
 
+def _looked_up(rows: DataFrame, key: str, name: str, *found: Column) -> DataFrame:
+    """``rows`` with the columns ``found`` of the line of the same file that begins at ``key``; nulls where there is none.
+
+    Each line stands once for itself and once for what it asks for, side by side in the order of lines. No
+    table goes to the driver or is dealt anew: rows stay where their file is.
+    """
+    others = [c for c in rows.columns if c != "path"]
+    kinds = rows.select(F.struct(*found).alias("found"), F.struct(*others).alias("row")).schema
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in kinds}
+    own = F.struct(F.col("start_line").alias("at"), F.struct(*found).alias("found"), none["row"])
+    asks = F.struct(F.col(key).alias("at"), none["found"], F.struct(*others).alias("row"))
+    both = rows.select("path", F.explode(F.array(own, asks)).alias("e")).select("path", "e.*")
+    here = W.partitionBy("path", "at").orderBy(F.col("row").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = both.withColumn(name, F.when(F.col("at").isNotNull(), F.first("found").over(here))).where("row IS NOT NULL")
+    return met.select("path", "row.*", f"{name}.*")
+
+
 def statements(lines: DataFrame) -> DataFrame:
     """lines(path, line_no, line) -> statement rows, one a logical line that is reached from a label.
 
@@ -87,9 +104,8 @@ def statements(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("parent", F.when(~F.col("is_label") & (F.col("flat_label") > 0), F.col("flat_label")).otherwise(F.col("parent")))
     current = F.last(F.when(F.col("is_label") & ~F.col("own").startswith("."), F.col("own")), ignorenulls=True).over(w)
     rows = rows.withColumn("current", current).withColumn("label", F.last(F.when(F.col("is_label"), local_name(F.col("own"), current)), ignorenulls=True).over(w))
-    above = rows.select("path", F.col("start_line").alias("parent"), F.col("word").alias("above"), F.col("opens").alias("above_opens"), F.col("is_label").alias("above_label"), "parent").toDF("path", "parent", "above", "above_opens", "above_label", "grand")
-    over = above.select("path", F.col("parent").alias("g"), F.col("above").alias("grand_word"))
-    rows = rows.join(above, ["path", "parent"], "left").join(over.withColumnRenamed("g", "grand"), ["path", "grand"], "left")
+    rows = _looked_up(rows, "parent", "over", F.col("word").alias("above"), F.col("opens").alias("above_opens"), F.col("is_label").alias("above_label"), F.col("parent").alias("grand"))
+    rows = _looked_up(rows, "grand", "over", F.col("word").alias("grand_word"))
     caption, condition = choice_header(F.col("code"))
     in_menu = F.coalesce(F.col("above") == "menu", F.lit(False))
     rows = rows.withColumn("caption", F.when(in_menu, caption)).withColumn("choice_condition", F.when(in_menu, condition))

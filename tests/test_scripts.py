@@ -1,6 +1,6 @@
 import random
 
-from braidwork.operators import control_flow, semantics, state
+from braidwork.operators import control_flow, loops, semantics, state
 from braidwork.operators import script_rows as S
 from braidwork.operators.lexing import logical_lines
 
@@ -128,3 +128,11 @@ def test_quotes_stay_open(spark):
     assert {k: r.kind for k, r in rows.items()} == {1: "label", 2: "statement", 5: "jump", 6: "label", 7: "statement", 9: "menu", 10: "choice", 11: "pass", 12: "choice", 13: "return"}
     assert rows[7].text == 'e "one\ntwo # not a comment"' and rows[7].end_line == 8 and (rows[10].caption, rows[10].condition, rows[12].caption) == ('It"s', "x", "three")
     assert [(r.code, r.start_line) for r in S.diagnostics(_lines(spark, text)).collect()] == [("unterminated", 14)]
+
+
+def test_statements_and_edges_send_no_table_to_the_driver(spark):
+    lines = spark.createDataFrame([("a", 1, "label x:"), ("a", 2, "    menu:"), ("a", 3, '        "go":'), ("a", 4, "            jump y"), ("b", 1, "label y:"), ("b", 2, "    call x"), ("b", 3, "    return")], "path string, line_no long, line string")
+    rows = S.statements(lines)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.stmt, r.parent, r.kind) for r in rows.collect()} == {("a", 1, None, "label"), ("a", 2, 1, "menu"), ("a", 3, 2, "choice"), ("a", 4, 3, "jump"), ("b", 1, None, "label"), ("b", 2, 1, "call"), ("b", 3, 1, "return")}
+    assert "Broadcast" not in control_flow.edges(loops.written(rows))._jdf.queryExecution().executedPlan().toString()
