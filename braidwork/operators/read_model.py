@@ -88,14 +88,14 @@ def overlap_owner(rows: DataFrame, spans: DataFrame, group: str, row: tuple[str,
 
 
 def nearest_section(items: DataFrame, sections: DataFrame, group: str, item: str, at: str, section: str) -> DataFrame:
-    """(group, item, section): the section of a group nearest to an item on an axis of ordinals; of two as near, the one before.
+    """(group, item, section): the section of a group nearest to an item on an axis of ordinals; of two as near, the one before. A null group has no section.
 
     sections(group, section, at). One sorted pass over both carries the last section before and the next one after.
     """
     both = items.select(group, F.col(item).alias("i"), F.col(at).alias("at"), F.lit(None).cast(sections.schema[section].dataType).alias("s")).unionByName(
         sections.select(group, F.lit(None).cast(items.schema[item].dataType).alias("i"), F.col(at).alias("at"), F.col(section).alias("s"))
     )
-    mark = F.when(F.col("s").isNotNull(), F.struct("at", "s"))
+    mark = F.when(F.col("s").isNotNull() & F.col(group).isNotNull(), F.struct("at", "s"))
     order = [F.col("at"), F.col("s").isNull(), F.col("s")]
     before = F.last(mark, ignorenulls=True).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     after = F.first(mark, ignorenulls=True).over(W.partitionBy(group).orderBy(*order).rowsBetween(0, W.unboundedFollowing))

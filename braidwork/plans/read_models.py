@@ -111,7 +111,7 @@ def overlap_owner(spark, table):
        SELECT i.user_id, i.event_id, arg_min(section, (abs(s.at - i.at), s.at > i.at, CASE WHEN s.at > i.at THEN section ELSE -section END)) AS section FROM i LEFT JOIN s ON s.user_id = i.user_id GROUP BY ALL"""
 )
 def nearest_section(spark, table):
-    at = F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at")  # whole seconds as the SQL rounds them
     rows = table("events").select("user_id", "event_id", at)
     return M.nearest_section(rows.where("event_id % 4 <> 0"), rows.where("event_id % 4 = 0").withColumnRenamed("event_id", "section"), "user_id", "event_id", "at", "section")
 
