@@ -60,9 +60,9 @@ def choice_header(text: Column) -> tuple[Column, Column]:
 
 
 def _looked_up(rows: DataFrame, key: str, name: str, *found: Column) -> DataFrame:
-    """``rows`` with the columns ``found`` of the line of the same file that begins at ``key``; nulls where there is none.
+    """``rows`` with the columns ``found`` of the line of the same file that begins at ``key``, one with ``heads``; nulls where there is none.
 
-    Each line stands once for itself and once for what it asks for, side by side in the order of lines. No
+    Such a line stands once for itself, each line once for what it asks for, side by side in the order of lines. No
     table goes to the driver or is dealt anew: rows stay where their file is.
     """
     others = [c for c in rows.columns if c != "path"]
@@ -70,7 +70,7 @@ def _looked_up(rows: DataFrame, key: str, name: str, *found: Column) -> DataFram
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in kinds}
     own = F.struct(F.col("start_line").alias("at"), F.struct(*found).alias("found"), none["row"])
     asks = F.struct(F.col(key).alias("at"), none["found"], F.struct(*others).alias("row"))
-    both = rows.select("path", F.explode(F.array(own, asks)).alias("e")).select("path", "e.*")
+    both = rows.select("path", F.explode(F.when(F.col("heads"), F.array(own, asks)).otherwise(F.array(asks))).alias("e")).select("path", "e.*")
     here = W.partitionBy("path", "at").orderBy(F.col("row").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     met = both.withColumn(name, F.when(F.col("at").isNotNull(), F.first("found").over(here))).where("row IS NOT NULL")
     return met.select("path", "row.*", f"{name}.*")
@@ -89,7 +89,9 @@ def statements(lines: DataFrame) -> DataFrame:
     ``chain`` is the line of that ``if``. Statements at the indent of a label
     right after it are its block, up to the next label.
     """
-    rows = logical_lines(lines).where("fault IS NULL")
+    spark = lines.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small files of much text are not put into few tasks, whose sorts would spill
+    rows = logical_lines(lines).where("fault IS NULL").drop("tab_indent", "fault").repartition(parts, "path")
     word, tail = head(F.col("code"))
     rows = rows.withColumn("word", word).withColumn("tail", tail).withColumn("opens", without_colon(F.col("code")).isNotNull())
     w = W.partitionBy("path").orderBy("start_line").rowsBetween(W.unboundedPreceding, 0)
@@ -100,12 +102,15 @@ def statements(lines: DataFrame) -> DataFrame:
     flat = F.col("is_label") & (F.lead("indent").over(follows) == F.col("indent")) & (F.lead("word").over(follows) != "label")
     beside = W.partitionBy("path", "parent").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1)
     flat_label = F.last(F.when(F.col("is_label"), F.when(F.col("flat"), F.col("start_line")).otherwise(-1)), ignorenulls=True).over(beside)
+    rows = rows.withColumn("heads", F.coalesce(flat | (F.lead("indent").over(follows) > F.col("indent")), F.lit(False)))  # lines that may be the parent of others
     rows = rows.withColumn("flat", F.coalesce(flat, F.lit(False))).withColumn("flat_label", flat_label)
     rows = rows.withColumn("parent", F.when(~F.col("is_label") & (F.col("flat_label") > 0), F.col("flat_label")).otherwise(F.col("parent")))
     current = F.last(F.when(F.col("is_label") & ~F.col("own").startswith("."), F.col("own")), ignorenulls=True).over(w)
     rows = rows.withColumn("current", current).withColumn("label", F.last(F.when(F.col("is_label"), local_name(F.col("own"), current)), ignorenulls=True).over(w))
+    rows = rows.drop("indent", "tail", "flat", "flat_label")
     rows = _looked_up(rows, "parent", "over", F.col("word").alias("above"), F.col("opens").alias("above_opens"), F.col("is_label").alias("above_label"), F.col("parent").alias("grand"))
     rows = _looked_up(rows, "grand", "over", F.col("word").alias("grand_word"))
+    rows = rows.drop("heads").withColumn("tail", tail)
     caption, condition = choice_header(F.col("code"))
     in_menu = F.coalesce(F.col("above") == "menu", F.lit(False))
     rows = rows.withColumn("caption", F.when(in_menu, caption)).withColumn("choice_condition", F.when(in_menu, condition))
