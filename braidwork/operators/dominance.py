@@ -7,7 +7,8 @@ ancestors; where every predecessor of a node lies under its parent, the parent i
 its immediate dominator. All graphs of a table are worked on at once: an unseen
 root, null in the results, stands over all roots. A round of moves looks at all
 edges into nodes with several predecessors; rounds follow how often paths from
-the roots cross before they meet, not their length.
+the roots cross before they meet, not their length. Where all tables have
+``graph``, small parts are worked out each by itself instead (see ``parts``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.operators import parts
 from braidwork.operators.graphs import strong_components
 from braidwork.operators.loops import breadth_first, reversed_edges, written
 
@@ -69,8 +71,17 @@ def nearest_common(pairs: DataFrame, table: DataFrame) -> DataFrame:
             return met
 
 
+def _alone(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes(graph, node) as rows beside those of ``edges``, each once."""
+    return nodes.select("graph", F.col("node").alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")).where("src IS NOT NULL").distinct()
+
+
 def dominators(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """edges(src, dst), roots(node) -> (node, idom) of every node that a root reaches; idom is null where only the node itself is on all its paths."""
+    if "graph" in edges.columns:
+        near, far = parts.split(parts.tagged(edges.select("graph", "src", "dst").where("src <> dst").distinct(), _alone(roots, edges)))
+        found = parts.each(near, parts.dominator_tree, {"node": "node", "idom": "node"})
+        return found if far is None else found.unionByName(dominators(far.where("tag = 0").select("src", "dst"), far.where("tag = 1").select(F.col("src").alias("node"))))
     edges = written(edges.select("src", "dst").where("src <> dst").distinct())
     roots = roots.select("node").where("node IS NOT NULL").distinct()
     tree = written(breadth_first(edges, roots).select("node", F.col("pred").alias("parent")))
@@ -94,6 +105,12 @@ def post_dominators(edges: DataFrame, nodes: DataFrame, terminals: DataFrame) ->
 
     terminals(node) lead to the exit, and so do nodes that reach none of them: these don't terminate.
     """
+    if "graph" in edges.columns:
+        back = edges.select("graph", F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst").distinct()
+        near, far = parts.split(parts.tagged(back, _alone(terminals, edges), _alone(nodes, edges)))
+        found = parts.each(near, parts.past, {"node": "node", "ipdom": "node", "terminates": "boolean"})
+        of = lambda tag: far.where(F.col("tag") == tag).select(F.col("src").alias("node"))
+        return found if far is None else found.unionByName(post_dominators(far.where("tag = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst")), of(2), of(1)))
     ends = terminals.select("node").where("node IS NOT NULL").distinct()
     back = written(reversed_edges(edges.select("src", "dst").where("src <> dst").distinct()))
     reach = written(breadth_first(back, ends).select("node"))
@@ -104,6 +121,13 @@ def post_dominators(edges: DataFrame, nodes: DataFrame, terminals: DataFrame) ->
 
 def dominates(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """pairs(.., above, below) with ``holds``: whether ``above`` is ``below`` or an ancestor of it in tree(node, idom)."""
+    if "graph" in pairs.columns:
+        near, far = parts.split(parts.tagged(tree.select("graph", F.col("node").alias("src"), F.col("idom").alias("dst")), pairs.select("graph", F.col("above").alias("src"), F.col("below").alias("dst")).distinct()))
+        found = parts.each(near, parts.above, {"above": "node", "below": "node", "holds": "boolean"})
+        if far is not None:
+            asked = far.where("tag = 1").select(F.col("src").alias("above"), F.col("dst").alias("below"))
+            found = found.unionByName(dominates(asked, far.where("tag = 0").select(F.col("src").alias("node"), F.col("dst").alias("idom"))))
+        return pairs.join(found, ["above", "below"]) if set(pairs.columns) > {"graph", "above", "below"} else found
     table = jumps(tree.select("node", F.col("idom").alias("parent")))
     found = nearest_common(pairs.withColumn("x", F.col("above")).withColumn("y", F.col("below")), table)
     return found.withColumn("holds", F.coalesce(F.col("common") == F.col("above"), F.lit(False))).drop("common", "common_level")
@@ -111,6 +135,12 @@ def dominates(pairs: DataFrame, tree: DataFrame) -> DataFrame:
 
 def common_of_groups(groups: DataFrame, tree: DataFrame) -> DataFrame:
     """groups(grp, node), tree(node, idom) -> (grp, common): the nearest ancestor that all nodes of a group share, itself included; null where there is none."""
+    if "graph" in groups.columns:  # then groups are named by ids of nodes
+        near, far = parts.split(parts.tagged(tree.select("graph", F.col("node").alias("src"), F.col("idom").alias("dst")), groups.select("graph", F.col("grp").alias("src"), F.col("node").alias("dst"))))
+        found = parts.each(near, parts.meeting, {"grp": "node", "common": "node"})
+        if far is None:
+            return found
+        return found.unionByName(common_of_groups(far.where("tag = 1").select(F.col("src").alias("grp"), F.col("dst").alias("node")), far.where("tag = 0").select(F.col("src").alias("node"), F.col("dst").alias("idom"))))
     table = jumps(tree.select("node", F.col("idom").alias("parent")))
     first = groups.groupBy("grp").agg(F.min("node").alias("x"))
     found = nearest_common(groups.join(first, "grp").select("grp", "x", F.col("node").alias("y")), table)
@@ -125,17 +155,19 @@ def loop_roles(edges: DataFrame) -> DataFrame:
     for edges out of it, also those that lead into another loop. A loop entered at several
     nodes or at none has no edge that is proven to lead back.
     """
-    edges = written(edges.select("src", "dst").distinct())
-    parts = written(strong_components(edges))
-    of = lambda a, name: parts.select(F.col("node").alias(a), F.col("component").alias(name))
+    named = ["graph"] if "graph" in edges.columns else []
+    edges = written(edges.select(*named, "src", "dst").distinct())
+    placed = written(strong_components(edges))
+    of = lambda a, name: placed.select(F.col("node").alias(a), F.col("component").alias(name))
     lifted = written(edges.join(of("src", "cs"), "src").join(of("dst", "cd"), "dst"))
-    inner = written(lifted.where("cs = cd").select("src", "dst", F.col("cs").alias("component")))
+    inner = written(lifted.where("cs = cd").select("src", "dst", F.col("cs").alias("component"), F.col("cs").alias("graph")))  # a component is a part by itself
     loops = written(inner.select("component").distinct())
     entries = lifted.where("cs <> cd").groupBy(F.col("cd").alias("component")).agg(F.min("dst").alias("node"), F.count_distinct("dst").alias("n")).where("n = 1")
-    entries = written(entries.join(loops, "component", "left_semi"))
-    tree = dominators(inner.join(entries, "component", "left_semi"), entries)
-    asked = inner.join(entries.select("component"), "component", "left_semi").select("src", "dst", "component", F.col("dst").alias("above"), F.col("src").alias("below"))
-    back = dominates(asked, tree).where("holds").select("src", "dst", F.lit(True).alias("back"))
+    entries = written(entries.join(loops, "component", "left_semi").withColumn("graph", F.col("component")))
+    entered = written(inner.join(entries.select("component"), "component", "left_semi"))
+    tree = written(dominators(entered, entries))
+    tree = tree.join(placed.select("node", F.col("component").alias("graph")), "node")
+    back = dominates(entered.select("graph", F.col("dst").alias("above"), F.col("src").alias("below")), tree).where("holds").select(F.col("below").alias("src"), F.col("above").alias("dst"), F.lit(True).alias("back"))
     inside = inner.join(back, ["src", "dst"], "left").select("src", "dst", "component", F.when(F.col("back"), "loop_back").otherwise("loop_body").alias("role"))
     out = lifted.where("cs <> cd").select("src", "dst", F.col("cs").alias("component")).join(loops, "component", "left_semi").select("src", "dst", "component", F.lit("loop_exit").alias("role"))
     return inside.unionByName(out)

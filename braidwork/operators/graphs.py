@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.operators import parts
 from braidwork.operators.loops import chains, depths, reversed_edges, written
 
 #: Which edge kind stands for a merged edge: the later one. Fixed values.
@@ -21,8 +22,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     Nodes without a way in or out are trimmed; then each node takes the largest
     node that reaches it as its colour, and what reaches that node within the
-    colour is its component. Rounds repeat on what is left.
+    colour is its component. Rounds repeat on what is left. Edges with ``graph``
+    are worked out by small parts (see ``parts``).
     """
+    if "graph" in edges.columns:
+        near, far = parts.split(parts.tagged(edges.select("graph", "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()))
+        found = parts.each(near, parts.strong, {"node": "node", "component": "node"})
+        return found if far is None else found.unionByName(strong_components(far.select("src", "dst")))
     edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     places = written(chains(edges))
     rings = places.where("cyclic").select("node", F.col("head").alias("component"))
@@ -76,10 +82,10 @@ def loop_summary(edges: DataFrame) -> DataFrame:
 
     Entries are members with an edge from outside, exits members with one to the outside.
     """
-    parts = written(strong_components(edges))
-    lifted = edges.select("src", "dst").distinct().join(parts.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst")
+    placed = written(strong_components(edges))
+    lifted = edges.select("src", "dst").distinct().join(placed.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(placed.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst")
     lifted = written(lifted)
-    members = parts.groupBy("component").agg(F.count("*").alias("n_members"))
+    members = placed.groupBy("component").agg(F.count("*").alias("n_members"))
     own = lifted.where("src = dst").select(F.col("cs").alias("component")).distinct().withColumn("itself", F.lit(True))
     entries = lifted.where("cs <> cd").groupBy(F.col("cd").alias("component")).agg(F.count_distinct("dst").alias("n_entries"))
     exits = lifted.where("cs <> cd").groupBy(F.col("cs").alias("component")).agg(F.count_distinct("src").alias("n_exits"))
@@ -92,7 +98,16 @@ def terminal_summary(edges: DataFrame, terminals: DataFrame, unresolved: DataFra
     """(node, samples, outcome, unresolved): the two smallest terminals that a node reaches, and none, unique or multiple.
 
     terminals(node), unresolved(node); a node reaches itself. Two samples a node are enough, so tables stay small.
+    Where all have ``graph``, small parts are worked out each by itself (see ``parts``).
     """
+    if "graph" in edges.columns:
+        marks = [t.select("graph", F.col("node").alias("src"), F.lit(None).cast(edges.schema["dst"].dataType).alias("dst")).where("src IS NOT NULL").distinct() for t in (terminals, unresolved) if t is not None]
+        near, far = parts.split(parts.tagged(edges.select("graph", "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), *marks))
+        found = parts.each(near, parts.ends_ahead, {"node": "node", "first": "node", "second": "node", "unresolved": "boolean"})
+        samples = F.array_join(F.array_compact(F.array("first", "second")).cast("array<string>"), ",")
+        found = found.select("node", samples.alias("samples"), F.when(F.col("first").isNull(), "none").when(F.col("second").isNull(), "unique").otherwise("multiple").alias("outcome"), "unresolved")
+        of = lambda tag: far.where(F.col("tag") == tag).select(F.col("src").alias("node"))
+        return found if far is None else found.unionByName(terminal_summary(far.where("tag = 0").select("src", "dst"), of(1), of(2)))
     edges = written(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).unionByName(terminals.select("node")).distinct()
     marked = terminals.select("node", F.col("node").alias("mark"), F.lit(False).alias("open"))
@@ -192,9 +207,9 @@ def hierarchy_faults(parents: DataFrame) -> DataFrame:
     """parents(node, parent) -> (node, fault): ``unknown_parent`` where the parent is no node, ``cycle`` where a node is its own ancestor."""
     unknown = parents.where("parent IS NOT NULL").join(parents.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.lit("unknown_parent").alias("fault"))
     up = parents.where("parent IS NOT NULL").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
-    parts = written(strong_components(up))
-    several = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    looped = parts.join(several, "component", "left_semi").select("node").unionByName(up.where("src = dst").select(F.col("src").alias("node")))
+    placed = written(strong_components(up))
+    several = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    looped = placed.join(several, "component", "left_semi").select("node").unionByName(up.where("src = dst").select(F.col("src").alias("node")))
     return unknown.unionByName(looped.distinct().select("node", F.lit("cycle").alias("fault")))
 
 

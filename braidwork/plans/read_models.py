@@ -11,6 +11,7 @@ from braidwork.functions import text as T
 from braidwork.operators import graphs, packing, state
 from braidwork.operators import read_model as M
 from braidwork.operators import versions as V
+from braidwork.operators.loops import written
 from braidwork.plans.registry import query
 
 _HASHED = "CAST('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 8) AS BIGINT)"
@@ -79,9 +80,14 @@ def linked(at: DataFrame, when, to) -> DataFrame:
 
 
 def _edges(table) -> DataFrame:
+    return graph_edges(table).drop("graph")
+
+
+def graph_edges(table) -> DataFrame:
+    """The edges with ``graph``, the customer that both ends belong to."""
     at = places(table)
-    following = linked(at, F.col("k") % 5 > 0, F.col("i") + 1).select(F.col("k").alias("src"), "dst", F.when(F.col("s") == "O", "jump").otherwise("fallthrough").alias("kind"), (F.col("k") * 2).alias("id"))
-    some = linked(at, F.col("k") % 3 == 0, (F.col("i") * 7 + F.col("k")) % F.col("n")).select(F.col("k").alias("src"), "dst", F.lit("choice").alias("kind"), (F.col("k") * 2 + 1).alias("id"))
+    following = linked(at, F.col("k") % 5 > 0, F.col("i") + 1).select(F.col("k").alias("src"), "dst", F.when(F.col("s") == "O", "jump").otherwise("fallthrough").alias("kind"), (F.col("k") * 2).alias("id"), F.col("c").alias("graph"))
+    some = linked(at, F.col("k") % 3 == 0, (F.col("i") * 7 + F.col("k")) % F.col("n")).select(F.col("k").alias("src"), "dst", F.lit("choice").alias("kind"), (F.col("k") * 2 + 1).alias("id"), F.col("c").alias("graph"))
     return following.unionByName(some)
 
 
@@ -385,7 +391,7 @@ _PLAIN = "SELECT DISTINCT src, dst FROM e"
         SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
 )
 def strong_components(spark, table):
-    return graphs.strong_components(_edges(table))
+    return graphs.strong_components(graph_edges(table))
 
 
 @query(
@@ -397,7 +403,7 @@ def strong_components(spark, table):
         FROM p GROUP BY component HAVING count(*) > 1 OR (SELECT count(*) FROM l WHERE src = dst AND cs = component) > 0"""
 )
 def loop_summaries(spark, table):
-    return graphs.loop_summary(_edges(table))
+    return graphs.loop_summary(graph_edges(table))
 
 
 @query(
@@ -407,8 +413,8 @@ def loop_summaries(spark, table):
                node IN (SELECT a FROM r WHERE b IN (SELECT node FROM u)) AS unresolved FROM n LEFT JOIN k ON a = node GROUP BY node"""
 )
 def terminal_summaries(spark, table):
-    edges = _edges(table)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    edges = written(graph_edges(table))
+    nodes = edges.select("graph", F.col("src").alias("node")).union(edges.select("graph", "dst")).distinct()
     ends = nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti")
     return graphs.terminal_summary(edges, ends, nodes.where("node % 50 = 7"))
 
