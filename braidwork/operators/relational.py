@@ -83,8 +83,8 @@ def innermost_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     """Points inside an interval of the same keys, each with the tightest: latest start, then earliest end, then smallest id.
 
     Which of two intervals is the tighter does not depend on the point. So intervals are cut into
-    dyadic blocks, of which each keeps its tightest, and a point meets one block a level
-    however many intervals lie over it. Ends are inclusive; those before their start hold no point.
+    dyadic blocks, of which each keeps its tightest, and a place (not each row of points with
+    all its columns) meets one block a level however many intervals lie over it. Ends are inclusive; those before their start hold no point.
     """
     kinds = {points.schema[at].dataType.typeName(), intervals.schema[start].dataType.typeName(), intervals.schema[end].dataType.typeName()}
     (n,), (a, b) = _whole(kinds, at), _whole(kinds, start, end)
@@ -94,8 +94,10 @@ def innermost_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     levels = [r[0] for r in best.select("_level").distinct().collect()]  # 63 at most
     if not levels:
         return points.limit(0).withColumn("owner", F.lit(None).cast(intervals.schema[ident].dataType))
-    met = points.withColumn("_n", n).withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_block", F.expr("shiftright(_n, _level)"))
-    return met.join(best, [*keys, "_level", "_block"]).groupBy(*points.columns).agg(F.min("_best").alias("_best")).select(*points.columns, F.col("_best.ident").alias("owner"))
+    placed = points.withColumn("_n", n)
+    met = placed.select(*keys, "_n").distinct().withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_block", F.expr("shiftright(_n, _level)"))
+    owners = met.join(best, [*keys, "_level", "_block"]).groupBy(*keys, "_n").agg(F.min("_best").alias("_best")).select(*keys, "_n", F.col("_best.ident").alias("owner"))
+    return placed.join(owners, [*keys, "_n"]).groupBy(*points.columns, "_n").agg(F.min("owner").alias("owner")).drop("_n")
 
 
 def merged_intervals(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
