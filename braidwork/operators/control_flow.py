@@ -39,24 +39,29 @@ def entries(statements: DataFrame) -> DataFrame:
     plain = plain.withColumn("up", F.when(F.col("next").isNull(), F.col("parent")))
     labels = plain.where("kind = 'label'").select("path", F.col("stmt").alias("up"), F.col("next").alias("label_next"), F.col("up").alias("label_up"))
     plain = written(plain)
+    lasts = plain.where("next IS NULL")  # of a label's block; only these look at the label
     for _ in range(plain.where("kind = 'label' AND parent IS NOT NULL").select("label").distinct().count() + 1):  # labels nested in labels: a level a round
-        plain = plain.join(labels.hint("merge"), ["path", "up"], "left").withColumn("next", F.coalesce("next", "label_next")).withColumn("up", F.when(F.col("next").isNull(), F.col("label_up"))).drop("label_next", "label_up")
-        if plain.where("next IS NULL").isEmpty():
+        lasts = lasts.join(labels.hint("merge"), ["path", "up"], "left").withColumn("next", F.coalesce("next", "label_next")).withColumn("up", F.when(F.col("next").isNull(), F.col("label_up"))).drop("label_next", "label_up")
+        if lasts.where("next IS NULL").isEmpty():
             break
+    plain = plain.where("next IS NOT NULL").unionByName(lasts)
     return plain.drop("owner_kind", "owner_chain", "owner_parent", "up").unionByName(arms.withColumn("next", F.lit(None).cast("string")))
 
 
 def edges(statements: DataFrame) -> DataFrame:
     """(path, src, dst_path, dst, kind) of one script's or many scripts' statements, labels being known across files."""
-    nodes = written(entries(statements))
+    slim = statements.select("path", "stmt", "parent", "kind", "label", "target", F.when(F.col("condition").isNotNull(), F.lit("")).alias("condition"), "reason", "chain")  # texts take no part
+    nodes = written(entries(slim))
     first = nodes.where("kind NOT IN ('branch', 'choice')").groupBy("path", F.col("parent").alias("stmt")).agg(F.min_by("node", "stmt").alias("body"))
-    rows = nodes.join(first.hint("merge"), ["path", "stmt"], "left")
+    heads = F.col("kind").isin("label", "choice", "branch")  # kinds that ask for their body; an ``if`` asks for its else
+    asking = nodes.where(heads).join(first.hint("merge"), ["path", "stmt"], "left")
     merge = F.concat(F.coalesce("chain", "stmt").cast("string"), F.lit(":merge"))
     owner = F.when(F.col("kind") == "choice", F.concat(F.col("parent").cast("string"), F.lit(":merge"))).otherwise(merge)
     step = lambda when, dst, kind, src=F.col("node"): F.when(when, F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind")))
     is_ = lambda *kinds: F.col("kind").isin(*kinds)
     has_else = nodes.where("kind = 'branch'").groupBy("path", "chain").agg(F.bool_or(F.col("condition").isNull()).alias("has_else"))
-    rows = rows.join(has_else.hint("merge"), ["path", "chain"], "left")
+    chained = nodes.where(is_("if")).join(has_else.hint("merge"), ["path", "chain"], "left")
+    rows = nodes.where(~heads & ~is_("if")).unionByName(asking, allowMissingColumns=True).unionByName(chained, allowMissingColumns=True)
     found = F.array_compact(F.array(
         step(~is_("label", "menu", "choice", "branch", "if", "jump", "call", "return"), F.col("next"), "fallthrough"),
         step(is_("call"), F.col("next"), "call_continuation"),
