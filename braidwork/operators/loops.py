@@ -6,6 +6,7 @@ Ids may be of any one type. Linear chains are crossed in one round, whatever the
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,50 @@ def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return within.unionByName(alone)
 
 
+def led(ways: DataFrame) -> DataFrame:
+    """ways(src, dst, fixed) -> (node, head, reached): the node that decides for each target whether it is reached, itself or one that it hangs on.
+
+    A way without ``src`` comes from what is reached. A target with one way in is
+    reached if that way's source is, unless it is ``fixed``; pointers to such
+    sources are doubled. Targets that hang on a node without a way in, or in a ring
+    without one, are never reached and left out. ``head`` is null where ``reached``.
+    """
+    several = F.col("fixed") | (F.col("n") > 1)
+    table = ways.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("one"), F.bool_or(F.col("src").isNull() & ~F.col("fixed")).alias("reached"), F.bool_or("fixed").alias("fixed"))
+    table = written(table.select("node", F.when(F.col("reached"), None).when(several, F.col("node")).otherwise(F.col("one")).alias("head"), "reached", (F.col("reached") | several).alias("done")))
+    before, open_ = None, table.where("NOT done").count()
+    while open_ and open_ != before:  # where none is settled in a step, rings are left
+        ahead = table.select(F.col("node").alias("head"), F.col("head").alias("h"), F.col("reached").alias("r"), F.col("done").alias("d"))
+        moved = table.where("NOT done").join(ahead, "head").select("node", F.col("h").alias("head"), F.col("r").alias("reached"), F.col("d").alias("done"))
+        table = written(table.where("done").unionByName(moved))
+        before, open_ = open_, table.where("NOT done").count()
+    return table.where("done").drop("done")
+
+
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges(src, dst), roots(node) -> (node): what a root leads to, roots included.
+
+    What hangs on one node is put together with it, what nothing leads to goes, and
+    what is left is put together again. Rounds follow how ways part and meet,
+    not their length; two ways crossed at every step take a round a step.
+    """
+    roots = written(roots.select("node").where("node IS NOT NULL").distinct())
+    mark = roots.select(F.col("node").alias("src"), F.lit(True).alias("root"))
+    plain = edges.select("src", "dst").where("src <> dst").join(roots.select(F.col("node").alias("dst")), "dst", "left_anti").join(mark, "src", "left")
+    left = written(plain.select(F.when(F.col("root").isNull(), F.col("src")).alias("src"), "dst").distinct())
+    found, levels = [roots], []
+    while not left.where("src IS NULL").isEmpty():
+        places = led(left.withColumn("fixed", F.lit(False)))
+        found.append(places.where("reached").select("node"))
+        levels.append(places.where("node <> head").select("node", "head"))
+        ahead = left.join(places.where("node = head").select(F.col("node").alias("dst")), "dst", "left_semi").join(places.withColumnRenamed("node", "src"), "src")
+        left = written(ahead.select(F.col("head").alias("src"), "dst").where("src IS NULL OR src <> dst").distinct())
+    known = written(reduce(DataFrame.unionByName, found))
+    for level in reversed(levels):  # what hangs on a node that was settled later
+        known = written(known.unionByName(level.join(known.withColumnRenamed("node", "head"), "head").select("node")))
+    return known
+
+
 def breadth_first(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """edges(src, dst), roots(node) -> (node, depth, pred) of every node reached; pred is the smallest predecessor one step nearer."""
     found = written(depths(edges, roots))
@@ -117,7 +162,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
 
 def window_between(edges: DataFrame, entry: DataFrame, exit_: DataFrame) -> DataFrame:
     """(node): nodes on some walk from an entry to an exit: forward reach and backward reach."""
-    return breadth_first(edges, entry).select("node").join(breadth_first(reversed_edges(edges), exit_).select("node"), "node", "left_semi")
+    return reached(edges, entry).join(reached(reversed_edges(edges), exit_), "node", "left_semi")
 
 
 def linear_chains(edges: DataFrame) -> DataFrame:

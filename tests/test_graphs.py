@@ -50,3 +50,28 @@ def test_strong_components_of_chains_between_loops(spark):
     edges = [(1, 2), (2, 1), (2, 9), (9, 8), (8, 7), (7, 3), (3, 4), (4, 3), (4, 20), (20, 21), (21, 22), (22, 20)]
     found = {r.node: r.component for r in graphs.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert found == {1: 1, 2: 1, 9: 9, 8: 8, 7: 7, 3: 3, 4: 3, 20: 20, 21: 20, 22: 20}
+
+
+def test_reach_goes_past_ways_that_part_and_meet_in_few_rounds(spark, monkeypatch):
+    """Sixty diamonds in a row, a ring that nothing leads to, a way out of it into the row, and edges with nulls."""
+    diamonds = [e for i in range(0, 180, 3) for e in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))]
+    edges = spark.createDataFrame([*diamonds, (500, 501), (501, 500), (501, 90), (7, 7), (None, 600), (180, None)], "src long, dst long")
+    rounds, written = [], loops.written
+    monkeypatch.setattr(loops, "written", lambda df: rounds.append(1) or written(df))
+    at = lambda *nodes: spark.createDataFrame([(n,) for n in nodes], "node long")
+    inside = sorted(r.node for r in loops.window_between(edges, at(0, 900), at(90)).collect())
+    assert inside == list(range(91))
+    assert len(rounds) < 60
+    assert sorted(r.node for r in loops.reached(edges, at(0, 900, None)).collect()) == [*range(181), 900]
+
+
+def test_reach_equals_a_walk(spark):
+    pick = random.Random(5)
+    pairs = [(pick.randrange(40), pick.randrange(40)) for _ in range(44)]
+    found, going = {3, 11}, [3, 11]
+    for node in going:
+        fresh = {b for a, b in pairs if a == node} - found
+        found |= fresh
+        going += fresh
+    rows = loops.reached(spark.createDataFrame(pairs, "src int, dst int"), spark.createDataFrame([(3,), (11,)], "node int")).collect()
+    assert sorted(r.node for r in rows) == sorted(found)
