@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.operators import parts
-from braidwork.operators.loops import chains, depths, reversed_edges, written
+from braidwork.operators.loops import chains, depths, led, reversed_edges, written
 
 #: Which edge kind stands for a merged edge: the later one. Fixed values.
 KIND_RANK = {"fallthrough": 0, "call_continuation": 1, "return": 2, "call": 3, "jump": 4, "condition": 5, "choice": 6, "ending": 7}
@@ -134,17 +134,32 @@ def procedure_summary(nodes: DataFrame, edges: DataFrame, calls: DataFrame) -> D
     inside labels; calls(src, dst, callee): the edge from a call to what follows
     it, which can be crossed once its callee may return. A label may return if
     its entry reaches a return. It is recursive if its calls lead back to it.
+    Stretches that hang on one node are crossed in one round; a round takes up
+    what is newly reached and the calls to what newly returns, nothing else.
     """
-    may = None
-    done = written(nodes.where("kind = 'return'").select(F.col("label").alias("callee")).limit(0))
-    while True:
-        open_ = edges.select("src", "dst").unionByName(calls.join(done, "callee", "left_semi").select("src", "dst"))
-        reached = written(depths(open_, nodes.where("kind = 'entry'").select("node")))
-        own = nodes.where("kind = 'return'").join(reached.select("node"), "node", "left_semi").select("label").distinct()
-        may = written(own)
-        if may.count() == done.count():
-            break
-        done = may.select(F.col("label").alias("callee"))
+    own = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    gated = calls.select("src", "dst", "callee").where("src IS NOT NULL AND dst IS NOT NULL AND callee IS NOT NULL").distinct()
+    entry = nodes.where("kind = 'entry' AND node IS NOT NULL").select("node").distinct()
+    none = F.lit(None).cast(edges.schema["src"].dataType).alias("src")
+    ways = own.withColumn("fixed", F.lit(False)).unionByName(gated.select(none, "dst", F.lit(True).alias("fixed"))).unionByName(entry.select(none, F.col("node").alias("dst"), F.lit(False).alias("fixed")))
+    places = led(ways)
+    at = places.select(F.col("node").alias("src"), F.col("head").alias("from"), "reached")
+    heads = places.where("node = head").select(F.col("node").alias("dst"))
+    steps = own.join(heads, "dst", "left_semi").join(at, "src").select("from", F.col("dst").alias("to")).distinct()
+    gates = written(gated.join(heads, "dst", "left_semi").join(at, "src").select("from", F.col("dst").alias("to"), "callee").distinct())
+    ends = written(nodes.where("kind = 'return' AND label IS NOT NULL").select(F.col("node").alias("src"), "label").join(at, "src").select(F.col("from").alias("node"), "label", "reached").distinct())
+    steps = written(steps)
+    labels = written(ends.where("reached").select("label").distinct())  # those that are new
+    fresh = written(steps.where("from IS NULL").select(F.col("to").alias("node")).distinct())
+    seen, may = fresh, labels
+    while not (fresh.isEmpty() and labels.isEmpty()):
+        came, back = fresh.withColumnRenamed("node", "from"), may.withColumnRenamed("label", "callee")
+        opened = gates.join(labels.withColumnRenamed("label", "callee"), "callee", "left_semi")  # by what has just been found to return
+        moved = steps.join(came, "from", "left_semi").select("to").unionByName(gates.join(came, "from", "left_semi").join(back, "callee", "left_semi").select("to"))
+        moved = moved.unionByName(opened.where("from IS NULL").select("to")).unionByName(opened.join(seen.withColumnRenamed("node", "from"), "from", "left_semi").select("to"))
+        done = ends.join(fresh, "node", "left_semi").select("label").distinct().join(may, "label", "left_anti")
+        fresh, labels = written(moved.select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")), written(done)
+        seen, may = written(seen.unionByName(fresh)), written(may.unionByName(labels))
     called = calls.join(nodes.select(F.col("node").alias("src"), "label"), "src").select(F.col("label").alias("src"), F.col("callee").alias("dst")).distinct()
     loops_ = strong_components(called)
     self_ = called.where("src = dst").select(F.col("src").alias("label"))

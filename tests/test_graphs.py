@@ -75,3 +75,20 @@ def test_reach_equals_a_walk(spark):
         going += fresh
     rows = loops.reached(spark.createDataFrame(pairs, "src int, dst int"), spark.createDataFrame([(3,), (11,)], "node int")).collect()
     assert sorted(r.node for r in rows) == sorted(found)
+
+
+def test_what_returns_is_found_without_starting_over_for_each_nested_call(spark, monkeypatch):
+    """Twelve labels that call the next one, the last of which returns; one that calls itself, two by way of each other, one that a plain way passes by, and a return without a label."""
+    names = ["a", "b", "c", "d", "f", "g", "h", "i", "j", "k", "l", "m"]
+    nodes = [(f"{n}{part}", n, kind) for n in [*names, "x", "y", "z", "w"] for part, kind in ((0, "entry"), (1, "other"), (2, "other"), (3, "return"))]
+    edges = [(f"{n}{i}", f"{n}{i + 1}") for n in [*names, "x", "y", "z", "w"] for i in (0, 2)] + [("m1", "m2"), ("w1", "w2"), ("w1", "w1")]
+    calls = [(f"{n}1", f"{n}2", after) for n, after in zip(names, names[1:], strict=False)] + [("x1", "x2", "x"), ("y1", "y2", "z"), ("z1", "z2", "y"), ("w1", "w2", "x")]
+    rounds, written = [], loops.written
+    monkeypatch.setattr(loops, "written", lambda df: rounds.append(1) or written(df))
+    rows = graphs.procedure_summary(
+        spark.createDataFrame([*nodes, ("m3", None, "return")], "node string, label string, kind string"), spark.createDataFrame(edges, "src string, dst string"),
+        spark.createDataFrame(calls, "src string, dst string, callee string"),
+    ).collect()
+    found = {r.label: (r.may_return, r.recursive) for r in rows}
+    assert found == {n: (True, False) for n in names} | {"x": (False, True), "y": (False, True), "z": (False, True), "w": (True, False)}
+    assert len(rounds) < 40
