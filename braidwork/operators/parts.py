@@ -46,7 +46,7 @@ def each(rows: DataFrame, solve: Callable[[list[tuple]], list[tuple]], result: d
     """What ``solve`` makes of each part's rows, tuples of tag, src, dst and what else there is; of ``result`` columns, ``node`` stands for the type of src."""
     columns = ["graph", "tag", "src", "dst", *[c for c in rows.columns if c not in ("graph", "tag", "src", "dst")]]
     node = rows.schema["src"].dataType.simpleString()
-    arrow = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, done = None, []

@@ -1,6 +1,9 @@
 import random
 
-from braidwork.operators import guards
+from pyspark.sql import functions as F
+
+from braidwork.operators import guards, parts
+from braidwork.plans import dominance_queries
 
 RANK = {"proven": 1, "possible": 2, "unresolved": 3}
 
@@ -59,6 +62,48 @@ def test_guard_states_against_single_steps(spark):
     assert few.keys() == {e[0] for e in expected} and all(len(v) == 1 for v in few.values())
 
 
+def _some_parts(spark):
+    r = random.Random(5)
+    nodes, edges, status, members, roots = [], [], [], [], []
+    for k in range(12):
+        n = r.choice([5, 9, 12])
+        nodes += [(k, k * 100 + i, r.choice(["a", "b", None]) if k % 2 else "a") for i in range(n)]
+        edges += [(k, k * 100 + i, k * 100 + i + 1, None, r.random() < 0.2) for i in range(n - 1)]
+        edges += [(k, k * 100 + r.randrange(n), k * 100 + r.randrange(n), r.choice([None, f"g{k}.{r.randrange(3)}"]), r.random() < 0.3) for _ in range(5)]
+        status += [(k, f"g{k}.{g}", r.choice(["proven", "possible", "unresolved"])) for g in range(2)]  # the third is not known
+        members += [(k, f"g{k}.{r.randrange(3)}", k * 100 + r.randrange(n)) for _ in range(2 * n)]
+        roots += [(k, k * 100), (k, k * 100 + 50)]
+    frame = spark.createDataFrame
+    return [frame(nodes, "graph long, node long, label string"), frame(edges, "graph long, src long, dst long, guard string, enters boolean"), frame(status, "graph long, guard string, status string"), frame(members, "graph long, guard string, node long"), frame(roots, "graph long, node long")]
+
+
+def test_small_parts_have_the_states_of_the_rounds_in_a_few_jobs(spark):
+    """Each round ranked and wrote all states found, of all graphs."""
+    tables = _some_parts(spark)
+    shown = lambda found: sorted(((x.node, [tuple(g) for g in x.guards], x.status) for x in found.collect()), key=str)
+    for most in (2, 1000):
+        spark.sparkContext.setJobGroup(f"guards{most}", "parts")
+        small = shown(guards.guard_states(*tables, most=most))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"guards{most}"))
+        spark.sparkContext.setJobGroup("rest", "")
+        assert small == shown(guards.guard_states(*[t.drop("graph") for t in tables], most=most))
+        assert jobs <= 20
+
+
+def test_parts_that_are_not_small_have_the_same_states(spark, monkeypatch):
+    tables = _some_parts(spark)
+    small = sorted(map(str, guards.guard_states(*tables).collect()))
+    monkeypatch.setattr(parts, "MOST_ROWS", 55)
+    assert sorted(map(str, guards.guard_states(*tables).collect())) == small
+
+
+def test_guards_of_a_customer_of_a_thousand_orders(spark):
+    keys = [3 * j for j in range(1001)] + [3004, 3007, 3010]
+    orders = spark.createDataFrame([(k, 1, "O") for k in keys] + [(9001, None, "O"), (9004, None, "O")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    found = {(x.node, x.guards, x.status) for x in dominance_queries.guarded_orders(spark, lambda name: orders).where(F.col("node") > 2999).collect()}
+    assert found == {(3000, "", "none"), (3004, "", "none"), (3007, "", "none"), (3010, "", "none"), (3010, "1001", "unresolved"), (9001, "", "none")}
+
+
 def test_a_long_line_with_a_loop_ends(spark):
     n = 3000
     nodes = [(f"n{i:05d}", "a") for i in range(n)]
