@@ -49,10 +49,12 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     """postings(key, id) -> (key, id) of keys with two ids or more. Written.
 
     Rows are dealt and sorted by key; a pass over them in order tells which keys
-    repeat, so a key of any size takes no more memory than one of two.
+    repeat, so a key of any size takes no more memory than one of two. The key
+    stands last while rows are dealt: the empty bytes of a short one and those
+    that begin the next row are compressed together.
     """
-    rows = postings.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
-    return written(rows.mapInArrow(_repeated, "key long, id long"), name="postings", release=True)
+    rows = postings.select("id", "key").repartition("key").sortWithinPartitions("key", "id")
+    return written(rows.select("key", "id").mapInArrow(_repeated, "key long, id long"), name="postings", release=True)
 
 
 def with_hubs(held: DataFrame, weights: DataFrame) -> DataFrame:
