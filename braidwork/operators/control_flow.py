@@ -20,65 +20,76 @@ NO_NODE = ("caption", "set")
 OPEN_REASONS = ("unsupported_control_flow", "creator_or_unsupported_block", "interactive_screen_call")
 
 
-def entries(statements: DataFrame) -> DataFrame:
-    """The nodes that control may enter, one a statement and one an ``if``: statements with ``node`` and ``next``, the node that follows.
+def _at(column, role: str):
+    """The node of a line's role."""
+    return F.concat(F.col(column).cast("string"), F.lit(f":{role}"))
 
-    The last of a block goes where its block's owner says: an arm to its merge,
-    a label to what follows the label; labels in labels are followed up.
+
+def laid(statements: DataFrame) -> DataFrame:
+    """Nodes in their blocks: (path, at, place, node, kind, meet, open, target, next).
+
+    A row with a ``place`` is a node that control may enter, one a statement and one
+    an ``if``, that stands there in the block of line ``at``; ``next`` follows it. One
+    without heads the block of ``at``, a label, choice or branch; ``next`` is the
+    block's first node, ``meet`` the line whose arms meet where the block ends.
+    Both lie side by side, so one sort of slim rows tells all of it. The last node of a
+    label's block goes on where the label does, see ``settled``.
     """
     rows = statements.where(~F.col("kind").isin(*NO_NODE))
-    chain = rows.where("kind = 'branch' AND chain = stmt").withColumn("kind", F.lit("if")).withColumn("node", F.concat(F.col("stmt").cast("string"), F.lit(":if")))
-    arms = rows.where("kind IN ('branch', 'choice')").withColumn("node", F.col("stmt").cast("string"))
-    plain = rows.where("kind NOT IN ('branch', 'choice')").withColumn("node", F.col("stmt").cast("string")).unionByName(chain)
-    order = W.partitionBy("path", "parent").orderBy("stmt")
-    plain = plain.withColumn("next", F.lead("node").over(order))
-    owner = rows.select("path", F.col("stmt").alias("parent"), F.col("kind").alias("owner_kind"), F.col("chain").alias("owner_chain"), F.col("parent").alias("owner_parent"))
-    plain = plain.join(owner.hint("merge"), ["path", "parent"], "left")
-    merge = F.when(F.col("owner_kind") == "choice", F.concat(F.col("owner_parent").cast("string"), F.lit(":merge"))).when(F.col("owner_kind") == "branch", F.concat(F.col("owner_chain").cast("string"), F.lit(":merge")))
-    plain = plain.withColumn("next", F.coalesce("next", merge, F.when(F.col("parent").isNull(), F.lit("end"))))
-    plain = plain.withColumn("up", F.when(F.col("next").isNull(), F.col("parent")))
-    labels = plain.where("kind = 'label'").select("path", F.col("stmt").alias("up"), F.col("next").alias("label_next"), F.col("up").alias("label_up"))
-    plain = written(plain)
-    lasts = plain.where("next IS NULL")  # of a label's block; only these look at the label
-    for _ in range(plain.where("kind = 'label' AND parent IS NOT NULL").select("label").distinct().count() + 1):  # labels nested in labels: a level a round
-        lasts = lasts.join(labels.hint("merge"), ["path", "up"], "left").withColumn("next", F.coalesce("next", "label_next")).withColumn("up", F.when(F.col("next").isNull(), F.col("label_up"))).drop("label_next", "label_up")
-        if lasts.where("next IS NULL").isEmpty():
+    kind, none = F.col("kind"), F.lit(None)
+    is_if = F.coalesce((kind == "branch") & (F.col("chain") == F.col("stmt")), F.lit(False))
+    open_ = F.coalesce(F.col("reason").isin(*OPEN_REASONS), F.lit(False)).alias("open")
+    target = F.when(kind == "call", F.col("target")).alias("target")
+    node = F.when(is_if, _at("stmt", "if")).otherwise(F.col("stmt").cast("string"))
+    inside = F.struct(F.col("parent").alias("at"), F.col("stmt").alias("place"), node.alias("node"), F.when(is_if, "if").otherwise(kind).alias("kind"), none.cast("long").alias("meet"), open_, target)
+    meet = F.when(kind == "choice", F.col("parent")).when(kind == "branch", F.col("chain"))
+    heads = F.struct(F.col("stmt").alias("at"), none.cast("long").alias("place"), none.cast("string").alias("node"), kind.alias("kind"), meet.alias("meet"), open_, none.cast("string").alias("target"))
+    both = F.when((kind == "label") | is_if, F.array(heads, inside)).when(kind.isin("choice", "branch"), F.array(heads)).otherwise(F.array(inside))
+    block = W.partitionBy("path", "at").orderBy("place")  # the head first
+    shown = rows.select("path", F.explode(both).alias("e")).select("path", "e.*").withColumn("next", F.lead("node").over(block)).withColumn("over", F.first("meet").over(block.rowsBetween(W.unboundedPreceding, 0)))
+    following = F.when(F.col("place").isNull(), F.col("next")).otherwise(F.coalesce("next", _at("over", "merge"), F.when(F.col("at").isNull(), "end")))
+    return shown.withColumn("next", following).drop("over")
+
+
+def settled(nodes: DataFrame) -> DataFrame:
+    """``laid`` rows whose ends of labels' blocks, and labels without a block, go where the label goes on; labels in labels are followed up by doubling."""
+    labels = nodes.where("place IS NOT NULL AND kind = 'label'").select("path", F.col("place").alias("at"), F.col("next").alias("then"), F.when(F.col("next").isNull(), F.col("at")).alias("up"))
+    for _ in range(64):
+        if labels.where("up IS NOT NULL").isEmpty():
             break
-    plain = plain.where("next IS NOT NULL").unionByName(lasts)
-    return plain.drop("owner_kind", "owner_chain", "owner_parent", "up").unionByName(arms.withColumn("next", F.lit(None).cast("string")))
+        ahead = labels.select("path", F.col("at").alias("up"), F.col("then").alias("t"), F.col("up").alias("u"))
+        labels = written(labels.join(ahead.hint("merge"), ["path", "up"], "left").select("path", "at", F.coalesce("then", "t").alias("then"), F.when(F.col("then").isNull(), F.col("u")).alias("up")))
+    ends = F.col("next").isNull() & (F.col("place").isNotNull() | (F.col("kind") == "label"))
+    led = nodes.where(ends).join(labels.drop("up").hint("merge"), ["path", "at"], "left").withColumn("next", F.col("then")).drop("then")
+    return nodes.where(~ends).unionByName(led)
 
 
 def edges(statements: DataFrame) -> DataFrame:
     """(path, src, dst_path, dst, kind) of one script's or many scripts' statements, labels being known across files."""
-    slim = statements.select("path", "stmt", "parent", "kind", "label", "target", F.when(F.col("condition").isNotNull(), F.lit("")).alias("condition"), "reason", "chain")  # texts take no part
-    nodes = written(entries(slim))
-    first = nodes.where("kind NOT IN ('branch', 'choice')").groupBy("path", F.col("parent").alias("stmt")).agg(F.min_by("node", "stmt").alias("body"))
-    heads = F.col("kind").isin("label", "choice", "branch")  # kinds that ask for their body; an ``if`` asks for its else
-    asking = nodes.where(heads).join(first.hint("merge"), ["path", "stmt"], "left")
-    merge = F.concat(F.coalesce("chain", "stmt").cast("string"), F.lit(":merge"))
-    owner = F.when(F.col("kind") == "choice", F.concat(F.col("parent").cast("string"), F.lit(":merge"))).otherwise(merge)
-    step = lambda when, dst, kind, src=F.col("node"): F.when(when, F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind")))
-    is_ = lambda *kinds: F.col("kind").isin(*kinds)
-    has_else = nodes.where("kind = 'branch'").groupBy("path", "chain").agg(F.bool_or(F.col("condition").isNull()).alias("has_else"))
-    chained = nodes.where(is_("if")).join(has_else.hint("merge"), ["path", "chain"], "left")
-    rows = nodes.where(~heads & ~is_("if")).unionByName(asking, allowMissingColumns=True).unionByName(chained, allowMissingColumns=True)
-    found = F.array_compact(F.array(
-        step(~is_("label", "menu", "choice", "branch", "if", "jump", "call", "return"), F.col("next"), "fallthrough"),
-        step(is_("call"), F.col("next"), "call_continuation"),
-        step(is_("label"), F.coalesce("body", "next"), "label_entry"),
-        step(is_("menu", "if"), F.col("next"), "fallthrough", merge),
-        step(is_("menu"), merge, "menu_no_choice"),
-        step(is_("choice"), F.col("node"), "menu_choice", F.col("parent").cast("string")),
-        step(is_("choice"), F.coalesce("body", owner), "choice_body"),
-        step(is_("branch"), F.col("node"), "condition", F.concat(F.col("chain").cast("string"), F.lit(":if"))),
-        step(is_("branch"), F.coalesce("body", owner), "branch_body"),
-        step(is_("if") & ~F.coalesce("has_else", F.lit(False)), merge, "condition_false"),
-        step(F.col("reason").isin(*OPEN_REASONS), F.concat("node", F.lit(":unresolved")), "unresolved_behavior"),
-    ))
-    local = rows.select("path", F.explode(found).alias("e")).select("path", "e.src", F.col("path").alias("dst_path"), "e.dst", "e.kind")
-    moved = transfers(statements)
-    back = returns(statements, nodes)
-    return local.unionByName(moved).unionByName(back)
+    nodes = settled(written(laid(statements)))
+    step = lambda src, dst, kind: F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+    kind, node, following, line = F.col("kind"), F.col("node"), F.col("next"), F.col("at").cast("string")
+    owner = F.concat(F.coalesce("meet", "at").cast("string"), F.lit(":merge"))
+    heads = (
+        F.when(kind == "label", F.array(step(line, following, "label_entry")))
+        .when(kind == "choice", F.array(step(F.col("meet").cast("string"), line, "menu_choice"), step(line, F.coalesce(following, _at("meet", "merge")), "choice_body")))
+        .otherwise(F.array(step(_at("meet", "if"), line, "condition"), step(line, F.coalesce(following, owner), "branch_body")))
+    )
+    after = step(_at("place", "merge"), following, "fallthrough")
+    inside = (
+        F.when(kind == "call", F.array(step(node, following, "call_continuation")))
+        .when(kind == "menu", F.array(after, step(node, _at("place", "merge"), "menu_no_choice")))
+        .when(kind == "if", F.array(after))
+        .when(~kind.isin("label", "jump", "return"), F.array(step(node, following, "fallthrough")))
+    )
+    found = F.when(F.col("place").isNull(), heads).otherwise(inside)
+    named = F.coalesce(node, line)
+    lost = F.when(F.col("open") & (F.col("place").isNotNull() | (kind != "label")), F.array(step(named, F.concat(named, F.lit(":unresolved")), "unresolved_behavior")))
+    found = F.when(lost.isNull(), found).when(found.isNull(), lost).otherwise(F.concat(found, lost))
+    local = nodes.select("path", F.explode(found).alias("e")).select("path", "e.src", F.col("path").alias("dst_path"), "e.dst", "e.kind")
+    chains = statements.where("kind = 'branch'").groupBy("path", "chain").agg(F.bool_and(F.col("condition").isNotNull()).alias("tested"), F.bool_or(F.col("chain") == F.col("stmt")).alias("begun"))
+    skipped = chains.where("tested AND begun").select("path", _at("chain", "if").alias("src"), F.col("path").alias("dst_path"), _at("chain", "merge").alias("dst"), F.lit("condition_false").alias("kind"))
+    return local.unionByName(skipped).unionByName(transfers(statements)).unionByName(returns(statements, nodes))
 
 
 def labels(statements: DataFrame) -> DataFrame:
@@ -104,7 +115,7 @@ def transfers(statements: DataFrame) -> DataFrame:
 
 def returns(statements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges from each return under a called label to what follows each of its calls."""
-    sites = nodes.where("kind = 'call' AND target IS NOT NULL").select(F.col("target").alias("label"), F.col("path").alias("dst_path"), F.col("next").alias("dst")).distinct()
+    sites = nodes.where("target IS NOT NULL").select(F.col("target").alias("label"), F.col("path").alias("dst_path"), F.col("next").alias("dst")).distinct()
     return statements.where("kind = 'return'").select("path", F.col("stmt").cast("string").alias("src"), "label").join(sites.hint("merge"), "label").select("path", "src", "dst_path", "dst", F.lit("return").alias("kind")).distinct()
 
 

@@ -9,7 +9,7 @@ the parts of the logical line at hand and the stack of indents, nothing else.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,6 +26,10 @@ _CLOSES = {
     '"""': re.compile(r'(?:[^\\"]++|\\.|"(?!""))*+"""', re.DOTALL),
 }
 
+#: A line that leaves nothing open, up to its comment: outside a quote, quotes that end, and brackets around such. Fixed value.
+_WITHIN = r"""[^'"#()\[\]{}]++|"(?!"")(?:[^"\\]++|\\.)*+"|'(?!'')(?:[^'\\]++|\\.)*+'"""
+_CLOSED = re.compile(rf"([ \t]*+)((?:{_WITHIN}|[(\[{{](?:{_WITHIN})*+[)\]}}])*+)(?:#|\Z)", re.DOTALL)
+
 
 @dataclass
 class Open:
@@ -79,6 +83,13 @@ class File:
     def line(self, number: int, text: str) -> tuple | None:
         """The logical line that ends here, if one does."""
         text = text.rstrip("\r\n")
+        if not self.parts and (closed := _CLOSED.match(text)):  # most lines; the others go by quotes and brackets
+            lead, code = closed.groups()
+            code = code.rstrip()
+            if not code:
+                return None
+            if code[-1] != "\\" and len(code) < MOST_CHARS:
+                return self._placed(number, number, lead, code, None)
         content = text.lstrip() if self.parts else text.lstrip(" \t")
         if not self.parts:
             self.start, self.lead = number, text[: len(text) - len(content)]
@@ -93,43 +104,61 @@ class File:
 
     def finished(self, fault: str | None) -> tuple | None:
         """The row of the logical line at hand: (path, start_line, end_line, indent, code, tab_indent, parent, fault)."""
-        code, indent = "\n".join(self.parts).rstrip(), len(self.lead)
+        code = "\n".join(self.parts).rstrip()
         fault = "too_long" if self.size > MOST_CHARS else fault
         self.open, self.parts, self.size = Open(), [], 0
-        if not code:
-            return None
-        while self.above and self.above[-1][0] >= indent:
-            self.above.pop()
-        parent = self.above[-1][1] if self.above else None
-        self.above.append((indent, self.start))
-        return self.path, self.start, self.end, indent, code, "\t" in self.lead, parent, fault
+        return self._placed(self.start, self.end, self.lead, code, fault) if code else None
+
+    def _placed(self, start: int, end: int, lead: str, code: str, fault: str | None) -> tuple:
+        """The row of a logical line, and its place under those above it."""
+        indent, above = len(lead), self.above
+        while above and above[-1][0] >= indent:
+            above.pop()
+        parent = above[-1][1] if above else None
+        above.append((indent, start))
+        return self.path, start, end, indent, code, "\t" in lead, parent, fault
 
     def last(self) -> tuple | None:
         """What is left at the end of the file: with a quote or bracket open, a fault."""
         return self.finished("unterminated" if self.open.quote or self.open.brackets else None) if self.parts else None
 
 
-_COLUMNS = {"path": pa.string(), "start_line": pa.int64(), "end_line": pa.int64(), "indent": pa.int32(), "code": pa.string(), "tab_indent": pa.bool_(), "parent": pa.int64(), "fault": pa.string()}
+#: The columns of logical lines. Fixed value.
+COLUMNS = {"path": pa.string(), "start_line": pa.int64(), "end_line": pa.int64(), "indent": pa.int32(), "code": pa.string(), "tab_indent": pa.bool_(), "parent": pa.int64(), "fault": pa.string()}
+
+_SQL_NAMES = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean"}
+
+
+def _rows(found: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    values = list(zip(*found, strict=True)) if found else [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(values, columns.values(), strict=True)], names=list(columns))
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()  # the same; without nulls it is several times faster
 
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else [()] * len(_COLUMNS)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COLUMNS.values(), strict=True)], names=list(_COLUMNS))
+def scanned(lines: DataFrame, columns: dict[str, pa.DataType], reader: Callable[[], Callable[[tuple], tuple | None]] | None = None) -> DataFrame:
+    """lines(path, line_no, line) -> rows of ``columns``: the logical lines, or what ``reader``, made anew for each file, gives for each in order; None gives no row."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = read = None
+        for batch in batches:
+            found = []
+            for path, number, text in zip(*map(_values, batch.columns), strict=True):
+                if file is None or path != file.path:
+                    if file and (row := file.last()):
+                        found.append(read(row) if read else row)
+                    file, read = File(path), reader and reader()
+                if row := file.line(number, text or ""):
+                    found.append(read(row) if read else row)
+            yield _rows([x for x in found if x], columns)
+        if file and (row := file.last()) and (left := read(row) if read else row):
+            yield _rows([left], columns)
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines in order -> logical lines in order."""
-    file = None
-    for batch in batches:
-        found = []
-        for path, number, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if file is None or path != file.path:
-                found.append(file and file.last())
-                file = File(path)
-            found.append(file.line(number, text or ""))
-        yield _rows([x for x in found if x])
-    if file and (left := file.last()):
-        yield _rows([left])
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small files of much text are not put into few tasks
+    dealt = lines.select("path", "line_no", "line").repartition(parts, "path").sortWithinPartitions("path", "line_no")
+    return dealt.mapInArrow(scan, ", ".join(f"{name} {_SQL_NAMES[kind]}" for name, kind in columns.items()))
 
 
 def logical_lines(lines: DataFrame) -> DataFrame:
@@ -141,5 +170,4 @@ def logical_lines(lines: DataFrame) -> DataFrame:
     left, null at the left edge. fault: ``unterminated`` where the file ends with a
     quote or bracket open, ``too_long`` beyond ``MOST_CHARS``, else null. A null line is empty.
     """
-    dealt = lines.select("path", "line_no", "line").repartition("path").sortWithinPartitions("path", "line_no")
-    return dealt.mapInArrow(_scanned, "path string, start_line long, end_line long, indent int, code string, tab_indent boolean, parent long, fault string")
+    return scanned(lines, COLUMNS)

@@ -1,15 +1,18 @@
 """Logical lines of scripts as statement rows: blocks by indentation, and what each statement is.
 
-Files are independent, so all windows are partitioned by ``path``.
+Files are independent: what a line stands under is carried on in the scan that reads its file, so no row is sorted or looked up again.
 """
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from braidwork.operators.lexing import logical_lines
+from braidwork.operators.lexing import logical_lines, scanned
 
 #: Statement words that stand for themselves. Fixed values.
 PLAIN = ("scene", "show", "hide", "play", "stop", "queue", "voice", "with", "pause", "pass", "window")
@@ -33,47 +36,96 @@ def head(text: Column) -> tuple[Column, Column]:
 
 def without_colon(text: Column) -> Column:
     """A block header without its last colon; null where it has none."""
-    return F.when(F.rtrim(text).endswith(":"), F.rtrim(F.regexp_replace(F.rtrim(text), ":$", "")))
+    bare = F.rtrim(text)
+    return F.when(bare.endswith(":"), F.rtrim(F.substring(bare, F.lit(1), F.length(bare) - 1)))
 
 
 def literal_value(literal: Column) -> Column:
     """What a quoted literal says: without its quotes, with simple escapes resolved."""
-    body = F.regexp_replace(literal, r"(?s)^(?:\"{3}(.*)\"{3}|'{3}(.*)'{3}|\"(.*)\"|'(.*)')$", "$1$2$3$4")
-    body = F.replace(body, F.lit("\\\\"), F.lit("\x01"))
+    triple = literal.startswith('"""') | literal.startswith("'''")
+    body = F.when(triple, F.substring(literal, F.lit(4), F.length(literal) - 6)).otherwise(F.substring(literal, F.lit(2), F.length(literal) - 2))
+    said = F.replace(body, F.lit("\\\\"), F.lit("\x01"))
     for char, value in _ESCAPES:
-        body = F.replace(body, F.lit(f"\\{char}"), F.lit(value))
-    return F.replace(body, F.lit("\x01"), F.lit("\\"))
-
+        said = F.replace(said, F.lit(f"\\{char}"), F.lit(value))
+    return F.when(literal.contains("\\"), F.replace(said, F.lit("\x01"), F.lit("\\"))).otherwise(body)
 
-def local_name(name: Column, current: Column) -> Column:
-    """``.x`` is ``x`` of the current global label, other names are their own."""
-    return F.when(name.startswith("."), F.concat(F.coalesce(current, F.lit("")), name)).otherwise(name)
 
-
-def choice_header(text: Column) -> tuple[Column, Column]:
-    """(caption, condition) of ``"caption":`` or ``"caption" if condition:``; null where the line is no choice."""
-    body = without_colon(text)
+def with_choice(rows: DataFrame, text: str, in_menu: Column) -> DataFrame:
+    """``rows`` with ``caption`` and ``choice_condition`` of ``"caption":`` or ``"caption" if condition:`` in a menu; null where the line is no choice."""
     pattern = rf"^\s*({_QUOTED})\s*(?:if\b\s*((?s:.+)))?$"
-    fits = body.rlike(pattern)
-    condition = F.nullif(F.trim(F.regexp_extract(body, pattern, 2)), F.lit(""))
-    return F.when(fits, literal_value(F.regexp_extract(body, pattern, 1))), F.when(fits, condition)
-
-
-def _looked_up(rows: DataFrame, key: str, name: str, *found: Column) -> DataFrame:
-    """``rows`` with the columns ``found`` of the line of the same file that begins at ``key``, one with ``heads``; nulls where there is none.
-
-    Such a line stands once for itself, each line once for what it asks for, side by side in the order of lines. No
-    table goes to the driver or is dealt anew: rows stay where their file is.
-    """
-    others = [c for c in rows.columns if c != "path"]
-    kinds = rows.select(F.struct(*found).alias("found"), F.struct(*others).alias("row")).schema
-    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in kinds}
-    own = F.struct(F.col("start_line").alias("at"), F.struct(*found).alias("found"), none["row"])
-    asks = F.struct(F.col(key).alias("at"), none["found"], F.struct(*others).alias("row"))
-    both = rows.select("path", F.explode(F.when(F.col("heads"), F.array(own, asks)).otherwise(F.array(asks))).alias("e")).select("path", "e.*")
-    here = W.partitionBy("path", "at").orderBy(F.col("row").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    met = both.withColumn(name, F.when(F.col("at").isNotNull(), F.first("found").over(here))).where("row IS NOT NULL")
-    return met.select("path", "row.*", f"{name}.*")
+    rows = rows.withColumn("choice", F.when(in_menu, without_colon(F.col(text))))
+    rows = rows.withColumn("literal", F.when(F.col("choice").isNotNull(), F.nullif(F.regexp_extract("choice", pattern, 1), F.lit(""))))
+    condition = F.when(F.col("literal").isNotNull() & F.col("choice").contains("if"), F.nullif(F.trim(F.regexp_extract("choice", pattern, 2)), F.lit("")))
+    return rows.withColumn("choice_condition", condition).withColumn("caption", F.when(F.col("literal").isNotNull(), literal_value(F.col("literal")))).drop("choice", "literal")
+
+
+#: A line's first word, ``$`` for one; and the name after it. Fixed values.
+_WORD, _NAME = re.compile(r"\$|\w*"), re.compile(r"(?:label|jump|call)(?!\w) *([\w.]+)")
+
+#: Words of lines whose blocks hold statements. Fixed values.
+_HOLDING = ("menu", "if", "elif", "else")
+
+#: What ``_Blocks`` gives of each line. Fixed value.
+_PLACED = {
+    "path": pa.string(), "stmt": pa.int64(), "end_line": pa.int64(), "code": pa.string(), "word": pa.string(), "named": pa.string(), "label": pa.string(), "parent": pa.int64(),
+    "in_menu": pa.bool_(), "ordinal": pa.int32(), "if_at": pa.int64(),
+}
+
+
+@dataclass(slots=True)
+class _Block:
+    """A line that others may stand under, and what is known of those that do."""
+
+    indent: int = -1
+    start: int | None = None
+    word: str | None = None  # null at the top of a file and for a faulty line
+    is_label: bool = False
+    over: str | None = None  # the word of the block that it stands in
+    rows: int = 0
+    if_at: int | None = None
+    flat: _Block | None = None  # the label whose block goes on beside it
+
+
+class _Blocks:
+    """Logical lines of a file, one after the other -> rows of ``_PLACED`` of those that are reached from a label: what they stand under."""
+
+    def __init__(self):
+        self.open, self.last, self.current, self.label = [_Block()], None, None, None
+
+    def __call__(self, line: tuple) -> tuple | None:
+        path, start, end, indent, code, _, _, fault = line
+        word = None if fault else _WORD.match(code).group()
+        if self.last and not fault:  # the line before was a label
+            label, beside = self.last
+            beside.flat = label if indent == label.indent and word != "label" and label.start > 0 else None
+            self.last = None
+        while self.open[-1].indent >= indent:
+            self.open.pop()
+        under = beside = self.open[-1]
+        if fault:
+            self.open.append(_Block(indent, start))
+            return None
+        named = own.group(1) if word in ("label", "jump", "call") and (own := _NAME.match(code)) else None
+        is_label = bool(word == "label" and named and code[-1] == ":")
+        if under.flat and not is_label:
+            under = under.flat
+        here = _Block(indent, start, word, is_label, under.word)
+        self.open.append(here)
+        if is_label:
+            self.last = here, beside
+            if named[0] != ".":
+                self.current = named
+        if named and named[0] == ".":
+            named = (self.current or "") + named
+        if is_label:
+            self.label = named
+        held = is_label if under.start is None else under.is_label or under.word in _HOLDING or under.over == "menu"
+        if not held or self.label is None:
+            return None
+        under.rows += 1
+        if word == "if":
+            under.if_at = start
+        return path, start, end, code, word, named, self.label, under.start, under.word == "menu", under.rows - 1, under.if_at
 
 
 def statements(lines: DataFrame) -> DataFrame:
@@ -89,58 +141,35 @@ def statements(lines: DataFrame) -> DataFrame:
     ``chain`` is the line of that ``if``. Statements at the indent of a label
     right after it are its block, up to the next label.
     """
-    spark = lines.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small files of much text are not put into few tasks, whose sorts would spill
-    rows = logical_lines(lines).where("fault IS NULL").drop("tab_indent", "fault").repartition(parts, "path")
-    word, tail = head(F.col("code"))
-    rows = rows.withColumn("word", word).withColumn("tail", tail).withColumn("opens", without_colon(F.col("code")).isNotNull())
-    w = W.partitionBy("path").orderBy("start_line").rowsBetween(W.unboundedPreceding, 0)
-    own = F.regexp_extract("tail", r"^([\p{L}\p{N}_.]+)", 1)
-    is_label = (F.col("word") == "label") & F.col("opens") & (own != "")
-    rows = rows.withColumn("own", own).withColumn("is_label", is_label)
-    follows = W.partitionBy("path").orderBy("start_line")
-    flat = F.col("is_label") & (F.lead("indent").over(follows) == F.col("indent")) & (F.lead("word").over(follows) != "label")
-    beside = W.partitionBy("path", "parent").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1)
-    flat_label = F.last(F.when(F.col("is_label"), F.when(F.col("flat"), F.col("start_line")).otherwise(-1)), ignorenulls=True).over(beside)
-    rows = rows.withColumn("heads", F.coalesce(flat | (F.lead("indent").over(follows) > F.col("indent")), F.lit(False)))  # lines that may be the parent of others
-    rows = rows.withColumn("flat", F.coalesce(flat, F.lit(False))).withColumn("flat_label", flat_label)
-    rows = rows.withColumn("parent", F.when(~F.col("is_label") & (F.col("flat_label") > 0), F.col("flat_label")).otherwise(F.col("parent")))
-    current = F.last(F.when(F.col("is_label") & ~F.col("own").startswith("."), F.col("own")), ignorenulls=True).over(w)
-    rows = rows.withColumn("current", current).withColumn("label", F.last(F.when(F.col("is_label"), local_name(F.col("own"), current)), ignorenulls=True).over(w))
-    rows = rows.drop("indent", "tail", "flat", "flat_label")
-    rows = _looked_up(rows, "parent", "over", F.col("word").alias("above"), F.col("opens").alias("above_opens"), F.col("is_label").alias("above_label"), F.col("parent").alias("grand"))
-    rows = _looked_up(rows, "grand", "over", F.col("word").alias("grand_word"))
-    rows = rows.drop("heads").withColumn("tail", tail)
-    caption, condition = choice_header(F.col("code"))
-    in_menu = F.coalesce(F.col("above") == "menu", F.lit(False))
-    rows = rows.withColumn("caption", F.when(in_menu, caption)).withColumn("choice_condition", F.when(in_menu, condition))
-    dynamic = F.regexp_extract("tail", r"^expression\s*(.*)$", 1)
+    rows = scanned(lines, _PLACED, _Blocks)
+    trimmed = F.trim(F.substring("code", F.length("word") + 1, F.length("code")))
+    rows = rows.withColumn("tail", trimmed).withColumn("opens", F.col("code").endswith(":"))
+    in_menu = F.col("in_menu")
+    rows = with_choice(rows, "code", in_menu)
     screen = (F.col("word") == "call") & F.col("tail").rlike(r"^screen\b")
-    transfer = F.col("word").isin("jump", "call") & ~screen
+    rows = rows.withColumn("transfer", F.col("word").isin("jump", "call") & ~screen)
+    rows = rows.withColumn("dynamic", F.when(F.col("transfer"), F.when(F.col("tail").startswith("expression"), F.regexp_extract("tail", r"^expression\s*(.*)$", 1)).otherwise("")))
+    transfer, dynamic = F.col("transfer"), F.col("dynamic")
     kind = (
-        F.when(F.col("is_label"), "label")
+        F.when((F.col("word") == "label") & F.col("opens") & F.col("named").isNotNull(), "label")
         .when(in_menu, F.when(F.col("caption").isNotNull(), "choice").when(F.col("word") == "set", "set").otherwise("caption"))
         .when(transfer, F.col("word"))
         .when(F.col("word") == "return", "return")
         .when(F.col("word").isin("if", "elif", "else"), "branch")
         .when(F.col("word") == "menu", "menu")
-        .when(screen | F.col("word").isin("python", "$", "init") | F.col("opens"), "opaque")
+        .when(F.col("word").isin("call", "python", "$", "init") | F.col("opens"), "opaque")
         .when(F.col("word").isin(*PLAIN), F.col("word"))
         .otherwise("statement")
     )
     reason = F.when(F.col("kind") == "opaque", F.when(F.col("word") == "call", "interactive_screen_call").when(F.col("word").isin("python", "$", "init"), "embedded_python_not_executed").when(F.col("word").isin("while", "for"), "unsupported_control_flow").otherwise("creator_or_unsupported_block"))
-    held = F.col("parent").isNull() | F.col("above_label") | (F.col("above") == "menu") | F.col("above").isin("if", "elif", "else") | (F.col("grand_word") == "menu")
-    rows = rows.withColumn("kind", kind).withColumn("reason", reason).where(F.col("label").isNotNull() & F.coalesce(held, F.lit(False)) & (F.col("is_label") | F.col("parent").isNotNull()))
-    siblings = W.partitionBy("path", "parent").orderBy("start_line")
-    chain = F.when(F.col("kind") == "branch", F.last(F.when(F.col("word") == "if", F.col("start_line")), ignorenulls=True).over(siblings.rowsBetween(W.unboundedPreceding, 0)))
-    named = local_name(F.nullif(F.col("own"), F.lit("")), F.col("current"))
+    rows = rows.withColumn("kind", kind).withColumn("reason", reason)
     return rows.select(
-        "path", F.col("start_line").alias("stmt"), "parent", (F.row_number().over(siblings) - 1).alias("ordinal"), "kind", "label",
+        "path", "stmt", "parent", "ordinal", "kind", "label",
         F.when(F.col("kind") == "label", F.col("label")).alias("name"),
-        F.when(transfer & (dynamic == "") & (F.col("tail") != "expression"), named).alias("target"),
+        F.when(transfer & (dynamic == "") & (F.col("tail") != "expression"), F.col("named")).alias("target"),
         F.when(transfer & ((dynamic != "") | (F.col("tail") == "expression")), F.coalesce(F.nullif(dynamic, F.lit("")), F.lit("<empty expression>"))).alias("expression"),
         F.coalesce(F.col("choice_condition"), F.when((F.col("kind") == "branch") & (F.col("word") != "else"), without_colon(F.col("tail")))).alias("condition"),
-        "caption", "reason", chain.alias("chain"), "start_line", "end_line", F.col("code").alias("text"),
+        "caption", "reason", F.when(F.col("kind") == "branch", F.col("if_at")).alias("chain"), F.col("stmt").alias("start_line"), "end_line", F.col("code").alias("text"),
     )
 
 

@@ -136,3 +136,24 @@ def test_statements_and_edges_send_no_table_to_the_driver(spark):
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.stmt, r.parent, r.kind) for r in rows.collect()} == {("a", 1, None, "label"), ("a", 2, 1, "menu"), ("a", 3, 2, "choice"), ("a", 4, 3, "jump"), ("b", 1, None, "label"), ("b", 2, 1, "call"), ("b", 3, 1, "return")}
     assert "Broadcast" not in control_flow.edges(loops.written(rows))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_sorted_once_and_nodes_once(spark):
+    """Statement rows took windows in six orders, and edges looked up what stands around a node by joins of whole tables."""
+    rows = S.statements(_lines(spark))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+    plan = control_flow.laid(loops.written(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+
+
+def test_blocks_of_labels(spark):
+    text = "label a:\n    pass\n    label .in:\n        show x\n        label .deep:\n            hide x\nlabel empty:\nlabel b:\npass\nlabel .c:\nif x:\n    return\nelse:\n    jump .c\nmenu:\n    label odd:\n        pass\n    'x':\n        pass"
+    rows = {r.stmt: r for r in S.statements(_lines(spark, text)).collect()}
+    assert {k: (r.parent, r.label, r.ordinal) for k, r in rows.items()} == {
+        1: (None, "a", 0), 2: (1, "a", 0), 3: (1, "a.in", 1), 4: (3, "a.in", 0), 5: (3, "a.deep", 1), 6: (5, "a.deep", 0), 7: (None, "empty", 1), 8: (None, "b", 2), 9: (8, "b", 0), 10: (None, "b.c", 3), 11: (10, "b.c", 0),
+        12: (11, "b.c", 0), 13: (10, "b.c", 1), 14: (13, "b.c", 0), 15: (10, "b.c", 2), 16: (15, "odd", 0), 17: (16, "odd", 0), 18: (15, "odd", 1), 19: (18, "odd", 0),
+    }
+    assert rows[13].chain == 11 and rows[14].target == "b.c"
+    edges = {(r.src, r.dst, r.kind) for r in control_flow.edges(S.statements(_lines(spark, text))).collect()}
+    assert {("6", "7", "fallthrough"), ("7", "8", "label_entry"), ("8", "9", "label_entry"), ("9", "10", "fallthrough"), ("10", "11:if", "label_entry"), ("11:merge", "15", "fallthrough"), ("15:merge", "end", "fallthrough")} <= edges
