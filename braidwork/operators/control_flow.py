@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from braidwork.operators import loops, parts
 from braidwork.operators.loops import written
 
 #: Statements that are no node of their own. Fixed values.
@@ -119,6 +120,29 @@ def returns(statements: DataFrame, nodes: DataFrame) -> DataFrame:
     return statements.where("kind = 'return'").select("path", F.col("stmt").cast("string").alias("src"), "label").join(sites.hint("merge"), "label").select("path", "src", "dst_path", "dst", F.lit("return").alias("kind")).distinct()
 
 
+def reached(flow: DataFrame, roots: DataFrame) -> DataFrame:
+    """flow(path, src, dst_path, dst), roots(path, node) -> (node): what a root leads to, roots included, by names ``path/node``.
+
+    A file whose edges stay in it is worked out by itself, if it has no more than
+    ``parts.MOST_ROWS`` of them; files that edges lead out of or into, and larger ones, in rounds.
+    """
+    name = lambda path, node: F.concat_ws("/", path, node)
+    file = lambda path: F.coalesce(path, F.lit(""))
+    steps = flow.where("src IS NOT NULL AND dst IS NOT NULL").select(file("path").alias("graph"), file("dst_path").alias("other"), name("path", "src").alias("src"), name("dst_path", "dst").alias("dst"))
+    starts = roots.where("node IS NOT NULL").select(file("path").alias("graph"), name("path", "node").alias("src"))
+    rows = written(parts.tagged(steps, starts))
+    joined = rows.where("graph <> other").select(F.explode(F.array("graph", "other")).alias("graph"))
+    large = rows.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > parts.MOST_ROWS).select("graph")
+    far = written(joined.unionByName(large).distinct())
+    alone = far.isEmpty()
+    near = rows if alone else rows.join(far.hint("merge"), "graph", "left_anti")
+    found = parts.each(near.drop("other"), parts.led_to, {"node": "node"})
+    if alone:
+        return found
+    rest = written(rows.join(far.hint("merge"), "graph", "left_semi"))
+    return found.unionByName(loops.reached(rest.where("tag = 0"), rest.where("tag = 1").select(F.col("src").alias("node"))))
+
+
 def dependencies(statements: DataFrame) -> DataFrame:
     """(path, needs): files that jump or call into other files."""
     return transfers(statements).where("path <> dst_path AND kind IN ('jump', 'call')").select("path", F.col("dst_path").alias("needs")).distinct()

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from braidwork.operators.parts import values
+
 #: Characters of a logical line; of a longer one the rest is left out, and it is a fault.
 MOST_CHARS = 1 << 20
 
@@ -134,10 +136,6 @@ def _rows(found: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(values, columns.values(), strict=True)], names=list(columns))
 
 
-def _values(column: pa.Array) -> list:
-    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()  # the same; without nulls it is several times faster
-
-
 def scanned(lines: DataFrame, columns: dict[str, pa.DataType], reader: Callable[[], Callable[[tuple], tuple | None]] | None = None) -> DataFrame:
     """lines(path, line_no, line) -> rows of ``columns``: the logical lines, or what ``reader``, made anew for each file, gives for each in order; None gives no row."""
 
@@ -145,7 +143,7 @@ def scanned(lines: DataFrame, columns: dict[str, pa.DataType], reader: Callable[
         file = read = None
         for batch in batches:
             found = []
-            for path, number, text in zip(*map(_values, batch.columns), strict=True):
+            for path, number, text in zip(*map(values, batch.columns), strict=True):
                 if file is None or path != file.path:
                     if file and (row := file.last()):
                         found.append(read(row) if read else row)

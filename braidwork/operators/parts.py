@@ -65,12 +65,18 @@ def each(rows: DataFrame, solve: Callable[[list[tuple]], list[tuple]], result: d
     return dealt.mapInArrow(solved, ", ".join(f"{c} {node if t == 'node' else t}" for c, t in result.items()))
 
 
+def values(column: pa.Array) -> list:
+    """``to_pylist``, several times faster where numpy holds the same values."""
+    plain = pa.types.is_string(column.type) or (not column.null_count and pa.types.is_integer(column.type))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def _by_graph(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, list[tuple]]]:
     """Rows in order -> the type of their ids and the rows of each graph."""
     graph, held, kind = None, [], None
     for batch in batches:
         kind = batch.schema.field("src").type
-        for name, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for name, *row in zip(*map(values, batch.columns), strict=True):
             if held and name != graph:
                 yield kind, held
                 held = []
@@ -109,6 +115,11 @@ def post_order(starts: list, ahead: dict) -> list:
     return order
 
 
+def led_to(rows: list[tuple]) -> list[tuple]:
+    """Edges (tag 0) and roots (tag 1) -> (node): what a root leads to, roots included."""
+    return [(node,) for node in post_order([src for tag, src, _ in rows if tag == 1], ahead_of([row[1:3] for row in rows if row[0] == 0]))]
+
+
 def strong(rows: list[tuple]) -> list[tuple]:
     """Edges -> (node, component), the smallest node of each strong component: what reaches the nodes in reverse post-order, one after the other."""
     edges = [row[1:3] for row in rows]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as T
-from braidwork.operators import control_flow, graphs, loops, semantics, state
+from braidwork.operators import control_flow, graphs, semantics, state
 from braidwork.operators import script_rows as S
 from braidwork.operators.loops import written
 from braidwork.plans.registry import query
@@ -212,8 +212,7 @@ def _flow(statements) -> DataFrame:
 def reached_statements(spark, table):
     """What is reached from the first label of its script; ids are texts."""
     statements = _statements(table)
-    roots = statements.where("stmt = 1").select(F.concat_ws("/", "path", F.lit("1")).alias("node"))
-    return loops.reached(_flow(statements), roots)
+    return control_flow.reached(control_flow.edges(statements), statements.where("stmt = 1").select("path", F.lit("1").alias("node")))
 
 
 @query(

@@ -157,3 +157,31 @@ def test_blocks_of_labels(spark):
     assert rows[13].chain == 11 and rows[14].target == "b.c"
     edges = {(r.src, r.dst, r.kind) for r in control_flow.edges(S.statements(_lines(spark, text))).collect()}
     assert {("6", "7", "fallthrough"), ("7", "8", "label_entry"), ("8", "9", "label_entry"), ("9", "10", "fallthrough"), ("10", "11:if", "label_entry"), ("11:merge", "15", "fallthrough"), ("15:merge", "end", "fallthrough")} <= edges
+
+
+def test_reached_by_file(spark, monkeypatch):
+    """Files by themselves in a few jobs; those that edges join, and large ones, in rounds, with the same result."""
+    rng = random.Random(4)
+    flow = [(f, str(rng.randrange(9)), f, str(rng.randrange(9))) for f in "abcdefgh" for _ in range(12)]
+    crossing = [("a", str(rng.randrange(9)), "b", str(rng.randrange(9))), ("b", str(rng.randrange(9)), "c", str(rng.randrange(9))), (None, "1", "d", "2"), (None, "1", None, "7")]
+    roots = [(f, "1") for f in "acdeh"] + [(None, "1"), ("z", "1")]
+    schema = "path string, src string, dst_path string, dst string"
+
+    def expected(edges):
+        seen = set(roots)
+        while more := {(q, b) for p, a, q, b in edges if (p, a) in seen} - seen:
+            seen |= more
+        return sorted("/".join(x for x in node if x) for node in seen)
+
+    def found(edges):
+        df = control_flow.reached(spark.createDataFrame(edges, schema), spark.createDataFrame(roots, "path string, node string"))
+        return sorted(r.node for r in df.collect())
+
+    spark.sparkContext.setJobGroup("reached", "file by file")
+    assert found(flow) == expected(flow)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("reached"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs <= 15
+    assert found(flow + crossing) == expected(flow + crossing)
+    monkeypatch.setattr(control_flow.parts, "MOST_ROWS", 12)  # files with a root have a row more
+    assert found(flow) == expected(flow)
