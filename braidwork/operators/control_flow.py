@@ -93,10 +93,15 @@ def edges(statements: DataFrame) -> DataFrame:
     return local.unionByName(skipped).unionByName(transfers(statements)).unionByName(returns(statements, nodes))
 
 
+def _first_labels(statements: DataFrame) -> DataFrame:
+    """(digest, target, label_path, label_line): the first label of each name. Names often begin alike, so rows are dealt and sorted by digest first."""
+    rows = statements.where("kind = 'label'").select(F.xxhash64("name").alias("digest"), F.col("name").alias("target"), F.struct("path", "stmt").alias("place"))
+    return rows.groupBy("digest", "target").agg(F.min("place").alias("first")).select("digest", "target", F.col("first.path").alias("label_path"), F.col("first.stmt").alias("label_line"))
+
+
 def labels(statements: DataFrame) -> DataFrame:
     """(name, path, node) of each label; of labels with one name, the first by path and line."""
-    rows = statements.where("kind = 'label'")
-    return rows.groupBy("name").agg(F.min_by(F.struct("path", F.col("stmt").cast("string").alias("node")), F.struct("path", "stmt")).alias("first")).select("name", "first.path", "first.node")
+    return _first_labels(statements).select(F.col("target").alias("name"), F.col("label_path").alias("path"), F.col("label_line").cast("string").alias("node"))
 
 
 def duplicate_labels(statements: DataFrame) -> DataFrame:
@@ -106,18 +111,21 @@ def duplicate_labels(statements: DataFrame) -> DataFrame:
 
 def transfers(statements: DataFrame) -> DataFrame:
     """Edges of jumps and calls: to their label; ``dynamic_*`` where the target is an expression, ``missing_*`` where no label has the name."""
-    moves = statements.where("kind IN ('jump', 'call')").select("path", F.col("stmt").cast("string").alias("src"), "kind", "target", "expression")
-    known = labels(statements).select(F.col("name").alias("target"), F.col("path").alias("label_path"), F.col("node").alias("label_node"))
-    joined = moves.join(known.hint("merge"), "target", "left")
-    kind = F.when(F.col("expression").isNotNull(), F.concat(F.lit("dynamic_"), F.col("kind"))).when(F.col("label_node").isNull(), F.concat(F.lit("missing_"), F.col("kind"))).otherwise(F.col("kind"))
+    src = F.col("stmt").cast("string")
+    digest = F.when(F.col("target").isNotNull(), F.xxhash64("target")).otherwise(F.xxhash64("path", "stmt"))  # those without a target are spread
+    moves = statements.where("kind IN ('jump', 'call')").select(digest.alias("digest"), "target", "path", src.alias("src"), "kind", F.col("expression").isNotNull().alias("dynamic"))
+    joined = moves.join(_first_labels(statements).hint("merge"), ["digest", "target"], "left").withColumn("label_node", F.col("label_line").cast("string"))
+    kind = F.when(F.col("dynamic"), F.concat(F.lit("dynamic_"), F.col("kind"))).when(F.col("label_node").isNull(), F.concat(F.lit("missing_"), F.col("kind"))).otherwise(F.col("kind"))
     lost = F.concat("src", F.lit(":unresolved"))
     return joined.select("path", "src", F.coalesce("label_path", "path").alias("dst_path"), F.coalesce("label_node", lost).alias("dst"), kind.alias("kind"))
 
 
 def returns(statements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges from each return under a called label to what follows each of its calls."""
-    sites = nodes.where("target IS NOT NULL").select(F.col("target").alias("label"), F.col("path").alias("dst_path"), F.col("next").alias("dst")).distinct()
-    return statements.where("kind = 'return'").select("path", F.col("stmt").cast("string").alias("src"), "label").join(sites.hint("merge"), "label").select("path", "src", "dst_path", "dst", F.lit("return").alias("kind")).distinct()
+    digest = lambda name: F.xxhash64(name).alias("digest")
+    sites = nodes.where("target IS NOT NULL").select(digest("target"), F.col("target").alias("label"), F.col("path").alias("dst_path"), F.col("next").alias("dst")).distinct()
+    rows = statements.where("kind = 'return'").select(digest("label"), "label", "path", F.col("stmt").cast("string").alias("src"))
+    return rows.join(sites.hint("merge"), ["digest", "label"]).select("path", "src", "dst_path", "dst", F.lit("return").alias("kind")).distinct()
 
 
 def reached(flow: DataFrame, roots: DataFrame) -> DataFrame:

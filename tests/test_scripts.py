@@ -185,3 +185,12 @@ def test_reached_by_file(spark, monkeypatch):
     assert found(flow + crossing) == expected(flow + crossing)
     monkeypatch.setattr(control_flow.parts, "MOST_ROWS", 12)  # files with a root have a row more
     assert found(flow) == expected(flow)
+
+
+def test_transfers_and_returns_meet_by_name(spark):
+    """Names are matched by digest and text; rows without a target are spread, not put into one task."""
+    text = "label a:\n    call far\n    jump expression x\n    jump\n    call gone\nlabel far:\n    return\nlabel far:\n    return"
+    rows = loops.written(S.statements(_lines(spark, text)))
+    assert {tuple(r)[1:] for r in control_flow.transfers(rows).collect()} == {("2", "a", "6", "call"), ("3", "a", "3:unresolved", "dynamic_jump"), ("4", "a", "4:unresolved", "missing_jump"), ("5", "a", "5:unresolved", "missing_call")}
+    assert {(r.src, r.dst) for r in control_flow.edges(rows).where("kind = 'return'").collect()} == {("7", "3"), ("9", "3")}
+    assert "xxhash64" in control_flow.transfers(rows)._jdf.queryExecution().executedPlan().toString()
